@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import packing, substring_dedup, token_store
+from strandloom.llm import ngram_join, packing, substring_dedup, token_store
 from strandloom.llm.shared import scratch_path
 
 
@@ -24,13 +24,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
-), win AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS place
-  FROM d, unnest(range(1, len(w) - 18)) AS t(i)
-), hit AS (
-  SELECT DISTINCT doc_id, i + j AS p FROM win, range(0, 20) AS r(j) WHERE place > 1
 ), word AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), win AS (
+  SELECT doc_id, p, string_agg(word, ' ') OVER twenty AS run, count(*) OVER twenty AS n FROM word
+  WINDOW twenty AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), placed AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS place FROM win WHERE n = 20
+), hit AS (
+  SELECT DISTINCT doc_id, p + j AS p FROM placed, range(0, 20) AS r(j) WHERE place > 1
 ), kept AS (
   SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
   FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id
@@ -48,6 +50,40 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), word AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p, len(w) AS size FROM d
+), run AS (
+  SELECT doc_id, size, p, string_agg(word, ' ') OVER three AS shingle, count(*) OVER three AS n FROM word
+  WINDOW three AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+), s AS (
+  SELECT DISTINCT doc_id, shingle FROM run WHERE n = 3 OR (size < 3 AND p = 1)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s AS a JOIN s AS b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM pair JOIN sizes AS a ON a.doc_id = x JOIN sizes AS b ON b.doc_id = y
+  WHERE 100 * shared >= 90 * (a.n + b.n - shared)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, y FROM reach AS r JOIN link ON r.other = x
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write_store(
@@ -59,9 +95,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_packing": op4_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_token_store": op9_token_store,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op7_ngram_join": OP7_SQL,
 }
