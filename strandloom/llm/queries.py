@@ -8,8 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, ngram_join, packing, substring_dedup, token_store, toxicity
-from strandloom.llm.shared import scratch_path
+from strandloom.llm import (
+    chat_format,
+    decontamination,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    substring_dedup,
+    token_store,
+    toxicity,
+)
+from strandloom.llm.shared import scratch_path, write_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +102,39 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS spot
+  FROM documents
+), filled AS (
+  SELECT doc_id, spot, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS k
+  FROM line WHERE trim(line, ' ') <> ''
+), win AS (
+  SELECT doc_id, k, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM filled
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), placed AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS place FROM win WHERE c IS NOT NULL
+), cut AS (
+  SELECT DISTINCT doc_id, spot FROM (SELECT doc_id, k + j AS k FROM placed, range(0, 3) AS r(j) WHERE place > 1)
+  JOIN filled USING (doc_id, k)
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY spot) AS text FROM line ANTI JOIN cut USING (doc_id, spot) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n_lines FROM filled GROUP BY doc_id
+), m AS (
+  SELECT doc_id, count(*) AS n_removed FROM cut GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CASE WHEN documents.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
@@ -104,6 +147,40 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentences"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+def _op6_sql() -> str:
+    known = ", ".join(f"('{words}', '{name}')" for name, words in licenses.SENTENCES.items())
+    rules = ", ".join(f"('{name}', '{licenses.rule_pattern(ids)}')" for name, ids in licenses.RULES)
+    return rf"""
+WITH known(words, id) AS (VALUES {known}), rule(license, pattern) AS (VALUES {rules}), view AS (
+  SELECT doc_id, 0 AS view, string_split_regex(text, '{licenses.SENTENCE_END}') AS s FROM documents
+  UNION ALL
+  SELECT doc_id, 1, string_split_regex(replace(text, chr(10), ' '), '{licenses.SENTENCE_END}') FROM documents
+), sentence AS (
+  SELECT doc_id, view, unnest(s) AS s, unnest(range(0, len(s))) AS p FROM view
+), seq AS (
+  SELECT doc_id, view, count(*) AS n, string_agg(id, ',' ORDER BY p) AS ids,
+         ' ' || string_agg(id, '  ' ORDER BY p) || ' ' AS line
+  FROM sentence JOIN known ON words = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id, view
+), named AS (
+  SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses
+  FROM (SELECT DISTINCT doc_id, license FROM seq JOIN rule ON regexp_matches(line, pattern)) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentences,
+       coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN (SELECT * FROM seq WHERE view = 0) USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
@@ -138,6 +215,49 @@ FROM d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
 """
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    examples = write_table(chat_format.prefix_examples(turns.unionByName(own)), "chat")
+    talks = chat_format.read_examples(examples)
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return talks.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+OP8_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(role || text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) + 15 AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM said
+), run AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS until FROM sized
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(until) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM run GROUP BY conv_id
+"""
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write_store(
@@ -149,14 +269,20 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
     "op7_ngram_join": op7_ngram_join,
+    "op8_chat_format": op8_chat_format,
     "op9_token_store": op9_token_store,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op6_licenses": _op6_sql(),
     "op7_ngram_join": OP7_SQL,
+    "op8_chat_format": OP8_SQL,
 }
