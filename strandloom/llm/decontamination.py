@@ -111,12 +111,13 @@ def contamination(
 
     ``items`` are the sorted item ids with a window in the text; a document is
     contaminated when the words hit are at least ``least_share`` of its words.
-    ``keep`` names further columns of ``docs`` to hand on.
+    ``keep`` names further columns of ``docs`` to hand on; the text moves once.
     """
     items = _items(bench, item_col, item_text_col)
     texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep if c != text_col]
     )
+    kept = {c: "_text" if c == text_col else f"_keep_{c}" for c in keep}
     tokens = texts.select("doc_id", words(F.col("_text")).alias("terms"))
     counts = write_table(term_counts(tokens, items), "term-counts")
     anchors = write_table(rarest_terms(items, counts, window), "anchors")
@@ -127,7 +128,7 @@ def contamination(
     rows = texts.withColumn("_row", F.monotonically_increasing_id())
     rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_found")), "left").drop("_found")
     rows = rows.withColumn("words", words(F.col("_text"))).withColumn("n_words", F.size("words").cast("long"))
-    held = ["doc_id", "_row", "n_words", *[f"_keep_{c}" for c in keep]]
+    held = ["doc_id", "_row", "n_words", *kept.values()]
     clean = rows.where("spots is null").select(*held, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     spots = rows.where("spots is not null").select(*held, "words", F.explode("spots").alias("spot"))
     spots = spots.select(*held, "words", "spot.item", "spot.shift").join(_checked(items), "item")
@@ -142,9 +143,12 @@ def contamination(
     covered = F.flatten(
         F.transform("starts", lambda s: F.sequence(F.col("shift") + s, F.col("shift") + s + F.col("length") - 1))
     )
-    hits = exact.select(*held, F.when(F.size("starts") > 0, F.col("item_id")).alias("item_id"), F.explode_outer(covered).alias("hit"))
-    dirty = hits.groupBy(*held).agg(
-        F.count_distinct("hit").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")
+    met = exact.select(*held, F.when(F.size("starts") > 0, F.col("item_id")).alias("item_id"), covered.alias("covered"))
+    # A document's own alignments meet; they are already in one partition by doc_id.
+    dirty = met.groupBy("doc_id", "_row").agg(
+        *[F.first(c).alias(c) for c in held if c not in ("doc_id", "_row")],
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"),
+        F.array_sort(F.collect_set("item_id")).alias("items"),
     )
     over, under = least_share
     return clean.unionByName(dirty).select(
@@ -153,5 +157,5 @@ def contamination(
         "n_hit",
         "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * under >= F.col("n_words") * over)).alias("contaminated"),
-        *[F.col(f"_keep_{c}").alias(c) for c in keep],
+        *[F.col(held_as).alias(c) for c, held_as in kept.items() if c != "doc_id"],
     )

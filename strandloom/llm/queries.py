@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import (
+    ann,
     chat_format,
     decontamination,
     licenses,
@@ -266,6 +267,13 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    index = ann.build_index(rows, dim)
+    return ann.search(index, rows.where("vec_id % 100 = 0"), dim)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -276,6 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_chat_format": op8_chat_format,
     "op9_token_store": op9_token_store,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {

@@ -297,27 +297,44 @@ def fit(
     return ToxicityModel(lexicon, weights, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row and its ``score`` in 0..1."""
+def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of every row and its ``score`` in 0..1.
+
+    The text crosses to Python once, whether it is kept or not.
+    """
     weights, bias, lexicon = np.array(model.weights), model.bias, model.lexicon
-    kept = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    at = len(keep)
+    names = [f"_{k}" for k in range(len(keep))]
+    own = names[keep.index(text_col)] if text_col in keep else "_text"
+    sent = [F.col(c).alias(n) for c, n in zip(keep, names)] + [F.col(text_col).alias("_text")] * (own == "_text")
+    sent_docs = docs.select(*sent)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ClauseScorer(lexicon)
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([scorer.features(t or "") for t in batch.column(own).to_pylist()]).reshape(-1, len(FEATURES))
             made = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:at] + [pa.array(made)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)] + [pa.array(made)], names=[*names, "score"])
 
-    schema = kept.drop("_text").schema.add("score", "double")
-    return kept.mapInArrow(scores, schema)
+    schema = sent_docs.select(*names).schema.add("score", "double")
+    scored = sent_docs.mapInArrow(scores, schema)
+    return scored.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "score")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), **bounds) -> DataFrame:
-    """Score all documents with a model learned from rows that are not held out."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: float) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of all rows; held-out labels are never learned from."""
     model = fit(id_and_text(docs), labels, **bounds)
-    scored = score(docs, model, keep)
-    return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
+    return score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    model = fit(id_and_text(docs), labels, **bounds)
+    spare = next(n for n in ("row", "row_", "row__") if n not in docs.columns)
+    packed = docs.withColumn(spare, F.struct(*[c for c in docs.columns if c != "text"])).select(spare, "text")
+    kept = score(packed, model, (spare, "text")).where(F.col("score") < threshold)
+    return kept.select(*[F.col(c) if c == "text" else F.col(f"{spare}.{c}").alias(c) for c in docs.columns])
