@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import id_and_text, slices
-from strandloom.llm.unit_encoder import UnitEncoder
+from strandloom.llm.shared import batch_slices, id_and_text
+from strandloom.llm.unit_encoder import worker_encoder
 
 Piece = tuple[int, int, int]  # row, start in that row, length
 
@@ -126,16 +126,15 @@ def pack(
     longest = 64 * capacity
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer, keep_space)
+        encoder = worker_encoder(tokenizer, keep_space)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for cut in slices(texts):
-                ids, counts = encoder.encode(texts[cut])
+            for part in batch_slices(batch, 1):
+                ids, counts = encoder.encode(part.column(1).to_pylist())
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
                 width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
                 raw, out, at = ids.astype(f"<u{width}").tobytes(), [], 0
-                for key, n in zip(keys[cut], counts.tolist()):
+                for key, n in zip(part.column(0).to_pylist(), counts.tolist()):
                     for s in range(0, n, longest):
                         size = min(longest, n - s)
                         out.append((key, s, n, width, raw[width * (at + s) : width * (at + s + size)]))

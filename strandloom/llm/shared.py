@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy step handles; bounds a worker's memory.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 600_000
 
 _own_scratch: list[str] = []
 
@@ -55,6 +57,19 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def batch_slices(batch: pa.RecordBatch, column: int | str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text, made without copies."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, total = 0, np.cumsum(sizes)
+    while begin < batch.num_rows:
+        before = total[begin - 1] if begin else 0
+        end = min(batch.num_rows, int(np.searchsorted(total, before + limit)) + 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; a text of ASCII alone takes the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

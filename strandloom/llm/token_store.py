@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import id_and_text, slices
-from strandloom.llm.unit_encoder import UnitEncoder
+from strandloom.llm.shared import batch_slices, id_and_text
+from strandloom.llm.unit_encoder import worker_encoder
 
 _MAGIC = b"BPS1"
 _HEAD = "<4sIQBB"
@@ -94,7 +94,7 @@ def write_store(
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer, keep_space)
+        encoder = worker_encoder(tokenizer, keep_space)
         part, chunk, first = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
@@ -116,14 +116,13 @@ def write_store(
             )
 
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for cut in slices(texts, min(2_000_000, 4 * chunk_ids)):
-                ids, counts = encoder.encode(texts[cut])
+            for part_of in batch_slices(batch, 1):
+                ids, counts = encoder.encode(part_of.column(1).to_pylist())
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
                 held.append(ids)
-                doc_ids += keys[cut]
+                doc_ids += part_of.column(0).to_pylist()
                 lengths += counts.tolist()
                 if sum(map(len, held)) >= chunk_ids:
                     yield flush()

@@ -18,6 +18,8 @@ import numpy as np
 
 #: Marks a unit that begins a text and so has no space before it.
 _FIRST = "\udfff"
+#: Units of one pre-token, or of one and a full stop or comma.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
 _CUT = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r"  | (?=[^\S ])| \Z")
 
@@ -38,8 +40,49 @@ class UnitEncoder:
         self._tokenizer = Tokenizer.from_file(str(path))
         self._keep_space = keep_space
         self._cache_units = cache_units
+        self._set_up_plain(str(path))
         self._reset()
 
+    def _set_up_plain(self, path: str) -> None:
+        """A second tokenizer that takes words in the byte alphabet, cut at spaces.
+
+        It runs the same merges without normaliser and pre-tokeniser, so many
+        words go through one call.  Where a word begins (or ends, in a
+        vocabulary with word ends) shows in the token itself.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self._plain = Tokenizer.from_file(path)
+        self._plain.normalizer = None
+        self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self._plain.get_vocab(with_added_tokens=True)
+        self._edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, number in vocabulary.items():
+            self._edge[number] = token.startswith("\u0120") if self._keep_space else token.endswith("</w>")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self._alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self._tails = {}
+        for tail in ("", ".", ","):
+            ids = self._tokenizer.encode(tail, add_special_tokens=False).ids
+            if len(ids) == len(tail):
+                self._tails[tail] = ids[0] if ids else -1
+
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the bounds of each word of Latin letters."""
+        text = " ".join(words)
+        mark = "\u0120" if self._keep_space else ""
+        if not self._keep_space:
+            text = text.lower()
+        shown = [mark + w.encode().decode("latin-1").translate(self._alphabet) for w in text.split(" ")]
+        rows = self._plain.encode_batch_fast([" ".join(shown[k : k + 500]) for k in range(0, len(shown), 500)], add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in rows), np.uint32)
+        edges = np.flatnonzero(self._edge[flat])
+        bounds = np.append(edges, len(flat)) if self._keep_space else np.append(0, edges + 1)
+        if len(bounds) != len(words) + 1:
+            raise RuntimeError("words and tokens do not match")
+        return flat, bounds
+
     def _reset(self) -> None:
         self._index: dict[str, int] = {}
         self._flat = np.empty(1 << 16, dtype=np.uint32)
@@ -56,15 +99,36 @@ class UnitEncoder:
     def _learn(self, units: list[str]) -> None:
         for at in range(0, len(units), 20_000):
             part = units[at : at + 20_000]
-            shown = [u[1:] if u[0] == _FIRST else " " + u for u in part] if self._keep_space else part
+            split = [_PLAIN(u) for u in part]
+            split = [m if m and m[2] in self._tails else None for m in split]
+            words = list(dict.fromkeys(m[1] for m in split if m))
+            flat, bounds = self._plain_ids(words) if words else (np.empty(0, np.uint32), np.zeros(1, np.int64))
+            place = dict(zip(words, range(len(words))))
+            hard = [u for u, m in zip(part, split) if not m]
+            shown = [u[1:] if u[0] == _FIRST else " " + u for u in hard] if self._keep_space else hard
             rows = [e.ids for e in self._tokenizer.encode_batch_fast(shown, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            ends = len(flat) + np.cumsum([len(r) for r in rows], dtype=np.int64)
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(rows), np.uint32)])
+            spans = np.concatenate([np.stack([bounds[:-1], bounds[1:]], 1), np.stack([np.append(len(flat) - sum(map(len, rows)), ends)[:-1], ends], 1)])
+            tail = np.array([self._tails[m[2]] if m else -1 for m in split], dtype=np.int64)
+            number, which = len(words), np.empty(len(part), dtype=np.int64)
+            for k, m in enumerate(split):
+                if m:
+                    which[k] = place[m[1]]
+                else:
+                    which[k] = number
+                    number += 1
+            first, last = spans[which, 0], spans[which, 1]
+            sizes = last - first + (tail >= 0)
+            total, end = int(sizes.sum()), np.cumsum(sizes)
+            source = np.repeat(first - (end - sizes), sizes) + np.arange(total)
+            made = flat[np.minimum(source, max(len(flat) - 1, 0))] if len(flat) else np.zeros(total, np.uint32)
+            made[end[tail >= 0] - 1] = tail[tail >= 0]
             known, used = len(self._index), int(self._ends[len(self._index)])
-            total = int(sizes.sum())
             self._flat = self._fit(self._flat, used, total)
-            self._flat[used : used + total] = np.fromiter(chain.from_iterable(rows), np.uint32, total)
+            self._flat[used : used + total] = made
             self._ends = self._fit(self._ends, known + 1, len(part))
-            self._ends[known + 1 : known + 1 + len(part)] = used + np.cumsum(sizes)
+            self._ends[known + 1 : known + 1 + len(part)] = used + end
             self._index.update(zip(part, range(known, known + len(part))))
 
     def _codes(self, units: list[str]) -> np.ndarray:
@@ -101,3 +165,19 @@ class UnitEncoder:
         gather += np.arange(before[-1])
         bounds = np.concatenate(([0], np.cumsum(counts)))
         return self._flat[gather], before[bounds[1:]] - before[bounds[:-1]]
+
+
+def worker_encoder(path: str | Path, keep_space: bool) -> UnitEncoder:
+    """The encoder of this Python worker, kept for the next task that it runs.
+
+    Spark reuses workers but unpickles a task's functions anew, so the cache
+    hangs on the tokenizer library's module, which lives as long as the worker.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_unit_encoders", {})
+    key = (str(path), keep_space)
+    if key not in held:
+        held.clear()  # one vocabulary at a time bounds the worker's memory
+        held[key] = UnitEncoder(path, keep_space)
+    return held[key]
