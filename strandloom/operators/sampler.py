@@ -227,12 +227,13 @@ def chain_converged(kept: list[tuple], limit: float) -> bool:
 def sample(spark, data: Statistics, chains: int = 5, settings: Settings | None = None) -> DataFrame:
     """Kept draws of all chains, one row each; a task runs one chain."""
     settings = settings or Settings()
-    shared = spark.sparkContext.broadcast(data)  # columns squared numbers
+    shared = spark.sparkContext.broadcast(vars(data))  # columns squared numbers, as plain arrays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Statistics(**shared.value)
         for batch in batches:
             for chain in batch.column(0).to_pylist():
-                kept, converged = run_chain(shared.value, settings, chain)
+                kept, converged = run_chain(own, settings, chain)
                 for at in range(0, len(kept), 1000):
                     part = list(zip(*kept[at : at + 1000]))
                     arrays = [pa.array([chain] * len(part[0]), pa.int32()), pa.array(part[0], pa.int32())]

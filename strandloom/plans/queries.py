@@ -48,13 +48,13 @@ PARTS = {
     "runs": "SELECT lag(c_idx, 1, -1) OVER (ORDER BY c_idx) + 1 AS left_c, c_idx AS right_c FROM ends",
     "multi": """SELECT *, right_c > left_c AS m, row_number() OVER (ORDER BY left_c) AS rn, coalesce(sum(CAST(right_c > left_c AS INT))
       OVER (ORDER BY left_c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM runs""",
-    "indep_c": """SELECT g - 1 AS block_ord, min(left_c) AS left_c, max(right_c) AS right_c FROM (SELECT *,
+    "indep_c": """SELECT CAST(g - 1 AS BIGINT) AS block_ord, min(left_c) AS left_c, max(right_c) AS right_c FROM (SELECT *,
       sum(CASE WHEN rn = 1 OR (m AND bef > 0) THEN 1 ELSE 0 END) OVER (ORDER BY left_c) AS g FROM multi) GROUP BY g""",
     "indep_full": """SELECT coalesce(lag(var_idx) OVER (ORDER BY left_c) + 1, 0) AS left_idx,
       CASE WHEN lead(var_idx) OVER (ORDER BY left_c) IS NULL THEN 303 ELSE var_idx END AS right_idx
       FROM indep_c JOIN common ON right_c = c_idx""",
     "indep_prev": """SELECT *, lag(right_idx) OVER (ORDER BY left_idx) AS pr, min(left_idx) OVER () AS fl FROM indep_full""",
-    "indep": """SELECT g - 1 AS block_ord, min(left_idx) AS left_idx, max(right_idx) AS right_idx FROM (SELECT *,
+    "indep": """SELECT CAST(g - 1 AS BIGINT) AS block_ord, min(left_idx) AS left_idx, max(right_idx) AS right_idx FROM (SELECT *,
       sum(CASE WHEN pr IS NULL OR (right_idx - left_idx >= 10 AND pr - fl >= 10) THEN 1 ELSE 0 END) OVER (ORDER BY left_idx) AS g
       FROM indep_prev) GROUP BY g""",
     "uniform": """SELECT row_number() OVER (ORDER BY left_c) - 1 AS block_ord, left_c, right_c FROM (
@@ -66,7 +66,7 @@ PARTS = {
     "edge": "SELECT left_idx AS x FROM indep UNION SELECT right_idx FROM indep",
     "fine_prev": """SELECT *, lag(right_idx) OVER (ORDER BY left_idx) AS pr, min(left_idx) OVER () AS fl,
       left_idx IN (SELECT x FROM edge) OR right_idx IN (SELECT x FROM edge) AS touches FROM fine_full""",
-    "fine": """SELECT g - 1 AS block_ord, min(left_idx) AS left_idx, max(right_idx) AS right_idx FROM (SELECT *,
+    "fine": """SELECT CAST(g - 1 AS BIGINT) AS block_ord, min(left_idx) AS left_idx, max(right_idx) AS right_idx FROM (SELECT *,
       sum(CASE WHEN pr IS NULL OR ((right_idx - left_idx >= 2 OR touches) AND pr - fl >= 2) THEN 1 ELSE 0 END)
       OVER (ORDER BY left_idx) AS g FROM fine_prev) GROUP BY g""",
     "part": """SELECT i AS block_ord, (i // 4) * 19 + (i % 4) * 5 AS left_idx,
@@ -89,7 +89,7 @@ PARTS = {
     "design": "SELECT sample_idx, hap_ord, hap_name, dose FROM dose JOIN kept USING (block_ord, cluster)",
     "trace": """SELECT event_id % 5 AS chain, event_id // 5 AS iter, h AS hap_ord, '1@' || (h // 3 * 100 + 1) || '-' || (h // 3 * 100 + 100) AS block,
       CASE WHEN (user_id + 7 * h + event_id) % 11 < 3 THEN 1 ELSE 0 END AS gamma,
-      ((event_id * 31 + user_id * 17 + h * 101) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS beta FROM events, range(8) AS r(h)""",
+      ((event_id * 31 + user_id * 17 + h * 101) % 2001 - 1000) / CAST(1009 AS DOUBLE) AS beta FROM events, range(8) AS r(h)""",
     "pips": "SELECT chain, block, hap_ord, avg(gamma) AS pip FROM trace GROUP BY ALL",
     "means": "SELECT chain, block, hap_ord, avg(beta) AS mean, stddev_pop(beta) AS sd FROM trace GROUP BY ALL",
     "series": """SELECT chain, CAST(row_number() OVER (PARTITION BY chain ORDER BY iter) - 1 AS INT) AS spot, beta AS value FROM trace
@@ -113,9 +113,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Whole numbers as longs, the type that the SQL gives them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.select(*[F.col(c).cast("long").alias(c) if kind in ("tinyint", "smallint", "int") else F.col(c) for c, kind in df.dtypes])
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
 def _query(select: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = _longs(f)
         if select:
             ORACLES[f.__name__] = _sql(select)
         return f
@@ -184,7 +195,7 @@ def _trace(spark, sf_dir) -> DataFrame:
         F.col("h").alias("hap_ord"),
         F.concat(F.lit("1@"), (block + 1).cast("string"), F.lit("-"), (block + 100).cast("string")).alias("block"),
         F.when((F.col("user_id") + 7 * F.col("h") + F.col("event_id")) % 11 < 3, 1).otherwise(0).alias("gamma"),
-        (((F.col("event_id") * 31 + F.col("user_id") * 17 + F.col("h") * 101) % 2001 - 1000) / 1000.0).alias("beta"),
+        (((F.col("event_id") * 31 + F.col("user_id") * 17 + F.col("h") * 101) % 2001 - 1000) / 1009.0).alias("beta"),
     )
 
 
@@ -192,7 +203,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@_query("SELECT var_idx, sample_idx, a AS hap1, b AS hap2 FROM (SELECT var_idx, sample_idx, CAST(max(allele) FILTER (hap = 0) AS INT) AS a, CAST(max(allele) FILTER (hap = 1) AS INT) AS b FROM calls GROUP BY ALL)")
+@_query("SELECT var_idx, sample_idx, a AS hap1, b AS hap2 FROM (SELECT var_idx, sample_idx, CAST(max(allele) FILTER (hap = 0) AS BIGINT) AS a, CAST(max(allele) FILTER (hap = 1) AS BIGINT) AS b FROM calls GROUP BY ALL)")
 def vcf_call_parse(spark, sf_dir):
     """Genotype texts ``a|b`` built from the calls and parsed again."""
     calls = fixture_calls(spark, sf_dir)
@@ -292,7 +303,7 @@ def block_haplotypes_first_seen(spark, sf_dir):
     return haplotypes.distinct_haplotypes(_strings(spark, sf_dir)).select("block_ord", "alleles", "first_seen", "cluster")
 
 
-@_query("SELECT block_ord, sample_idx, cluster, CAST(dose AS INT) AS dose FROM dose")
+@_query("SELECT block_ord, sample_idx, cluster, dose FROM dose")
 def haplotype_dosage(spark, sf_dir):
     return _doses(spark, sf_dir).select("block_ord", "sample_idx", "cluster", "dose")
 
