@@ -43,7 +43,7 @@ class WordHasher:
 
     def _grow(self, n: int) -> None:
         if len(self._powers) < n:
-            size = max(n, 1 << 20)
+            size = -(-n // (1 << 18)) << 18
             for name, base in (("_powers", self._base), ("_inverses", self._inverse)):
                 run = np.full(size, base, dtype=np.uint64)
                 run[0] = 1

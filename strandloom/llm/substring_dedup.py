@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, mix, run_hashes, run_starts
-from strandloom.llm.shared import id_and_text, slices
+from strandloom.llm.shared import SLICE_CHARS, batch_slices, id_and_text
 
 _BLOCK_LOG2 = 22
 _REPEATED_SCHEMA = "row int, block int, windows long, seen binary, repeated binary"
@@ -57,6 +57,16 @@ def _bits(plane: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return ((plane[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Small unsigned numbers in two bytes each where they fit, else four."""
+    width = 4 if len(numbers) and numbers.max() >= 1 << 16 else 2
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
 class TaskSketch:
     """One task's count-min sketch; counters are 0, 1 or "2 and more"."""
 
@@ -104,20 +114,19 @@ def _merge_blocks(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -
 
 
 def later_windows(
-    docs: DataFrame, window: int = 20, depth: int = 2, width_log2: int = 28, shard_windows: int = 3_000_000
+    docs: DataFrame, window: int = 20, depth: int = 2, width_log2: int = 28, shard_windows: int = 2_000_000
 ) -> DataFrame:
     """``doc_id, starts``: packed u4 word positions of windows that come first elsewhere.
 
-    ``docs`` has ``doc_id, text`` as :func:`id_and_text` gives them.  A document
-    has several rows, one for each shard of fingerprints with such windows.
+    ``docs`` has ``doc_id, text`` as :func:`id_and_text` gives them.  Shards of
+    fingerprints send what they find to parts of documents, as packed arrays.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = WordHasher(1), TaskSketch(depth, width_log2)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for cut in slices(texts):
-                words, bounds = hasher.words(texts[cut])
+            for part in batch_slices(batch, 0):
+                words, bounds = hasher.words(part.column(0).to_pylist())
                 own.add(run_hashes(words, window)[run_starts(bounds, window)])
         for made in own.blocks():
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
@@ -143,11 +152,11 @@ def later_windows(
         for row, block, frame in shared.value:
             planes[row][block * size : (block + 1) * size] = np.frombuffer(expand.decompress(frame), dtype=np.uint8)
         for batch in batches:
-            # By doc_id, so that within a slice the order of windows is that of (doc_id, start).
-            batch = batch.sort_by("doc_id")
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for cut in slices(texts):
-                words, bounds = first.words(texts[cut])
+            for cut in batch_slices(batch, 1, 4 * SLICE_CHARS):
+                # By doc_id, so that within a slice the order of windows is that of (doc_id, start).
+                cut = cut.sort_by("doc_id")
+                keys, texts = cut.column(0).to_pylist(), cut.column(1).to_pylist()
+                words, bounds = first.words(texts)
                 at = run_starts(bounds, window)
                 high = run_hashes(words, window)[at]
                 keep = np.ones(len(high), dtype=bool)
@@ -156,7 +165,7 @@ def later_windows(
                 at, high = at[keep], high[keep]
                 if not len(at):
                     continue
-                low = (run_hashes(second.words(texts[cut])[0], window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+                low = (run_hashes(second.words(texts)[0], window, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 doc = (np.searchsorted(bounds, at, "right") - 1).astype("<u4")
                 start = (at - bounds[doc]).astype("<u4")
                 order = np.lexsort((low, high))
@@ -171,9 +180,10 @@ def later_windows(
                 for s in np.flatnonzero(np.diff(edges)).tolist():
                     part = slice(edges[s], edges[s + 1])
                     used, own = np.unique(doc[part], return_inverse=True)
-                    own, more = own.astype("<u4"), again[part]
-                    ids = [keys[cut][u] for u in used.tolist()]
-                    rows.append((s, ids, own[~more].tobytes(), start[part][~more].tobytes(), prints[part][~more].tobytes(), own[more].tobytes(), start[part][more].tobytes()))
+                    more = again[part]
+                    ids = [keys[u] for u in used.tolist()]
+                    places = [_pack(x) for x in (own[~more], start[part][~more], own[more], start[part][more])]
+                    rows.append((s, ids, *places[:2], prints[part][~more].tobytes(), *places[2:]))
                 kinds = (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5)
                 names = ["shard", "doc_ids", "docs", "starts", "prints", "later_docs", "later_starts"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -183,11 +193,11 @@ def later_windows(
         columns = (rows.column(c).to_pylist() for c in ("doc_ids", "docs", "starts", "prints", "later_docs", "later_starts"))
         for ids, d, s, p, ld, ls in zip(*columns):
             ids = np.array(ids, dtype=np.int64)
-            docs_.append(ids[np.frombuffer(d, "<u4")])
-            starts.append(np.frombuffer(s, "<u4"))
+            docs_.append(ids[_unpack(d)])
+            starts.append(_unpack(s).astype(np.uint32))
             prints.append(np.frombuffer(p, dtype=[("high", "<u8"), ("low", "<u4")]))
-            done_docs.append(ids[np.frombuffer(ld, "<u4")])
-            done_starts.append(np.frombuffer(ls, "<u4"))
+            done_docs.append(ids[_unpack(ld)])
+            done_starts.append(_unpack(ls).astype(np.uint32))
         doc, start, prints = np.concatenate(docs_), np.concatenate(starts), np.concatenate(prints)
         order = np.lexsort((start, doc, prints["low"], prints["high"]))
         doc, start, high, low = doc[order], start[order], prints["high"][order], prints["low"][order]
@@ -197,13 +207,26 @@ def later_windows(
         lost = (doc != doc[head]) | (start != start[head])
         doc = np.concatenate([doc[lost], *done_docs])
         start = np.concatenate([start[lost], *done_starts])
+        part = (mix(doc.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        doc, start, part = doc[order].astype("<i8"), start[order].astype("<u4"), part[order]
+        edges = np.searchsorted(part, np.arange(shards + 1))
+        full = np.flatnonzero(np.diff(edges)).tolist()
+        places = [[x[edges[p] : edges[p + 1]].tobytes() for p in full] for x in (doc, start)]
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip((full, *places), kinds)], names=["part", "docs", "starts"])
+
+    def gather(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        doc = np.frombuffer(b"".join(rows.column("docs").to_pylist()), "<i8")
+        start = np.frombuffer(b"".join(rows.column("starts").to_pylist()), "<u4")
         order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order].astype("<u4")
-        edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(1, int)
+        doc, start = doc[order], start[order]
+        edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
         blobs = [start[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         return pa.table([pa.array(doc[edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "starts"])
 
-    return docs.mapInArrow(entries, _ENTRY_SCHEMA).groupBy("shard").applyInArrow(later, "doc_id long, starts binary")
+    found = docs.mapInArrow(entries, _ENTRY_SCHEMA).groupBy("shard").applyInArrow(later, "part int, docs binary, starts binary")
+    return found.groupBy("part").applyInArrow(gather, "doc_id long, starts binary")
 
 
 def substring_dedup(
@@ -215,17 +238,17 @@ def substring_dedup(
     their positions together.
     """
     rows = id_and_text(docs, id_col, text_col)
-    found = later_windows(rows.where("doc_id is not null"), window, **sketch).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    found = later_windows(rows.where("doc_id is not null"), window, **sketch)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
                 counts.append(len(words))
-                if blobs:
+                if blob:
                     change = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+                    at = np.frombuffer(blob, "<u4").astype(np.int64)
                     at = at[at + window <= len(words)]
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
