@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.hashing import WordHasher, mix, run_hashes
-from strandloom.llm.shared import id_and_text, slices, write_table
+from strandloom.llm.shared import batch_slices, id_and_text, slices, write_table
 
 _BLOCK_LOG2 = 21
 _SCAN_SCHEMA = "doc_id long, n_shingles long, high long, low long, block int, counts binary"
@@ -231,7 +231,7 @@ def ngram_components(
         counts = np.zeros(1 << width_log2, dtype=np.uint8)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = ["doc_id", "n_shingles", "high", "low", "block", "counts"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, 1)):
             out = []
             for key, own in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())):
                 cells = np.unique(own >> np.uint64(64 - width_log2))
@@ -267,7 +267,7 @@ def ngram_components(
         counts = np.zeros(1 << width_log2, dtype=np.uint8)
         for block, frame in shared.value:
             counts[block * size : (block + 1) * size] = np.frombuffer(expand.decompress(frame), dtype=np.uint8)
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, 1)):
             keys, found, many = batch.column(0).to_pylist(), [], []
             for own in shingler.sets(batch.column(1).to_pylist()):
                 held = counts[own >> np.uint64(64 - width_log2)]
@@ -305,7 +305,8 @@ def ngram_components(
         F.when(F.col("blocks") == 1, 0).otherwise(F.least("own", "k")).alias("one"),
         F.when(F.col("blocks") == 1, 0).otherwise(F.greatest("own", "k")).alias("two"),
     )
-    texts = known.join(dealt, "doc_id").select("component", "one", "two", "doc_id", "text")
+    # Hashed on the side of the few; asked for, so that the plan is alike at every size.
+    texts = known.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "text")
 
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = class_links(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), n, percent)
