@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.ld import _merge
 
-_ORDER = Window.partitionBy("chrom").orderBy("left_idx")
+def _order():
+    return Window.partitionBy("chrom").orderBy("left_idx")
 
 
 def to_full_index(blocks: DataFrame, index: DataFrame, last: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def to_full_index(blocks: DataFrame, index: DataFrame, last: DataFrame) -> DataF
 
 
 def _with_neighbours(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("prev_right", F.lag("right_idx").over(_ORDER)).withColumn(
-        "first_left", F.min("left_idx").over(_ORDER)
+    return blocks.withColumn("prev_right", F.lag("right_idx").over(_order())).withColumn(
+        "first_left", F.min("left_idx").over(_order())
     )
 
 
@@ -43,7 +44,7 @@ def merge_narrow(blocks: DataFrame, width: int = 10) -> DataFrame:
     """Blocks with ``right - left < width`` join the one before; at the front, the one after."""
     rows = _with_neighbours(blocks)
     wide = (F.col("right_idx") - F.col("left_idx") >= width) & (F.col("prev_right") - F.col("first_left") >= width)
-    return _merge(rows, F.coalesce(wide, F.lit(True)), _ORDER, "left_idx", "right_idx")
+    return _merge(rows, F.coalesce(wide, F.lit(True)), _order(), "left_idx", "right_idx")
 
 
 def merge_narrow_fine(blocks: DataFrame, independent: DataFrame, width: int = 2) -> DataFrame:
@@ -55,7 +56,7 @@ def merge_narrow_fine(blocks: DataFrame, independent: DataFrame, width: int = 2)
         rows = rows.join(known, ["chrom", f"{side}_idx"], "left")
     touches = F.coalesce("left_touches", F.lit(False)) | F.coalesce("right_touches", F.lit(False))
     start = ((F.col("right_idx") - F.col("left_idx") >= width) | touches) & (F.col("prev_right") - F.col("first_left") >= width)
-    return _merge(rows, F.coalesce(start, F.lit(True)), _ORDER, "left_idx", "right_idx")
+    return _merge(rows, F.coalesce(start, F.lit(True)), _order(), "left_idx", "right_idx")
 
 
 def uniform_partition(blocks: DataFrame, step: int, left: str = "left_c", right: str = "right_c", least: int = 5) -> DataFrame:

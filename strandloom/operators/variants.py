@@ -14,7 +14,7 @@ def allele_frequency(variants: DataFrame) -> DataFrame:
     """Adds ``n_alleles`` (2n), ``alt_count`` and ``af``; no shuffle, a row has all samples."""
     total = F.aggregate(F.concat("hap1", "hap2"), F.lit(0).cast("long"), lambda s, x: s + x)
     rows = variants.withColumn("n_alleles", (F.size("hap1") * 2).cast("long")).withColumn("alt_count", total)
-    return rows.withColumn("af", F.col("alt_count") / F.col("n_alleles"))
+    return rows.withColumn("af", F.try_divide(F.col("alt_count").cast("double"), F.col("n_alleles")))
 
 
 def common_variants(variants: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:

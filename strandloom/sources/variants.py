@@ -27,12 +27,15 @@ def read_vcf(spark: SparkSession, path: str, missing: str = "error") -> DataFram
     if not lines.where(F.col("value").startswith("#CHROM")).limit(1).count():
         raise ValueError(f"{path} has no #CHROM line")
     cells = F.split("value", "\t")
-    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("line_no", cells.alias("cell"))
+    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
+        "line_no", cells.alias("cell"), F.col("value").startswith("#").alias("skip")
+    )
     calls = F.transform(F.slice("cell", 10, F.greatest(F.size("cell") - 9, F.lit(0))), lambda g: F.split(g, ":")[0])
     rows = body.select(
         "line_no",
+        "skip",
         F.col("cell")[0].alias("chrom"),
-        F.col("cell")[1].cast("long").alias("pos"),
+        F.col("cell")[1].try_cast("long").alias("pos"),
         F.col("cell")[2].alias("var_id"),
         calls.alias("gt"),
     )
@@ -40,9 +43,10 @@ def read_vcf(spark: SparkSession, path: str, missing: str = "error") -> DataFram
     if missing == "drop_variant":
         rows = rows.where(phased)
     else:
+        # Filters may be reordered with this expression, so it passes header lines itself.
         bad = F.concat(F.lit("genotype that is not phased or not of single digits in variant "), F.col("var_id"))
-        rows = rows.withColumn("gt", F.when(phased, F.col("gt")).otherwise(F.raise_error(bad).cast("array<string>")))
-    allele = lambda k: F.transform("gt", lambda g: F.substring(g, k, 1).cast("tinyint"))
+        rows = rows.withColumn("gt", F.when(phased | F.col("skip"), F.col("gt")).otherwise(F.raise_error(bad).cast("array<string>")))
+    allele = lambda k: F.transform("gt", lambda g: F.substring(g, k, 1).try_cast("tinyint"))
     rows = rows.select("line_no", "chrom", "pos", "var_id", allele(1).alias("hap1"), allele(3).alias("hap2"))
     # Ordinals come from the narrow keys; genotypes are not sorted.
     keys = rows.select("line_no", "chrom")
