@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import posterior
-from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld, sampler
+from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld
 from strandloom.operators import variants as v
 from strandloom.plans.jobs import map_effects
 from strandloom.sources import sinks
@@ -380,17 +380,11 @@ def top5_abs_beta(spark, sf_dir):
   FROM sliced""")
 def geweke_z(spark, sf_dir):
     rows = _trace(spark, sf_dir).where("hap_ord = 0")
-    order = F.row_number().over(posterior_order()) - 1
+    order = F.row_number().over(Window.partitionBy("chain").orderBy("iter")) - 1
     series = rows.select("chain", order.alias("at"), F.col("beta").alias("value"))
     return _rounded(posterior.geweke(series), "z")
 
 
-def posterior_order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("chain").orderBy("iter")
-
-
 def _clustered(algorithm: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Clusters of the haplotypes of whole linkage groups."""
