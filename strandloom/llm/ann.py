@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -251,12 +250,10 @@ def search(
     blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(
         F.collect_list(F.struct("vec_id", "vector")).alias("queries")
     )
-    shards = index.select("shard").distinct()
-    # Every block with every shard: the stated query set against all rows, as small (part, shard) keys.
-    pairs = blocks.select("part", "queries", F.lit(0).alias("all")).join(
-        shards.groupBy(F.lit(0).alias("all")).agg(F.collect_list("shard").alias("shards")), "all"
-    )
-    pairs = pairs.select("queries", F.explode("shards").alias("shard"))
+    # Each block goes once to each shard, whose number is one value of the index.
+    last = index.agg(F.max("shard")).first()[0]
+    shards = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
+    pairs = blocks.select("queries", F.explode(shards).alias("shard"))
 
     def meet(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
