@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
 #: Bytes that part words: space and the ASCII controls 9 to 13.
@@ -95,7 +93,3 @@ def run_starts(bounds: np.ndarray, length: int) -> np.ndarray:
     counts = np.maximum(np.diff(bounds) - length + 1, 0)
     first = np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts)
     return first + np.arange(len(first))
-
-
-def hash_words_of(lower: bool, seed: int = 1) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    return WordHasher(seed, lower).words

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.hashing import WordHasher, mix, run_hashes
-from strandloom.llm.shared import batch_slices, id_and_text, slices, write_table
+from strandloom.llm.shared import batch_slices, free_worker, id_and_text, slices, write_table
 
 _BLOCK_LOG2 = 21
 _SCAN_SCHEMA = "doc_id long, n_shingles long, high long, low long, block int, counts binary"
@@ -227,6 +227,7 @@ def ngram_components(
     size = 1 << min(_BLOCK_LOG2, width_log2)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         shingler = Shingler(n)
         counts = np.zeros(1 << width_log2, dtype=np.uint8)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -263,6 +264,7 @@ def ngram_components(
     heads = linkable.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("head"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         shingler, expand = Shingler(n), zstandard.ZstdDecompressor()
         counts = np.zeros(1 << width_log2, dtype=np.uint8)
         for block, frame in shared.value:

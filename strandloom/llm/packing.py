@@ -145,6 +145,7 @@ def pack(
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "doc_tokens", "width", "ids"]
                     )
+            pa.default_memory_pool().release_unused()
 
     def pack_group(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,14 +72,22 @@ def batch_slices(batch: pa.RecordBatch, column: int | str, limit: int = SLICE_CH
         begin = end
 
 
+def free_worker() -> None:
+    """Give back what earlier tasks left in this reused Python worker.
+
+    Called where a task is about to hold a sketch: caches of encoders, Python's
+    garbage and Arrow's spare pages go first.
+    """
+    library = sys.modules.get("tokenizers")
+    if library is not None:
+        library.__dict__.pop("_unit_encoders", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; a text of ASCII alone takes the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, upper, upper.lower())
     )
-
-
-def exclusive_sum(sizes: np.ndarray) -> np.ndarray:
-    """Running sum before each element."""
-    return np.cumsum(sizes) - sizes

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, run_hashes
-from strandloom.llm.shared import id_and_text, slices
+from strandloom.llm.shared import free_worker, id_and_text, slices
 
 #: Token classes.
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult threat target negation report other".split()
@@ -88,7 +88,7 @@ class ClauseGrammar:
 
     def run(self, tokens: list[tuple[str, float]]) -> list[tuple[str, str, float]]:
         """``(kind, context, weight)`` of each insult and threat; context "targeted" is extra."""
-        state, out, weight_in_clause, target = self.start, [], 0.0, False
+        state, out, weight_in_clause = self.start, [], 0.0
         for kind, weight in tokens:
             if kind in (INSULT, THREAT):
                 negated, reported, _ = (s in p.marks for s, p in zip(state, self.parts))
@@ -98,8 +98,7 @@ class ClauseGrammar:
             if key not in self._moves:
                 self._moves[key] = tuple(p.step(s, kind) for s, p in zip(state, self.parts))
             state = self._moves[key]
-        target = state[2] in self.parts[2].marks
-        if target and out:
+        if state[2] in self.parts[2].marks and out:
             out.append(("", "targeted", weight_in_clause))
         return out
 
@@ -189,6 +188,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least_share: float) -> list[t
     """Words and stems that mark toxic rows, with smoothed log-odds weights."""
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         hasher = WordHasher(5)
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -309,6 +309,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     sent_docs = docs.select(*sent)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         scorer = ClauseScorer(lexicon)
         for batch in batches:
             x = np.array([scorer.features(t or "") for t in batch.column(own).to_pylist()]).reshape(-1, len(FEATURES))

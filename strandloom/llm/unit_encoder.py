@@ -33,7 +33,7 @@ class UnitEncoder:
     emptied, which changes speed only.
     """
 
-    def __init__(self, path: str | Path, keep_space: bool, cache_units: int = 700_000):
+    def __init__(self, path: str | Path, keep_space: bool, cache_units: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
