@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, mix, run_hashes, run_starts
-from strandloom.llm.shared import SLICE_CHARS, batch_slices, id_and_text
+from strandloom.llm.shared import SLICE_CHARS, batch_slices, free_worker, id_and_text
 
 _BLOCK_LOG2 = 22
 _REPEATED_SCHEMA = "row int, block int, windows long, seen binary, repeated binary"
@@ -123,6 +122,7 @@ def later_windows(
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         hasher, own = WordHasher(1), TaskSketch(depth, width_log2)
         for batch in batches:
             for part in batch_slices(batch, 0):
@@ -146,6 +146,7 @@ def later_windows(
     size = 1 << (min(_BLOCK_LOG2, width_log2) - 3)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         first, second = WordHasher(1), WordHasher(2)
         expand = zstandard.ZstdDecompressor()
         planes = [np.zeros(1 << (width_log2 - 3), dtype=np.uint8) for _ in range(depth)]
@@ -208,24 +209,28 @@ def later_windows(
         doc = np.concatenate([doc[lost], *done_docs])
         start = np.concatenate([start[lost], *done_starts])
         part = (mix(doc.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        doc, start, part = doc[order].astype("<i8"), start[order].astype("<u4"), part[order]
+        order = np.lexsort((doc, part))
+        doc, start, part = doc[order], start[order], part[order]
         edges = np.searchsorted(part, np.arange(shards + 1))
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        places = [[x[edges[p] : edges[p + 1]].tobytes() for p in full] for x in (doc, start)]
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip((full, *places), kinds)], names=["part", "docs", "starts"])
+        rows = []
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            used, counts = np.unique(doc[edges[p] : edges[p + 1]], return_counts=True)
+            rows.append((p, used.tolist(), _pack(counts), _pack(start[edges[p] : edges[p + 1]])))
+        cols = list(zip(*rows)) or [()] * 4
+        kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "doc_ids", "counts", "starts"])
 
     def gather(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        doc = np.frombuffer(b"".join(rows.column("docs").to_pylist()), "<i8")
-        start = np.frombuffer(b"".join(rows.column("starts").to_pylist()), "<u4")
+        columns = [rows.column(c).to_pylist() for c in ("doc_ids", "counts", "starts")]
+        doc = np.concatenate([np.repeat(np.array(ids, dtype=np.int64), _unpack(n)) for ids, n in zip(*columns[:2])])
+        start = np.concatenate([_unpack(s) for s in columns[2]]).astype("<u4")
         order = np.argsort(doc, kind="stable")
         doc, start = doc[order], start[order]
         edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
         blobs = [start[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         return pa.table([pa.array(doc[edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "starts"])
 
-    found = docs.mapInArrow(entries, _ENTRY_SCHEMA).groupBy("shard").applyInArrow(later, "part int, docs binary, starts binary")
+    found = docs.mapInArrow(entries, _ENTRY_SCHEMA).groupBy("shard").applyInArrow(later, "part int, doc_ids array<bigint>, counts binary, starts binary")
     return found.groupBy("part").applyInArrow(gather, "doc_id long, starts binary")
 
 
