@@ -24,3 +24,16 @@ def test_stages_hand_on_the_columns_of_documents(spark, sf_dir):
 def test_run_equals_its_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
+
+
+def test_near_copies_are_judged_by_five_words_and_four_fifths(spark, sf_dir):
+    def replaced(base, places):
+        return " ".join("other" + w if k in places else w for k, w in enumerate(base))
+
+    one, two = ([f"{c}{k}" for k in range(100)] for c in "ab")
+    # J5 = 86 / 106 = 0.81 and J3 = 92 / 104 = 0.88 for two words; J5 = 81 / 111 = 0.73 for three.
+    texts = [" ".join(one), replaced(one, {30, 60}), " ".join(two), replaced(two, {20, 50, 80})]
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, sf_dir)
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]
