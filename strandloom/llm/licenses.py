@@ -3,8 +3,11 @@
 A text is cut into sentences, each is normalised and mapped to the identifier
 of a known licence sentence, and the sequence of identifiers is matched against
 rules: a rule holds when its identifiers occur in its order, with others in
-between allowed.  Texts are read twice: once with line ends as sentence ends,
-once with line ends as spaces, for wrapped sentences.
+between allowed.  Texts are read in several views: with line ends as sentence
+ends; with line ends as spaces, for wrapped sentences; and with single line ends
+as spaces but blank lines as sentence ends, for notices under headings without a
+full stop.  Known sentences with a colon or semicolon inside (the GPL's) are
+found where only full stops end a sentence.
 
 Everything happens inside a row, so nothing is shuffled and no group can be
 hot.  A text without any of the trigger words (at least one is in each known
@@ -71,6 +74,15 @@ TRIGGERS = ("licen", "permission", "redistribut", "warrant", "reserved")
 
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)|\n+"
 
+#: As ``SENTENCE_END``, but colons and semicolons stay inside a sentence.
+FULL_STOP = r"[.!?]+(?:\s+|$)|\n+"
+
+#: A line end and all lines without letters or digits after it (blank, or comment marks).
+BLANK_LINES = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+
+#: Blank lines before an indented address belong to the sentence that names it.
+BEFORE_ADDRESS = BLANK_LINES + r"(?=[^A-Za-z0-9\n]*https?://)"
+
 
 def check_tables(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> None:
     """Raise where a sentence has no trigger or a rule names an unknown sentence."""
@@ -82,10 +94,16 @@ def check_tables(sentences: dict[str, str], rules: list[tuple[str, list[str]]])
             raise ValueError(f"rule {name} names unknown sentences")
 
 
-def _identifiers(text: Column, sentences: dict[str, str]) -> Column:
+def _paragraphs(text: Column) -> Column:
+    """One line for each paragraph: line feeds are left only where blank lines were."""
+    held = F.regexp_replace(F.regexp_replace(text, BEFORE_ADDRESS, " "), BLANK_LINES, "\0")
+    return F.translate(held, "\n\0", " \n")
+
+
+def _identifiers(text: Column, sentences: dict[str, str], end: str = SENTENCE_END) -> Column:
     known = F.create_map(*[F.lit(x) for name, words in sentences.items() for x in (words, name)])
     found = F.transform(
-        F.split(text, SENTENCE_END),
+        F.split(text, end),
         lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))),
     )
     return F.filter(found, lambda x: x.isNotNull())
@@ -112,13 +130,14 @@ def scan(
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("maybe", F.col("text").rlike("(?i)" + "|".join(TRIGGERS)))
     none = F.array().cast("array<string>")
-    views = [F.col("text"), F.translate("text", "\n", " ")]
-    ids = [F.when(F.col("maybe"), _identifiers(view, sentences)).otherwise(none) for view in views]
-    rows = rows.select("doc_id", ids[0].alias("sentence_ids"), ids[1].alias("wrapped"))
+    lines, wrapped, paragraphs = F.col("text"), F.translate("text", "\n", " "), _paragraphs(F.col("text"))
+    views = [(lines, SENTENCE_END), (wrapped, SENTENCE_END), (paragraphs, SENTENCE_END), (lines, FULL_STOP), (paragraphs, FULL_STOP)]
+    ids = [F.when(F.col("maybe"), _identifiers(view, sentences, end)).otherwise(none) for view, end in views]
+    names = ["sentence_ids", *(f"view_{k}" for k in range(1, len(views)))]
+    rows = rows.select("doc_id", *(c.alias(n) for c, n in zip(ids, names)))
     line = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))
-    met = [
-        F.when(line("sentence_ids").rlike(p) | line("wrapped").rlike(p), F.lit(name))
-        for name, p in ((name, rule_pattern(i)) for name, i in rules)
-    ]
+    # One string of all views; a line feed keeps a rule inside one of them.
+    rows = rows.select("doc_id", "sentence_ids", F.concat_ws("\n", *(line(n) for n in names)).alias("seen"))
+    met = [F.when(F.col("seen").rlike(p), F.lit(name)) for name, p in ((name, rule_pattern(i)) for name, i in rules)]
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
-    return rows.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") + F.size("wrapped") > 0, licenses).otherwise(none).alias("licenses"))
+    return rows.select("doc_id", "sentence_ids", F.when(F.col("seen").rlike(r"\S"), licenses).otherwise(none).alias("licenses"))

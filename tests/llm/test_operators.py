@@ -210,6 +210,74 @@ def test_license_rules(spark):
         licenses.check_tables({"a": "no trigger here"}, [])
 
 
+MIT_NOTICE = """MIT License
+
+Copyright (c) 2024 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_NOTICE = """Copyright (c) 2024, Some Author
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE_NOTICE = """Copyright 2024 Some Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_NOTICE = """A tool
+Copyright (C) 2024  Some Author
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_license_notices_as_published(spark):
+    commented = "".join(f" * {line}".rstrip() + "\r\n" for line in APACHE_NOTICE.split("\n"))
+    one_line = "A tool\n" + " ".join(GPL_NOTICE.split("\n\n")[1].split()) + "\n" + GPL_NOTICE.split("\n\n")[3].replace("\n", " ")
+    whole = [(MIT_NOTICE, "MIT"), (BSD_NOTICE, "BSD-2-Clause"), (APACHE_NOTICE, "Apache-2.0"), (GPL_NOTICE, "GPL-3.0-or-later")]
+    whole += [(commented, "Apache-2.0"), (one_line, "GPL-3.0-or-later"), (GPL_NOTICE.replace("software:", "software;"), "GPL-3.0-or-later")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, [t for t, _ in whole])).collect()}
+    assert [got[k] for k in range(len(whole))] == [[name] for _, name in whole]
+    paragraphs = licenses._paragraphs(F.lit(APACHE_NOTICE))
+    address = spark.range(1).select(licenses._identifiers(paragraphs, licenses.SENTENCES).alias("ids"))
+    assert address.first()["ids"] == ["apache-ref-2", "apache-use", "apache-copy"]
+
+
 def brute_components(texts, n, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
