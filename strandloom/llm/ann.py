@@ -141,12 +141,21 @@ def build_graph(vectors: np.ndarray, m: int = 12, width: int = 64, seed: int = 1
     return graph
 
 
-def usable(vector: Column, dim: int) -> Column:
+def usable(vector: Column, dim: int | Column) -> Column:
     values = F.transform(vector, lambda x: x.cast("double"))
     fine = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) == dim) & fine & F.exists(values, lambda x: x != 0), F.lit(False))
 
 
+def usual_length(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """The most frequent length of usable vectors, the smaller of equal ones; 0 without any."""
+    size = F.size(vector_col)
+    fine = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col), size))
+    counted = fine.groupBy(size.alias("dim")).agg(F.count("*").alias("n"))
+    first = counted.orderBy(F.desc("n"), "dim").first()
+    return first["dim"] if first else 0
+
+
 def _vectors(rows: DataFrame, dim: int, id_col: str, vector_col: str) -> DataFrame:
     fine = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col), dim))
     return fine.select(

@@ -269,7 +269,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    dim = ann.usual_length(rows)
     index = ann.build_index(rows, dim)
     return ann.search(index, rows.where("vec_id % 100 = 0"), dim)
 

@@ -386,6 +386,18 @@ def test_nearest_neighbours(spark):
     assert ann.search(ann.build_index(df.where("false"), 8), df.where("vec_id = 0"), 8).count() == 0
 
 
+def test_longer_stray_vectors_do_not_empty_the_neighbours(spark, tmp_path):
+    own = [(k, [float(k), 1.0, 2.0, 3.0]) for k in range(20)]
+    stray = [(100, [0.0] * 5), (101, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (102, [1.0] * 7), (103, None)]
+    unusable = [(200 + k, [0.0] * 3) for k in range(40)]
+    rows = spark.createDataFrame(own + stray + unusable, "vec_id long, embedding array<float>")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert ann.usual_length(rows) == 4 and ann.usual_length(rows.where("vec_id >= 200")) == 0
+    assert ann.usual_length(rows.where("vec_id in (0, 102)")) == 4
+    found = QUERIES["op10_nearest_neighbours"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, k, float(k)) for k in range(1, 11)]
+
+
 def test_kept_text_digest(spark, sf_dir):
     row = QUERIES["op1_substring_dedup"](spark, sf_dir).where("n_removed = 0").orderBy("doc_id").first()
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") == row["doc_id"]).first()["text"]
