@@ -38,6 +38,12 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50) -
     return labels, centers
 
 
+def _best_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``starts`` runs the one with the least squared distance to its centres, the first of equal ones."""
+    runs = [_kmeans(x, k, rng) for _ in range(starts)]
+    return min(runs, key=lambda run: np.square(x - run[1][run[0]]).sum())
+
+
 def _bic(x: np.ndarray, labels: np.ndarray, centers: np.ndarray) -> float:
     """Bayesian information of a spherical mixture with a shared variance (larger is better)."""
     n, m, k = len(x), x.shape[1], len(centers)
@@ -50,21 +56,27 @@ def _bic(x: np.ndarray, labels: np.ndarray, centers: np.ndarray) -> float:
     return fit - (k * (m + 1)) / 2 * np.log(n)
 
 
-def _split_while(x: np.ndarray, rng: np.random.Generator, better, start: int, most: int) -> np.ndarray:
-    labels, centers = _kmeans(x, min(start, len(x)), rng)
+def _assign(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 22) // max(1, centers.size))  # bounds the differences held at once
+    parts = [np.square(x[k : k + step, None, :] - centers[None]).sum(axis=2).argmin(axis=1) for k in range(0, len(x), step)]
+    return np.concatenate(parts)
+
+
+def _split_while(x: np.ndarray, rng: np.random.Generator, better, start: int, most: float, starts: int = 1) -> np.ndarray:
+    labels, centers = _best_kmeans(x, min(start, len(x)), rng, starts)
     while len(centers) < most:
         made = []
         for c in range(len(centers)):
             own = x[labels == c]
             if len(own) >= 2 and len(centers) + len(made) < most:
-                two, halves = _kmeans(own, 2, rng)
+                two, halves = _best_kmeans(own, 2, rng, starts)
                 if len(set(two.tolist())) == 2 and better(own, two, halves):
                     made.append((c, halves))
         if not made:
             break
         keep = [centers[c] for c in range(len(centers)) if c not in {m[0] for m in made}]
         centers = np.array(keep + [h for _, halves in made for h in halves])
-        labels = np.square(x[:, None, :] - centers[None]).sum(axis=2).argmin(axis=1)
+        labels = _assign(x, centers)
     return labels
 
 
@@ -77,8 +89,12 @@ def xmeans(x: np.ndarray, rng: np.random.Generator, most: int = 30) -> np.ndarra
     return _split_while(x, rng, better, 2, most)
 
 
-def gmeans(x: np.ndarray, rng: np.random.Generator, most: int = 30, critical: float = 1.8692) -> np.ndarray:
-    """K-means; a cluster splits where its projection fails the Anderson-Darling normality test."""
+def gmeans(x: np.ndarray, rng: np.random.Generator, starts: int = 10, critical: float = 1.8692) -> np.ndarray:
+    """K-means; a cluster splits while its projection fails the Anderson-Darling normality test.
+
+    Every split is the best of ``starts`` runs.  The number of clusters has no
+    cap: each split lowers the squared distances, so splitting ends.
+    """
     from statistics import NormalDist
 
     def better(own, two, halves):
@@ -93,7 +109,7 @@ def gmeans(x: np.ndarray, rng: np.random.Generator, most: int = 30, critical: fl
         a2 = -n - np.mean((2 * i - 1) * (np.log(f) + np.log(1 - f[::-1])))
         return a2 * (1 + 4 / n - 25 / n**2) > critical
 
-    return _split_while(x, rng, better, 1, most)
+    return _split_while(x, rng, better, 1, np.inf, starts)
 
 
 def affinity_propagation(x: np.ndarray, rng: np.random.Generator, damping: float = 0.5, rounds: int = 200, still: int = 15) -> np.ndarray:

@@ -133,6 +133,19 @@ def test_clusterers_find_two_far_groups():
         clustering.cluster_haplotypes(None, "no such thing")
 
 
+def test_gmeans_splits_past_thirty_groups():
+    bits = lambda n, m: [[int(b) for b in format(k, f"0{m}b")] for k in range(n)]
+    base = np.repeat(np.array(bits(64, 6)), [48, 40, 32, 24, 16, 12], axis=1)
+    x = np.array([list(b) + n for b in base for n in bits(16, 4)], dtype=float)
+    labels, groups = clustering.gmeans(x, np.random.default_rng(1)), np.repeat(np.arange(64), 16)
+    assert all(len(set(groups[labels == c].tolist())) == 1 for c in set(labels.tolist()))
+    spread = lambda starts: [
+        np.square(x - centers[own]).sum()
+        for own, centers in (clustering._best_kmeans(x, 6, np.random.default_rng(k), starts) for k in range(5))
+    ]
+    assert all(ten <= one for ten, one in zip(spread(10), spread(1)))
+
+
 def test_geweke_of_constant_and_shifted_series(spark):
     rows = [(0, k, 1.0) for k in range(200)] + [(1, k, float(k % 7)) for k in range(200)]
     z = posterior.geweke(spark.createDataFrame(rows, "chain int, at int, value double")).collect()
