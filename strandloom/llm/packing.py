@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.shared import batch_slices, id_and_text
-from strandloom.llm.unit_encoder import worker_encoder
+from strandloom.llm.unit_encoder import SLICE_BYTES, worker_encoder
 
 Piece = tuple[int, int, int]  # row, start in that row, length
 
@@ -128,8 +128,8 @@ def pack(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer, keep_space)
         for batch in batches:
-            for part in batch_slices(batch, 1):
-                ids, counts = encoder.encode(part.column(1).to_pylist())
+            for part in batch_slices(batch, 1, SLICE_BYTES):
+                ids, counts = encoder.encode(part.column(1))
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
                 width = 2 if not len(ids) or ids.max() < 1 << 16 else 4

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.shared import batch_slices, id_and_text
-from strandloom.llm.unit_encoder import worker_encoder
+from strandloom.llm.unit_encoder import SLICE_BYTES, worker_encoder
 
 _MAGIC = b"BPS1"
 _HEAD = "<4sIQBB"
@@ -116,8 +116,8 @@ def write_store(
             )
 
         for batch in batches:
-            for part_of in batch_slices(batch, 1):
-                ids, counts = encoder.encode(part_of.column(1).to_pylist())
+            for part_of in batch_slices(batch, 1, SLICE_BYTES):
+                ids, counts = encoder.encode(part_of.column(1))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1

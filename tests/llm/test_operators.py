@@ -38,16 +38,24 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert_same(QUERIES[name](spark, sf_dir), sf_dir, ORACLES[name])
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from(" \n\t.,'aAéÉ1Σß<|>\"-́ sS \u0085endoftx"), max_size=40), max_size=6))
+ENCODERS = [(Tokenizer.from_file(path), UnitEncoder(path, space, cache_units=50)) for path, space in ((BYTE, True), (WORD, False))]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t.,'aAéÉ1Σß<|>\"-́ sS \u0085endoftx\x00\x01　!$ĠʼnİΆ"), max_size=40), max_size=6))
 def test_unit_encoder_is_exact(texts):
-    for path, space in ((BYTE, True), (WORD, False)):
-        tokenizer = Tokenizer.from_file(path)
-        ids, counts = UnitEncoder(path, space, cache_units=50).encode(texts)
+    for tokenizer, encoder in ENCODERS:
+        ids, counts = encoder.encode(texts)
         want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["word", "Wörd", "s", "A", ".", ",", "$$", "'", "'s", "1", "\n", "\n\n", " ", " ", " "]), max_size=20).map("".join), max_size=6))
+def test_unit_encoder_is_exact_on_ordinary_texts(texts):
+    test_unit_encoder_is_exact.hypothesis.inner_test(texts)
+
+
 def test_special_strings_are_encoded_as_the_library_does():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y."]
     for path, space in ((BYTE, True), (WORD, False)):
