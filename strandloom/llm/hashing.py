@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
+from hashlib import blake2b
 
-#: Bytes that part words: space and the ASCII controls 9 to 13.
-SPACE_BYTES = (9, 10, 11, 12, 13, 32)
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -21,50 +22,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the space-separated words of UTF-8 texts.
+    """128-bit hashes of the words of texts, parted by spaces and the ASCII controls 9 to 13.
 
-    A word's hash is a polynomial over random values of its bytes, taken from
-    running sums, so no Python code runs for a single word.  Instances with
-    different ``seed`` hash independently.
+    Arrow cuts the texts and finds their distinct words, byte for byte; each of
+    those is hashed once by keyed BLAKE2b, so no word can be made to meet
+    another by arithmetic.  ``seed`` is the key.
     """
 
     def __init__(self, seed: int = 1, lower: bool = False):
-        rng = np.random.default_rng(seed)
-        self._values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        if lower:
-            self._values[65:91] = self._values[97:123]
-        self._base = int(rng.integers(1, 1 << 63)) * 2 % (1 << 64) | 1
-        self._inverse = pow(self._base, -1, 1 << 64)
-        self._is_word = np.ones(256, dtype=bool)
-        self._is_word[list(SPACE_BYTES)] = False
-        self._powers = self._inverses = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self._powers) < n:
-            size = -(-n // (1 << 18)) << 18
-            for name, base in (("_powers", self._base), ("_inverses", self._inverse)):
-                run = np.full(size, base, dtype=np.uint64)
-                run[0] = 1
-                setattr(self, name, np.multiply.accumulate(run))
-
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and where each text's words begin (one more at the end)."""
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)))
-        inside = self._is_word[data]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if inside[0]:
-            edges = np.concatenate(([0], edges))
-        starts, ends = edges[0::2], edges[1::2]
-        self._grow(len(data))
-        sums = self._values[data]
-        sums *= self._powers[: len(data)]
-        np.cumsum(sums, out=sums)
-        total = sums[ends - 1]
-        total -= np.where(starts > 0, sums[starts - 1], np.uint64(0))
-        total *= self._inverses[starts]
-        return mix(total), np.searchsorted(starts, offsets)
+        self._key, self._lower = seed.to_bytes(8, "little"), lower
+
+    def halves(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both 64-bit halves of all words' hashes, and where each text's words begin (one more at the end)."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.replace_substring_regex(texts, r"[\t-\r]", " ")
+        cut = pc.split_pattern(pc.ascii_lower(texts) if self._lower else texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        key = self._key
+        made = b"".join([blake2b(w, digest_size=16, key=key).digest() for w in distinct])
+        hashes = np.frombuffer(made, dtype="<u8").reshape(-1, 2)
+        codes = coded.indices.to_numpy()
+        inside = codes != distinct.index(b"") if b"" in distinct else np.ones(len(codes), dtype=bool)
+        before = np.concatenate(([0], np.cumsum(inside)))
+        bounds = before[np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy())))]
+        codes = codes[inside]
+        return hashes[codes, 0], hashes[codes, 1], bounds
+
+    def words(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first halves and the bounds of :meth:`halves`."""
+        first, _, bounds = self.halves(texts)
+        return first, bounds
 
 
 def run_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:

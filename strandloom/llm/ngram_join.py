@@ -2,19 +2,21 @@
 
 1. Every document becomes the set of its distinct n-word shingles.  Equal sets
    are collapsed to the smallest ``doc_id``.
-2. Shingles get one global order: by a bounded counting sketch, rare first, ties
-   by hash.  Two sets that reach the threshold share a shingle among the first
-   ``size - ceil(threshold * size) + 1`` of each.  Shingles that occur once are
-   left out.  Documents that share such a shingle form candidate classes.
-3. Each class's sets go to one task (a very large class: to one task for each
-   pair of its blocks), which stores them in a prefix tree, frequent shingles
+2. Shingles get one global order: by a bounded sketch of counters (exact up to
+   16, then in steps of a tenth, so that very frequent shingles stay apart), rare
+   first, ties by hash.  Two sets that reach the threshold share a shingle among
+   the first ``size - ceil(threshold * size) + 1`` of each, and their sizes lie in
+   one of two neighbouring bands.  Shingles that occur once are left out.
+   Documents that share such a shingle and band form candidate classes.
+3. Each class's sets go to one task (a class of very many shingles: to one task
+   for each pair of its blocks), which stores them in a prefix tree, frequent shingles
    first so that paths are shared, and walks it once for each set.  Overlap is
    counted along shared paths; a subtree is pruned when the lengths that remain
    cannot reach the threshold, or when it already belongs to the set's class.
 4. The links of all tasks are joined into components.
 
-A link is decided on all shingles of both sets (64-bit hashes), and only links
-inside one component are left out, so no two linked texts get different classes.
+A link is decided on all shingles of both sets (64 bits of keyed hashes of their
+words), and only links inside one component are left out, so no two linked texts get different classes.
 
 Nulls and edge cases: a text with fewer words than ``n`` is one shingle of all
 its words; a text without words, a null text and a null ``doc_id`` link with
@@ -24,19 +26,22 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.hashing import WordHasher, mix, run_hashes
-from strandloom.llm.shared import batch_slices, free_worker, id_and_text, slices, write_table
+from strandloom.llm.shared import SLICE_CHARS, batch_slices, free_worker, id_and_text, slices, write_table
 
 _BLOCK_LOG2 = 21
+_BAND = np.uint64(0xD6E8FEB86659FD93)
 _SCAN_SCHEMA = "doc_id long, n_shingles long, high long, low long, block int, counts binary"
 
 
@@ -47,7 +52,7 @@ class Shingler:
         self.n, self._hasher = n, WordHasher(3, lower=True)
 
     def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for cut in slices(texts):
+        for cut in slices(texts, 4 * SLICE_CHARS):
             words, bounds = self._hasher.words(texts[cut])
             runs = run_hashes(words, self.n)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -199,12 +204,41 @@ def class_links(ids: list[int], texts: list[str], n: int, percent: int) -> list[
     return [(ids[k], ids[c]) for k, c in enumerate(found) if ids[k] != ids[c]]
 
 
+#: What a counter of 0..255 stands for: exact up to 16, then steps of a tenth (up to 10 ** 11).
+COUNTER_VALUES = np.where(np.arange(256) <= 16, np.arange(256), 16 * 1.1 ** (np.arange(256) - 16.0))
+#: The chance by which one more occurrence raises a counter.
+_RISE = np.append(1 / np.diff(COUNTER_VALUES), 0.0)
+
+
+def count_up(counts: np.ndarray, cells: np.ndarray, rng: np.random.Generator) -> None:
+    """Count distinct ``cells`` once more; never less than two after two calls."""
+    held = counts[cells]
+    rise = held < 16
+    high = np.flatnonzero(~rise)
+    rise[high] = rng.random(len(high)) < _RISE[held[high]]
+    counts[cells] = held + rise
+
+
+def add_counters(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Counters of the sums; exact where these are up to 16."""
+    total = COUNTER_VALUES[x] + COUNTER_VALUES[y]
+    low = np.minimum(np.searchsorted(COUNTER_VALUES, total, "right") - 1, 254)
+    over = (total - COUNTER_VALUES[low]) * _RISE[low]
+    return (low + (rng.random(len(total)) < over)).astype(np.uint8)
+
+
+def size_band(size: int, percent: int) -> int:
+    """Sets whose sizes allow a link have the same band or neighbouring ones."""
+    step = 1.001 * math.log(100 / percent) if percent < 100 else 1.0
+    return int(math.log(size) / step)
+
+
 def _merge_counts(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand, total = zstandard.ZstdDecompressor(), None
+    expand, total, rng = zstandard.ZstdDecompressor(), None, np.random.default_rng(key[0].as_py())
     for batch in parts:
         for frame in batch.column("counts").to_pylist():
             more = np.frombuffer(expand.decompress(frame), dtype=np.uint8)
-            total = more.copy() if total is None else np.where(total > 255 - more, np.uint8(255), total + more)
+            total = more if total is None else add_counters(total, more, rng)
     made = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([made], pa.binary())], names=["block", "counts"])
 
@@ -214,7 +248,8 @@ def ngram_components(
     n: int = 3,
     percent: int = 90,
     width_log2: int = 26,
-    block_docs: int = 8192,
+    block_shingles: int = 3_000_000,
+    sketches: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -224,20 +259,19 @@ def ngram_components(
     default); it orders shingles and decides no link.
     """
     rows = id_and_text(docs, id_col, text_col)
+    sketches = sketches or 2 * docs.sparkSession.sparkContext.defaultParallelism
     size = 1 << min(_BLOCK_LOG2, width_log2)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         shingler = Shingler(n)
-        counts = np.zeros(1 << width_log2, dtype=np.uint8)
+        counts, rng = np.zeros(1 << width_log2, dtype=np.uint8), np.random.default_rng(TaskContext.get().partitionId())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = ["doc_id", "n_shingles", "high", "low", "block", "counts"]
-        for batch in (part for whole in batches for part in batch_slices(whole, 1)):
+        for batch in (part for whole in batches for part in batch_slices(whole, 1, 4 * SLICE_CHARS)):
             out = []
             for key, own in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())):
-                cells = np.unique(own >> np.uint64(64 - width_log2))
-                held = counts[cells]
-                counts[cells] = held + (held < 255)
+                count_up(counts, np.unique(own >> np.uint64(64 - width_log2)), rng)
                 prints = (own, mix(own)) if len(own) else (np.zeros(1, np.uint64),) * 2
                 high, low = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in prints)
                 out.append((key, len(own), high, low, None, None))
@@ -249,7 +283,7 @@ def ngram_components(
                 made = (None, None, None, None, block, squeeze.compress(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made, kinds)], names=names)
 
-    scanned = write_table(rows.mapInArrow(scan, _SCAN_SCHEMA), "shingle-scan")
+    scanned = write_table(rows.coalesce(sketches).mapInArrow(scan, _SCAN_SCHEMA), "shingle-scan")
     sketch = (
         scanned.where("block is not null")
         .select("block", "counts")
@@ -269,15 +303,16 @@ def ngram_components(
         counts = np.zeros(1 << width_log2, dtype=np.uint8)
         for block, frame in shared.value:
             counts[block * size : (block + 1) * size] = np.frombuffer(expand.decompress(frame), dtype=np.uint8)
-        for batch in (part for whole in batches for part in batch_slices(whole, 1)):
+        for batch in (part for whole in batches for part in batch_slices(whole, 1, 4 * SLICE_CHARS)):
             keys, found, many = batch.column(0).to_pylist(), [], []
             for own in shingler.sets(batch.column(1).to_pylist()):
                 held = counts[own >> np.uint64(64 - width_log2)]
                 first = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                 order = np.argsort(held, kind="stable")[:first]  # ``own`` is sorted by hash: ties by hash
-                order = order[held[order] > 1]
-                found.append(own[order].view(np.int64))
-                many.append(len(order))
+                chosen = own[order[held[order] > 1]]
+                bands = size_band(len(own), percent) + np.arange(2, dtype=np.uint64) if len(own) else ()
+                found += [mix(chosen + _BAND * band).view(np.int64) for band in bands]
+                many.append(len(bands) * len(chosen))
             if any(many):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(keys, dtype=np.int64), many)), pa.array(np.concatenate(found))],
@@ -294,9 +329,12 @@ def ngram_components(
         raw = raw.join(head_of.withColumnRenamed("doc_id", side), side).drop(side).withColumnRenamed("head", side)
     classes = write_table(connected_components(raw.select("a", "b"), "shingle-classes"), "classes")
 
-    sizes = classes.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_docs))
+    # Blocks of about as many shingles each, whatever the sizes of the documents.
+    weights = linkable.groupBy("doc_id").agg(F.max("n_shingles").alias("weight"))
+    classes = classes.withColumnRenamed("node", "doc_id").join(weights, "doc_id")
+    sizes = classes.groupBy("component").agg(F.ceil(F.sum("weight") / block_shingles).alias("blocks"))
     dealt = classes.join(sizes, "component").select(
-        F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long").alias("own")
+        "doc_id", "component", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("own")
     )
     # One task for a class of one block; else one for each pair of blocks.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 2, F.lit(0))))

@@ -1,7 +1,9 @@
 """Sequence packing: first-fit decreasing on a tournament tree, by random groups.
 
-Documents go to groups by a hash, so each group is a random sample of bounded
-size and groups are packed apart.  Within a group, ids beyond whole sequences
+Encoded documents are written to the shared folder first, so that their rows
+and ids are counted before they are dealt out, and each row is told from equal
+ones.  They go to groups by a hash of all that, so each group is a random sample
+of bounded size, and groups are packed apart.  Within a group, ids beyond whole sequences
 are packed first-fit decreasing; a tournament tree over the bins' free space
 finds the first bin that fits in logarithmic time.  Bins that keep a gap are
 then topped up by cutting the emptiest bins' pieces, and what is left over at
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import batch_slices, id_and_text
+from strandloom.llm.shared import batch_slices, id_and_text, write_table
 from strandloom.llm.unit_encoder import SLICE_BYTES, worker_encoder
 
 Piece = tuple[int, int, int]  # row, start in that row, length
@@ -113,15 +115,16 @@ def pack(
     end_id: int | None = 0,
     capacity: int = 1024,
     group_rows: int = 1024,
+    group_ids: int = 1 << 21,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Pieces of all documents, each with its ids and its place in a sequence.
 
-    A document of very many ids is dealt out as segments of 64 sequences, so a
-    group holds about ``group_rows`` rows of bounded length.  One shuffle moves
-    the ids (two bytes each where the vocabulary allows).
+    A document of very many ids is dealt out as segments of 64 sequences.  A
+    group holds about ``group_rows`` rows or ``group_ids`` ids, whichever is
+    less.  One shuffle moves the ids (two bytes each where the vocabulary allows).
     """
     longest = 64 * capacity
 
@@ -166,9 +169,15 @@ def pack(
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    groups = max(1, docs.count() // group_rows)
-    encoded = id_and_text(docs, id_col, text_col).mapInArrow(
-        encode, "doc_id long, start long, doc_tokens long, width int, ids binary"
+    encoded = write_table(
+        id_and_text(docs, id_col, text_col).mapInArrow(
+            encode, "doc_id long, start long, doc_tokens long, width int, ids binary"
+        ),
+        "packing-ids",
+        "snappy",
     )
-    group = F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids"), F.lit(seed)), F.lit(groups))
+    held = encoded.agg(F.count("*").alias("rows"), F.sum(F.least(F.lit(longest), F.col("doc_tokens") - F.col("start"))).alias("ids")).first()
+    groups = max(1, held["rows"] // group_rows, (held["ids"] or 0) // group_ids)
+    # The place of a row in the written table tells equal rows apart, however often it is read.
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id", "start", F.lit(seed)), F.lit(groups))
     return encoded.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(pack_group, PIECES)

@@ -1,8 +1,9 @@
 """Substring dedup: a count-min prefilter, then exact grouping of what repeats.
 
 Pass 1 hashes every window of ``window`` consecutive words.  Each task keeps a
-count-min sketch whose counters saturate at two (two bit planes a row); the
-tasks' sketches are merged block by block.  A merged counter is never below a
+count-min sketch whose counters saturate at two (two bit planes a row); scan
+partitions are coalesced to a few for each core, so the number of sketches goes
+with the cluster and not with the input, and they are merged block by block.  A merged counter is never below a
 window's true count, so a window with a counter of one in any row is unique.
 Pass 2 groups only the windows estimated to repeat, by a 96-bit fingerprint,
 and finds those that do not come first.  Pass 3 removes the words they cover.
@@ -15,8 +16,9 @@ batch of documents, as only a batch's first occurrence goes on.
 
 Nulls and edge cases: a null text has no words; texts shorter than a window
 keep all; copies of a text in the same table lose every window but the first;
-rows that share a ``doc_id`` count as one place and lose the same positions;
-rows with a null ``doc_id`` have no place, so they are neither cut nor compared;
+a window counts as earlier by ``(doc_id, start)``, so equal rows do not cut each
+other, and rows that share a ``doc_id`` but not the text (told apart by the
+text's CRC-32) are each cut at their own places; rows with a null ``doc_id`` have no place, so they are neither cut nor compared;
 an empty table gives no rows; further columns are ignored.
 """
 
@@ -29,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, mix, run_hashes, run_starts
 from strandloom.llm.shared import SLICE_CHARS, batch_slices, free_worker, id_and_text
 
 _BLOCK_LOG2 = 22
 _REPEATED_SCHEMA = "row int, block int, windows long, seen binary, repeated binary"
-_ENTRY_SCHEMA = "shard int, doc_ids array<bigint>, docs binary, starts binary, prints binary, later_docs binary, later_starts binary"
+_ENTRY_SCHEMA = "shard int, doc_ids array<bigint>, crcs binary, docs binary, starts binary, prints binary, later_docs binary, later_starts binary"
+_PLACE_SCHEMA = "part int, doc_ids array<bigint>, crcs binary, counts binary, starts binary"
 
 
 def _cells(windows: np.ndarray, row: int, width_log2: int) -> np.ndarray:
@@ -112,21 +116,31 @@ def _merge_blocks(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -
     )
 
 
+def _u4(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u4")
+
+
 def later_windows(
-    docs: DataFrame, window: int = 20, depth: int = 2, width_log2: int = 28, shard_windows: int = 2_000_000
+    docs: DataFrame,
+    window: int = 20,
+    depth: int = 2,
+    width_log2: int = 28,
+    shard_windows: int = 2_000_000,
+    sketches: int | None = None,
 ) -> DataFrame:
-    """``doc_id, starts``: packed u4 word positions of windows that come first elsewhere.
+    """``doc_id, crc, starts``: packed u4 word positions of windows that come first elsewhere.
 
-    ``docs`` has ``doc_id, text`` as :func:`id_and_text` gives them.  Shards of
+    ``docs`` has ``doc_id, text, crc`` (the text's CRC-32).  Shards of
     fingerprints send what they find to parts of documents, as packed arrays.
     """
+    sketches = sketches or 2 * docs.sparkSession.sparkContext.defaultParallelism
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         hasher, own = WordHasher(1), TaskSketch(depth, width_log2)
         for batch in batches:
-            for part in batch_slices(batch, 0):
-                words, bounds = hasher.words(part.column(0).to_pylist())
+            for part in batch_slices(batch, 0, 2 * SLICE_CHARS):
+                words, bounds = hasher.words(part.column(0))
                 own.add(run_hashes(words, window)[run_starts(bounds, window)])
         for made in own.blocks():
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
@@ -135,6 +149,7 @@ def later_windows(
 
     merged = (
         docs.select("text")
+        .coalesce(sketches)
         .mapInArrow(sketch, _REPEATED_SCHEMA)
         .groupBy("row", "block")
         .applyInArrow(_merge_blocks, "row int, block int, windows long, repeated binary")
@@ -147,7 +162,7 @@ def later_windows(
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
-        first, second = WordHasher(1), WordHasher(2)
+        hasher = WordHasher(1)
         expand = zstandard.ZstdDecompressor()
         planes = [np.zeros(1 << (width_log2 - 3), dtype=np.uint8) for _ in range(depth)]
         for row, block, frame in shared.value:
@@ -156,8 +171,8 @@ def later_windows(
             for cut in batch_slices(batch, 1, 4 * SLICE_CHARS):
                 # By doc_id, so that within a slice the order of windows is that of (doc_id, start).
                 cut = cut.sort_by("doc_id")
-                keys, texts = cut.column(0).to_pylist(), cut.column(1).to_pylist()
-                words, bounds = first.words(texts)
+                keys, crcs = cut.column(0).to_numpy(), cut.column(2).to_numpy().astype("<u4")
+                words, others, bounds = hasher.halves(cut.column(1))
                 at = run_starts(bounds, window)
                 high = run_hashes(words, window)[at]
                 keep = np.ones(len(high), dtype=bool)
@@ -166,13 +181,16 @@ def later_windows(
                 at, high = at[keep], high[keep]
                 if not len(at):
                     continue
-                low = (run_hashes(second.words(texts)[0], window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+                low = (run_hashes(others, window, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 doc = (np.searchsorted(bounds, at, "right") - 1).astype("<u4")
                 start = (at - bounds[doc]).astype("<u4")
-                order = np.lexsort((low, high))
+                twins = bool((keys[1:] == keys[:-1]).any())
+                order = np.lexsort((start, keys[doc], low, high) if twins else (low, high))
                 high, low, doc, start = high[order], low[order], doc[order], start[order]
-                again = np.zeros(len(high), dtype=bool)
-                again[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+                new = np.ones(len(high), dtype=bool)
+                new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                again = (keys[doc] != keys[doc[head]]) | (start != start[head])
                 shard = (high >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
                 edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
                 prints = np.empty(len(high), dtype=[("high", "<u8"), ("low", "<u4")])
@@ -182,56 +200,67 @@ def later_windows(
                     part = slice(edges[s], edges[s + 1])
                     used, own = np.unique(doc[part], return_inverse=True)
                     more = again[part]
-                    ids = [keys[u] for u in used.tolist()]
                     places = [_pack(x) for x in (own[~more], start[part][~more], own[more], start[part][more])]
-                    rows.append((s, ids, *places[:2], prints[part][~more].tobytes(), *places[2:]))
-                kinds = (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5)
-                names = ["shard", "doc_ids", "docs", "starts", "prints", "later_docs", "later_starts"]
+                    rows.append((s, keys[used].tolist(), crcs[used].tobytes(), *places[:2], prints[part][~more].tobytes(), *places[2:]))
+                kinds = (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6)
+                names = ["shard", "doc_ids", "crcs", "docs", "starts", "prints", "later_docs", "later_starts"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def later(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        docs_, starts, prints, done_docs, done_starts = [], [], [], [], []
-        columns = (rows.column(c).to_pylist() for c in ("doc_ids", "docs", "starts", "prints", "later_docs", "later_starts"))
-        for ids, d, s, p, ld, ls in zip(*columns):
-            ids = np.array(ids, dtype=np.int64)
-            docs_.append(ids[_unpack(d)])
+        # Rows of the shard's documents are numbered; doc and crc belong to a number.
+        numbers, starts, prints, done, done_starts, base = [], [], [], [], [], 0
+        id_lists, crc_lists = rows.column("doc_ids").to_pylist(), rows.column("crcs").to_pylist()
+        columns = (rows.column(c).to_pylist() for c in ("docs", "starts", "prints", "later_docs", "later_starts"))
+        for ids, d, s, p, ld, ls in zip(id_lists, *columns):
+            numbers.append(base + _unpack(d))
             starts.append(_unpack(s).astype(np.uint32))
             prints.append(np.frombuffer(p, dtype=[("high", "<u8"), ("low", "<u4")]))
-            done_docs.append(ids[_unpack(ld)])
+            done.append(base + _unpack(ld))
             done_starts.append(_unpack(ls).astype(np.uint32))
-        doc, start, prints = np.concatenate(docs_), np.concatenate(starts), np.concatenate(prints)
-        order = np.lexsort((start, doc, prints["low"], prints["high"]))
-        doc, start, high, low = doc[order], start[order], prints["high"][order], prints["low"][order]
-        new = np.ones(len(doc), dtype=bool)
+            base += len(ids)
+        ids, crcs = np.concatenate([np.array(i, dtype=np.int64) for i in id_lists]), _u4(crc_lists)
+        number, start, prints = np.concatenate(numbers), np.concatenate(starts), np.concatenate(prints)
+        order = np.lexsort((start, ids[number], prints["low"], prints["high"]))
+        number, start, high, low = number[order], start[order], prints["high"][order], prints["low"][order]
+        new = np.ones(len(number), dtype=bool)
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-        lost = (doc != doc[head]) | (start != start[head])
-        doc = np.concatenate([doc[lost], *done_docs])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        lost = (ids[number] != ids[number[head]]) | (start != start[head])
+        number = np.concatenate([number[lost], *done])
         start = np.concatenate([start[lost], *done_starts])
-        part = (mix(doc.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((doc, part))
-        doc, start, part = doc[order], start[order], part[order]
-        edges = np.searchsorted(part, np.arange(shards + 1))
-        rows = []
+        # Parts by document; within a part by document and text.
+        part = (mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[np.lexsort((crcs, ids, part))] = np.arange(len(ids))
+        order = np.argsort(rank[number], kind="stable")
+        number, start = number[order], start[order]
+        edges = np.searchsorted(part[number], np.arange(shards + 1))
+        out = []
         for p in np.flatnonzero(np.diff(edges)).tolist():
-            used, counts = np.unique(doc[edges[p] : edges[p + 1]], return_counts=True)
-            rows.append((p, used.tolist(), _pack(counts), _pack(start[edges[p] : edges[p + 1]])))
-        cols = list(zip(*rows)) or [()] * 4
-        kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "doc_ids", "counts", "starts"])
+            own = number[edges[p] : edges[p + 1]]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            counts = np.diff(np.append(first, len(own)))
+            used = own[first]
+            out.append((p, ids[used].tolist(), crcs[used].tobytes(), _pack(counts), _pack(start[edges[p] : edges[p + 1]])))
+        cols = list(zip(*out)) or [()] * 5
+        kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "doc_ids", "crcs", "counts", "starts"])
 
     def gather(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        columns = [rows.column(c).to_pylist() for c in ("doc_ids", "counts", "starts")]
-        doc = np.concatenate([np.repeat(np.array(ids, dtype=np.int64), _unpack(n)) for ids, n in zip(*columns[:2])])
-        start = np.concatenate([_unpack(s) for s in columns[2]]).astype("<u4")
-        order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order]
-        edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
+        id_lists, crcs, counts, starts = (rows.column(c).to_pylist() for c in ("doc_ids", "crcs", "counts", "starts"))
+        many = np.concatenate([_unpack(n) for n in counts])
+        doc = np.repeat(np.concatenate([np.array(ids, dtype=np.int64) for ids in id_lists]), many)
+        crc = np.repeat(_u4(crcs), many)
+        start = np.concatenate([_unpack(s) for s in starts]).astype("<u4")
+        order = np.lexsort((crc, doc))
+        doc, crc, start = doc[order], crc[order], start[order]
+        edges = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]), [True])))
         blobs = [start[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-        return pa.table([pa.array(doc[edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "starts"])
+        columns = [pa.array(doc[edges[:-1]]), pa.array(crc[edges[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())]
+        return pa.table(columns, names=["doc_id", "crc", "starts"])
 
-    found = docs.mapInArrow(entries, _ENTRY_SCHEMA).groupBy("shard").applyInArrow(later, "part int, doc_ids array<bigint>, counts binary, starts binary")
-    return found.groupBy("part").applyInArrow(gather, "doc_id long, starts binary")
+    found = docs.mapInArrow(entries, _ENTRY_SCHEMA).groupBy("shard").applyInArrow(later, _PLACE_SCHEMA)
+    return found.groupBy("part").applyInArrow(gather, "doc_id long, crc long, starts binary")
 
 
 def substring_dedup(
@@ -242,7 +271,7 @@ def substring_dedup(
     The words that stay are joined by one space.  One shuffle brings texts and
     their positions together.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col).withColumn("crc", F.crc32("text"))
     found = later_windows(rows.where("doc_id is not null"), window, **sketch)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,5 +295,5 @@ def substring_dedup(
                 names=["doc_id", "n_words", "n_removed", "text"],
             )
 
-    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "starts")
+    joined = rows.join(found, ["doc_id", "crc"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, text string")

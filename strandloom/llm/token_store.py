@@ -7,8 +7,9 @@ of all blocks is one zstandard frame, and a header gives the frames' lengths.
 The other columns are the chunk index, which can be read without a payload.
 
 Nulls and edge cases: a null text counts as empty and has only the end id; a
-null ``doc_id`` sorts first; rows with equal ids are ordered by their text; an
-empty table gives an empty store; further columns are ignored.
+null ``doc_id`` sorts first; rows with equal ids are ordered by a hash of their
+text, and may lie in several parts of the store; an empty table gives an empty
+store; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,7 +133,10 @@ def write_store(
             yield flush()
 
     rows = id_and_text(docs, id_col, text_col)
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Hash and row number let the rows of one id, and equal rows, be cut into several ranges.
+    order = ["doc_id", "hash", "row"]
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     placed.mapInArrow(chunks, CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -196,7 +196,7 @@ class UnitEncoder:
 
     def _encode(self, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         coded = cut.flatten().dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        places = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         flat, sizes = self._young.ids(places)
         before = np.concatenate(([0], np.cumsum(sizes)))
         bounds = np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy())))

@@ -301,8 +301,8 @@ def brute_components(texts, n, percent):
     return [(len(s), x) for s, x in zip(sets, label)]
 
 
-@pytest.mark.parametrize("block_docs", [8192, 7])
-def test_ngram_join_against_brute_force(spark, block_docs):
+@pytest.mark.parametrize("block_shingles", [3_000_000, 700])
+def test_ngram_join_against_brute_force(spark, block_shingles):
     rng = np.random.default_rng(8)
     texts = [None, "", " ", "one", "ONE", "one two", "É two x", "é two x"]
     for family in range(5):
@@ -312,7 +312,7 @@ def test_ngram_join_against_brute_force(spark, block_docs):
             for k in rng.integers(0, len(own), int(rng.integers(0, len(own) // 14 + 2))):
                 own[k] = f"n{family}-{copy}-{k}"
             texts.append(" ".join(own))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs_of(spark, texts), block_docs=block_docs, width_log2=14).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs_of(spark, texts), block_shingles=block_shingles, width_log2=14).collect()}
     assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 90)
 
 
@@ -410,3 +410,39 @@ def test_kept_text_digest(spark, sf_dir):
     row = QUERIES["op1_substring_dedup"](spark, sf_dir).where("n_removed = 0").orderBy("doc_id").first()
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") == row["doc_id"]).first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(b" ".join(text.encode().split())).hexdigest()
+
+
+def thue_morse(n):
+    """Two words of n letters that differ everywhere, whose polynomials agree modulo 2 ** 64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    one, two = thue_morse(4096)
+    rest = words(19, 77)
+    for first, second in ((one, two), (two, one)):
+        texts = [" ".join([first, *rest]), " ".join([second, *rest])]
+        got = substring_dedup.substring_dedup(docs_of(spark, texts), 20, width_log2=16).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in got] == [0, 0]
+        docs = docs_of(spark, [f"{first} q r", f"{second} q r"])
+        assert [r["component_id"] for r in ngram_join.ngram_components(docs, width_log2=14).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_rows_of_one_id_are_cut_at_their_own_places(spark):
+    base, other = words(40, 31), words(40, 32)
+    a, b = " ".join(base), " ".join(other)
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n_removed"], r["text"]) for r in substring_dedup.substring_dedup(df, 20, width_log2=16).collect())
+    assert got == sorted([(1, 0, a), (5, 40, ""), (5, 0, b), (5, 0, b), (7, 40, ""), (-1, 0, a)])
+
+
+def test_counters_never_lose_a_repeat_and_stay_apart():
+    rng, counts = np.random.default_rng(1), np.zeros(4, dtype=np.uint8)
+    for k in range(20_000):
+        ngram_join.count_up(counts, np.array([0] + [1] * (k % 10 == 0) + [2] * (k < 2)), rng)
+    assert counts[2] == 2 and abs(ngram_join.COUNTER_VALUES[counts[0]] / 20_000 - 1) < 0.5 and counts[0] > counts[1] + 10
+    both = ngram_join.add_counters(counts, counts, rng)
+    assert both[2] == 4 and both[3] == 0 and counts[0] + 5 < both[0] < counts[0] + 10
+    assert all(abs(ngram_join.size_band(s, 90) - ngram_join.size_band(-(-9 * s // 10), 90)) <= 1 for s in range(1, 5000))
