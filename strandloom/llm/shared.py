@@ -47,6 +47,24 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_rest(docs: DataFrame, first: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Columns ``first`` and, as one struct ``rest``, all others: no name of theirs can clash."""
+    others = [F.col(quoted(c)).alias(f"_{k}") for k, c in enumerate(c for c in docs.columns if c not in first)]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("_0"))
+    return docs.select(*[F.col(quoted(c)).alias(c) for c in first], rest.alias("rest"))
+
+
+def without_rest(df: DataFrame, columns: list[str], first: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``columns`` in their order, from ``first`` and the struct of :func:`with_rest`."""
+    place = {c: f"rest._{k}" for k, c in enumerate(c for c in columns if c not in first)}
+    return df.select(*[F.col(place.get(c, c)).alias(c) for c in columns])
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[slice]:
     """Consecutive slices of about ``limit`` characters; a longer text has its own."""
     begin, chars = 0, 0

@@ -1,21 +1,25 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers each read a clause's tokens as classes (insult, threat,
-target, negation, reported speech, other) and keep one thing in their state:
-how long a negation still reaches, whether speech is reported, whether a target
-was named.  Their composition labels every insult and threat of a clause with
-its context; a clause scores by the labelled weights, not by single words.
+Five transducers read a clause's tokens as classes (insult, threat, target,
+speaker, future, negation, reported speech, other).  The insult transducer tells
+bare, aimed (a target shortly before) and chained insults apart; the threat
+transducer bare threats from announced ones (speaker and future before the verb)
+and aimed ones (a target after it); each transition that finds something has a
+label and a weight.  The other three say in which context: how long a negation
+still reaches, whether speech is reported, whether a target was named.  Their
+composition scores matched clauses by label and context, not single words.
 
 The insult lexicon (words and word stems with log-odds weights) and the weights
-of the contexts are learned from labelled rows.  At most ``max_rows`` labelled
-rows, taken by hash of their id, are used, and at most ``max_terms`` terms are
-kept; both are bounds on the model, not on what is scored.  Near copies in the
-training rows count once (by the smallest hash of their 5-word runs).
+of labels and contexts are learned from labelled rows.  At most ``max_rows``
+labelled rows, taken by hash of their id, are used: a bound on what the model is
+fitted to, not on what is scored.  Near copies in the training rows count once
+(by the smallest hash of their 5-word runs).
 
 Nulls and edge cases: a null or empty text scores like any text without matched
-clauses; null labels are not learned from; without labels of both kinds every
-score is the share of toxic labels (0 if there are none); repeated rows score
-alike; an empty table gives no rows; further columns are ignored.
+clauses; null labels are not learned from; of rows that share a labelled
+``doc_id`` one (the smallest text) is learned from; without labels of both kinds
+every score is the share of toxic labels (0 if there are none); repeated rows
+score alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,74 +36,129 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, run_hashes
-from strandloom.llm.shared import free_worker, id_and_text, slices
+from strandloom.llm.shared import free_worker, id_and_text, slices, with_rest, without_rest
 
 #: Token classes.
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult threat target negation report other".split()
+INSULT, THREAT, TARGET, SPEAKER, FUTURE, NEGATION, REPORT, OTHER = "insult threat target speaker future negation report other".split()
 
-#: Seed words of the closed classes, for the four languages of the corpus.
+#: Words of the closed classes, for the four languages of the corpus.
 WORDS = {
-    TARGET: "you your yourself they them du dich dir euch ihr tu te toi vous votre usted ustedes vosotros ellos",
+    TARGET: "you your yourself they them their du dich dir dein euch ihr sie tu te toi ton vous votre ti usted ustedes vosotros ellos",
+    SPEAKER: "i we ich wir je nous yo nosotros",
+    FUTURE: "will going gonna shall ll must werde werden muss vais allons veux voy vamos quiero",
     NEGATION: "not never neither nor cannot nicht kein keine niemals jamais aucun nunca tampoco",
     REPORT: "said says told wrote claimed quoted sagte sagt schrieb behauptete dit disait écrit dijo dice escribió",
-    THREAT: "kill murder hurt destroy töten umbringen vernichten tuer détruire frapper matar destruir golpear",
+    THREAT: "kill murder hurt destroy beat shoot burn töten umbringen vernichten schlagen tuer détruire frapper brûler matar destruir golpear quemar",
 }
 _CLASS_OF = {word: kind for kind, text in WORDS.items() for word in text.split()}
 _WORD = re.compile(r"\w+")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
-#: Tokens that a negation reaches.
-NEGATION_REACH = 3
+#: Tokens that a negation, a target before an insult, a speaker, and a threat's verb reach.
+NEGATION_REACH, TARGET_REACH, SPEAKER_REACH, VERB_REACH = 3, 3, 4, 3
 
-FEATURES = [f"{kind}-{context}" for kind in (INSULT, THREAT) for context in ("plain", "negated", "reported")]
-FEATURES += ["targeted", "clauses", "density"]
+LABELS = ["insult-bare", "insult-aimed", "insult-chained", "threat-bare", "threat-announced", "threat-aimed"]
+CONTEXTS = ["plain", "negated", "reported"]
+FEATURES = [f"{label}-{context}" for label in LABELS for context in CONTEXTS] + ["targeted", "clauses", "density"]
+
+State = str | tuple[str, int]
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Transitions ``(state, class) -> state``; ``marks`` names the states that label."""
+    """Transitions ``(state, class) -> (state, label, weight)``; an empty label says nothing.
+
+    A state ``(name, n)`` reaches ``n`` more tokens: without a transition of its
+    own it becomes ``(name, n - 1)``, and at last the start.  A plain name stays.
+    Transitions are looked up by the state's name.
+    """
+
+    start: str
+    moves: dict[tuple[str, str], tuple[State, str, float]]
+
+    def step(self, state: State, kind: str) -> tuple[State, str, float]:
+        name = state[0] if isinstance(state, tuple) else state
+        found = self.moves.get((name, kind))
+        if found is None and isinstance(state, tuple):
+            found = ((name, state[1] - 1) if state[1] > 1 else self.start, "", 0.0)
+        return found or (state, "", 0.0)
+
+
+def insult_transducer(reach: int = TARGET_REACH) -> Transducer:
+    aimed, after = ("aimed", reach), ("after", 1)
+    return Transducer(
+        "none",
+        {(name, TARGET): (aimed, "", 0.0) for name in ("none", "aimed", "after")}
+        | {
+            ("none", INSULT): (after, "insult-bare", 1.0),
+            ("aimed", INSULT): (after, "insult-aimed", 1.5),
+            ("after", INSULT): (after, "insult-chained", 1.25),
+        },
+    )
 
-    start: int
-    moves: dict[tuple[int, str], int]
-    marks: frozenset[int]
 
-    def step(self, state: int, kind: str) -> int:
-        return self.moves.get((state, kind), self.moves.get((state, ""), state))
+def threat_transducer(speaker: int = SPEAKER_REACH, verb: int = VERB_REACH) -> Transducer:
+    said = {(name, SPEAKER): (("speaker", speaker), "", 0.0) for name in ("none", "speaker", "plan")}
+    return Transducer(
+        "none",
+        said
+        | {
+            ("speaker", FUTURE): (("plan", speaker), "", 0.0),
+            ("none", THREAT): (("verb", verb), "threat-bare", 0.5),
+            ("speaker", THREAT): (("verb", verb), "threat-bare", 0.5),
+            ("plan", THREAT): (("verb", verb), "threat-announced", 1.0),
+            ("verb", THREAT): (("verb", verb), "threat-bare", 0.5),
+            ("verb", TARGET): ("none", "threat-aimed", 1.5),
+        },
+    )
 
 
 def negation_transducer(reach: int = NEGATION_REACH) -> Transducer:
-    moves = {(state, NEGATION): reach for state in range(reach + 1)}
-    moves |= {(state, ""): state - 1 for state in range(1, reach + 1)}
-    return Transducer(0, moves, frozenset(range(1, reach + 1)))
+    return Transducer("none", {(name, NEGATION): (("negated", reach), "", 0.0) for name in ("none", "negated")})
 
 
-def latch_transducer(kind: str) -> Transducer:
-    """Marks everything after the first token of ``kind`` in a clause."""
-    return Transducer(0, {(0, kind): 1}, frozenset({1}))
+def latch_transducer(kind: str, name: str) -> Transducer:
+    """In state ``name`` after the first token of ``kind`` in a clause."""
+    return Transducer("none", {("none", kind): (name, "", 0.0)})
 
 
 class ClauseGrammar:
     """Composition of the transducers; states are tuples, built as they are met."""
 
     def __init__(self) -> None:
-        self.parts = (negation_transducer(), latch_transducer(REPORT), latch_transducer(TARGET))
+        self.parts = (
+            insult_transducer(),
+            threat_transducer(),
+            negation_transducer(),
+            latch_transducer(REPORT, "reported"),
+            latch_transducer(TARGET, "targeted"),
+        )
         self.start = tuple(p.start for p in self.parts)
-        self._moves: dict[tuple[tuple[int, ...], str], tuple[int, ...]] = {}
+        self._moves: dict[tuple[tuple[State, ...], str], tuple] = {}
+
+    def _step(self, state: tuple[State, ...], kind: str) -> tuple[tuple[State, ...], list[tuple[str, float]], str]:
+        """Next state, what the step says, and the context in which it says so."""
+        key = (state, kind)
+        if key not in self._moves:
+            steps = [p.step(s, kind) for p, s in zip(self.parts, state)]
+            context = "reported" if state[3] == "reported" else "negated" if state[2] != "none" else "plain"
+            self._moves[key] = (tuple(s for s, _, _ in steps), [(label, w) for _, label, w in steps if label], context)
+        return self._moves[key]
 
     def run(self, tokens: list[tuple[str, float]]) -> list[tuple[str, str, float]]:
-        """``(kind, context, weight)`` of each insult and threat; context "targeted" is extra."""
-        state, out, weight_in_clause = self.start, [], 0.0
+        """``(label, context, weight)`` of all that a clause says; "targeted" is extra.
+
+        A token's own weight (an insult's, from the lexicon) multiplies the transition's.
+        """
+        state, out, total = self.start, [], 0.0
         for kind, weight in tokens:
-            if kind in (INSULT, THREAT):
-                negated, reported, _ = (s in p.marks for s, p in zip(state, self.parts))
-                out.append((kind, "reported" if reported else "negated" if negated else "plain", weight))
-                weight_in_clause += weight
-            key = (state, kind)
-            if key not in self._moves:
-                self._moves[key] = tuple(p.step(s, kind) for s, p in zip(state, self.parts))
-            state = self._moves[key]
-        if state[2] in self.parts[2].marks and out:
-            out.append(("", "targeted", weight_in_clause))
+            state, said, context = self._step(state, kind)
+            for label, factor in said:
+                made = factor * (weight if kind == INSULT else 1.0)
+                out.append((label, context, made))
+                total += made
+        if state[4] == "targeted" and out:
+            out.append(("", "targeted", total))
         return out
 
 
@@ -154,8 +213,8 @@ class ClauseScorer:
                 if m.start() in found and kind != THREAT:
                     kind = INSULT
                 tokens.append((kind, weight))
-            for kind, context, weight in self._grammar.run(tokens):
-                sums["targeted" if context == "targeted" else f"{kind}-{context}"] += weight
+            for label, context, weight in self._grammar.run(tokens):
+                sums["targeted" if context == "targeted" else f"{label}-{context}"] += weight
         total = sum(v for k, v in sums.items() if k != "targeted")
         sums["clauses"], sums["density"] = len(clauses), total / math.log(2 + len(text))
         for k, name in enumerate(FEATURES):
@@ -175,16 +234,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """``doc_id, text, toxic`` of at most ``max_rows`` labelled rows, never held out."""
+    """``doc_id, text, toxic`` of at most ``max_rows`` labelled documents, never held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")
     )
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.join(F.broadcast(sample), "doc_id")  # at most max_rows rows of two numbers
+    found = docs.join(F.broadcast(sample), "doc_id")  # at most max_rows rows of two numbers
+    # One row for each id: rows that share one would be as many as the table has.
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int, least_share: float) -> list[tuple[str, bool, float]]:
+def learn_lexicon(rows: DataFrame, least_share: float, longest_stem: int = 9) -> list[tuple[str, bool, float]]:
     """Words and stems that mark toxic rows, with smoothed log-odds weights."""
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +282,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least_share: float) -> list[t
     words = words.cache()
     # Chance agreement grows with the number of terms that are tried.
     least_evidence = math.log(words.count()) + 2
-    stem_sizes = F.sequence(F.lit(4), F.least(F.char_length("word"), F.lit(9)))
+    stem_sizes = F.sequence(F.lit(4), F.least(F.char_length("word"), F.lit(longest_stem)))
     stems = (
         words.where(F.char_length("word") >= 4)
         .select("t", "c", "word", F.explode(stem_sizes).alias("size"))
@@ -239,9 +300,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, least_share: float) -> list[t
         .where((F.col("t") > 0) & (share >= least_share))
         .where(evidence >= least_evidence)
         .select("term", "is_stem", weight.alias("weight"), evidence.alias("evidence"))
-        .orderBy(F.desc("evidence"), "term", "is_stem")
-        .limit(max_terms)
-        .collect()
+        .collect()  # terms that several of the max_rows rows have
     )
     words.unpersist()
     kept.unpersist()
@@ -282,12 +341,11 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 20_000,
-    max_terms: int = 4_000,
     least_share: float = 0.5,
 ) -> ToxicityModel:
     """Learn lexicon and context weights; ``docs`` has ``doc_id, text``."""
     rows = training_rows(docs, labels, max_rows)
-    lexicon = learn_lexicon(rows, max_terms, least_share)
+    lexicon = learn_lexicon(rows, least_share)
     made = rows.select("text", "toxic").mapInArrow(_feature_map(lexicon), "toxic int, x array<double>").collect()  # max_rows at most
     y = np.array([r["toxic"] for r in made], dtype=float)
     share = float(y.mean()) if len(y) else 0.0
@@ -335,7 +393,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bound
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: float) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
     model = fit(id_and_text(docs), labels, **bounds)
-    spare = next(n for n in ("row", "row_", "row__") if n not in docs.columns)
-    packed = docs.withColumn(spare, F.struct(*[c for c in docs.columns if c != "text"])).select(spare, "text")
-    kept = score(packed, model, (spare, "text")).where(F.col("score") < threshold)
-    return kept.select(*[F.col(c) if c == "text" else F.col(f"{spare}.{c}").alias(c) for c in docs.columns])
+    kept = score(with_rest(docs), model, ("doc_id", "text", "rest")).where(F.col("score") < threshold)
+    return without_rest(kept, docs.columns)
