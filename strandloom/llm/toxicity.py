@@ -58,8 +58,11 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]")
 NEGATION_REACH, TARGET_REACH, SPEAKER_REACH, VERB_REACH = 3, 3, 4, 3
 
 LABELS = ["insult-bare", "insult-aimed", "insult-chained", "threat-bare", "threat-announced", "threat-aimed"]
-CONTEXTS = ["plain", "negated", "reported"]
-FEATURES = [f"{label}-{context}" for label in LABELS for context in CONTEXTS] + ["targeted", "clauses", "density"]
+#: How much of a label's weight counts for its kind as a whole, by context.
+CONTEXTS = {"plain": 1.0, "negated": 0.4, "reported": 0.6}
+#: Sums by kind, so that a label or context that no training row has still counts; and apart.
+FEATURES = [INSULT, THREAT] + [f"{label}-{context}" for label in LABELS for context in CONTEXTS]
+FEATURES += ["targeted", "clauses", "density"]
 
 State = str | tuple[str, int]
 
@@ -214,8 +217,12 @@ class ClauseScorer:
                     kind = INSULT
                 tokens.append((kind, weight))
             for label, context, weight in self._grammar.run(tokens):
-                sums["targeted" if context == "targeted" else f"{label}-{context}"] += weight
-        total = sum(v for k, v in sums.items() if k != "targeted")
+                if context == "targeted":
+                    sums["targeted"] += weight
+                else:
+                    sums[f"{label}-{context}"] += weight
+                    sums[label.split("-")[0]] += weight * CONTEXTS[context]
+        total = sums[INSULT] + sums[THREAT]
         sums["clauses"], sums["density"] = len(clauses), total / math.log(2 + len(text))
         for k, name in enumerate(FEATURES):
             out[k] = math.log1p(max(0.0, sums.get(name, 0.0)))
