@@ -8,20 +8,29 @@ is a table with one row per shard.  Every query is searched in every shard; a
 shard returns its nearest rows by exact distance in double precision, and a
 window merges the shards' short lists.
 
-Searches move queries, in blocks, to the shards' graphs, never rows to queries.
+Up to ``MANY_SHARDS`` shards keep to ``shard_rows`` rows; beyond that shards grow
+with the square root of the table, to 16 times that size at most, so that
+queries times shards grows slower than the square of the rows; searches in
+larger shards are wider.
+
+Each shard has a partition of its own, in building and in searching.  Searches
+move queries to the shards' graphs, never rows to queries; a task holds one
+graph, and the queries stream past it.
 
 Nulls and edge cases: vectors that are null, empty, zero, of another length
 than ``dim``, or that hold a null or non-finite number take no part, nor do null
 ids; rows with equal vectors are told apart by smaller id first; a query whose
 id occurs twice is searched once (smaller vector first); fewer than ``k``
-candidates give fewer rows; an empty table gives none; further columns are
-ignored.
+candidates give fewer rows; asking for more rows than the index keeps ids of
+equal vectors for raises ValueError; an empty table gives none; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +39,16 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.shared import write_table
 
-INDEX_SCHEMA = "shard int, dim int, vectors binary, levels binary, links array<binary>, entry int, ids array<binary>"
+INDEX_SCHEMA = "shard int, dim int, max_k int, vectors binary, levels binary, links array<binary>, entry int, ids array<binary>"
+
+#: Shards of the first size; more rows make shards larger as well as more.
+MANY_SHARDS = 256
+
+
+def shard_count(rows: int, shard_rows: int) -> int:
+    most = rows / shard_rows
+    grown = max(most / 16, math.sqrt(most * MANY_SHARDS))
+    return max(1, round(min(most, grown)))
 
 
 class Graph:
@@ -180,39 +198,43 @@ def build_index(
     ``max_k`` rows can return another one.
     """
     vectors = _vectors(rows, dim, id_col, vector_col)
-    shards = max(1, round(rows.count() / shard_rows))
+    shards = shard_count(rows.count(), shard_rows)
     # Copies beyond the smallest ids are left out before the shuffle by vector.
     order = Window.partitionBy("vector").orderBy("vec_id")
     vectors = vectors.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_k + 1)
     packed = vectors.groupBy("vector").agg(F.collect_list("vec_id").alias("ids"))
     placed = packed.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
 
-    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        all_vectors = np.ascontiguousarray(flat.reshape(-1, dim))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: dict[bytes, list[int]] = {}
-        for row, ids in zip(all_vectors, table.column("ids").to_pylist()):
-            nodes.setdefault((row + 0.0).tobytes(), []).extend(ids)
+        shard = None
+        for batch in batches:  # all of one shard
+            shard = batch.column(2)[0].as_py() if batch.num_rows else shard
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for row, ids in zip(flat, batch.column(1).to_pylist()):
+                nodes.setdefault((row + 0.0).tobytes(), []).extend(ids)
+        if not nodes:
+            return
         names = sorted(nodes)
         order = np.random.default_rng(7).permutation(len(names)).tolist()
         names = [names[k] for k in order]
         own = np.frombuffer(b"".join(names), dtype=np.float64).reshape(-1, dim)
         graph = build_graph(own, m, width)
         ids = [np.sort(np.array(nodes[n], dtype="<i8"))[: max_k + 1].tobytes() for n in names]
-        return pa.table(
+        yield pa.RecordBatch.from_arrays(
             [
-                pa.array([key[0].as_py()], pa.int32()),
-                pa.array([dim], pa.int32()),
+                *(pa.array([v], pa.int32()) for v in (shard, dim, max_k)),
                 pa.array([own.tobytes()], pa.binary()),
                 pa.array([graph.levels.astype("<i4").tobytes()], pa.binary()),
                 pa.array([[x.astype("<i4").tobytes() for x in graph.links]], pa.list_(pa.binary())),
                 pa.array([graph.entry], pa.int32()),
                 pa.array([ids], pa.list_(pa.binary())),
             ],
-            names=["shard", "dim", "vectors", "levels", "links", "entry", "ids"],
+            names=["shard", "dim", "max_k", "vectors", "levels", "links", "entry", "ids"],
         )
 
-    return write_table(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), "hnsw")
+    dealt = placed.select("vector", "ids", "shard").repartitionById(shards, "shard")
+    return write_table(dealt.mapInArrow(build, INDEX_SCHEMA), "hnsw")
 
 
 def load_graph(row: dict) -> tuple[Graph, list[np.ndarray]]:
@@ -245,38 +267,44 @@ def search(
     dim: int,
     k: int = 10,
     width: int = 160,
-    block: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: Euclidean distance to the nearest rows found.
 
-    Queries are packed into blocks of ``block``; each shard's graph meets each
-    block once, and sends on at most ``k`` rows for a query.
+    Each shard's graph meets each query once, and sends on at most ``k`` rows
+    for it.  ``width`` is that of a shard of 4096 rows.
     """
+    held = index.agg(F.max("shard").alias("last"), F.min("max_k").alias("max_k")).first()
+    if held["max_k"] is not None and k > held["max_k"]:
+        raise ValueError(f"the index keeps ids for {held['max_k']} rows, not for {k}")
+    shards = 0 if held["last"] is None else held["last"] + 1
     asked = _vectors(queries, dim, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    parts = max(1, round(queries.count() / block))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(
-        F.collect_list(F.struct("vec_id", "vector")).alias("queries")
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)) if shards else F.array().cast("array<int>"))
+    kinds = {f.name: f.dataType for f in index.schema}
+    graphs = index.select("shard", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("vector"), "vectors", "levels", "links", "entry", "ids")
+    asked = asked.select(
+        each.alias("shard"), "vec_id", "vector", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("vectors", "levels", "links", "entry", "ids")]
     )
-    # Each block goes once to each shard, whose number is one value of the index.
-    last = index.agg(F.max("shard")).first()[0]
-    shards = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
-    pairs = blocks.select("queries", F.explode(shards).alias("shard"))
-
-    def meet(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        for row in left.to_pylist():
-            graph, ids = load_graph(row)
-            for chunk in right.column("queries"):
-                for q in chunk.as_py():
-                    vector = np.array(q["vector"], dtype=np.float64)
-                    found = nearest_in_graph(graph, ids, vector, q["vec_id"], k, width)
-                    out += [(q["vec_id"], v, d) for v, d in found]
-        cols = list(zip(*out)) or [(), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "vec_id", "score"])
-
-    met = index.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = graphs.unionByName(asked).repartitionById(max(1, shards), "shard").sortWithinPartitions(F.col("vec_id").asc_nulls_first())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, ids, wide = None, [], width
+        for batch in batches:
+            first = 0
+            if graph is None and batch.num_rows:  # the graph is the partition's first row
+                row = {c: batch.column(c)[0].as_py() for c in ("vec_id", "vectors", "levels", "links", "entry", "ids")}
+                if row["vec_id"] is not None:
+                    return  # a shard without rows
+                graph, ids = load_graph({**row, "dim": dim})
+                wide, first = round(width * max(1.0, len(ids) / 4096) ** 0.5), 1
+            keys = batch.column("vec_id").to_pylist()[first:]
+            vectors = batch.column("vector").slice(first).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            out = [(q, v, d) for q, vector in zip(keys, vectors) for v, d in nearest_in_graph(graph, ids, vector, q, k, max(wide, k + 1))]
+            cols = list(zip(*out)) or [(), (), ()]
+            types = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

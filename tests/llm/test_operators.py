@@ -440,6 +440,27 @@ def test_nearest_neighbours(spark):
     assert ann.search(ann.build_index(df.where("false"), 8), df.where("vec_id = 0"), 8).count() == 0
 
 
+def test_recall_over_full_shards_of_usual_width(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(12_288, 64)).astype(np.float32)
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(k, x[k].tolist()) for k in range(len(x))], 8), "vec_id long, embedding array<float>")
+    index = ann.build_index(df, 64)
+    assert index.count() == 3
+    rows = ann.search(index, df.where("vec_id % 200 = 0"), 64).collect()
+    x, hit, queries = x.astype(np.float64), 0, range(0, len(x), 200)
+    for q in queries:
+        d = np.square(x - x[q]).sum(axis=1)
+        d[q] = np.inf
+        hit += len({r["vec_id"] for r in rows if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert len(rows) == 10 * len(queries) and hit >= 0.9 * len(rows)
+    with pytest.raises(ValueError):
+        ann.search(index, df, 64, k=101)
+
+
+def test_shards_grow_with_the_table():
+    assert [ann.shard_count(n, 4096) for n in (0, 4096, 51_000, 1 << 20, 1 << 22, 1 << 30)] == [1, 1, 12, 256, 512, 16384]
+
+
 def test_longer_stray_vectors_do_not_empty_the_neighbours(spark, tmp_path):
     own = [(k, [float(k), 1.0, 2.0, 3.0]) for k in range(20)]
     stray = [(100, [0.0] * 5), (101, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (102, [1.0] * 7), (103, None)]
