@@ -6,11 +6,12 @@
 4. Shift each list by the term's place in the item; lists that meet at the same
    (document, item, shift) are intersected, rarest terms first by construction.
 5. Each alignment that is left is compared word by word with its document, so
-   the matches returned are exact phrases.  ``proximity_matches`` uses the same
-   index for terms that stand near each other without being a phrase.
+   the phrase matches returned are exact.
+6. The same lists give proximity matches: items of which some window's rarest
+   terms stand within so many words of each other, in any order.
 
 Only DataFrame functions are used.  Benchmark-side tables are broadcast after
-their rows have been counted against ``BROADCAST_ROWS``; larger ones are joined
+their bytes have been summed against ``BROADCAST_BYTES``; larger ones are joined
 by a shuffle, where adaptive execution splits the partitions of hot terms.
 
 Nulls and edge cases: a null or empty text has no words; an item without words
@@ -24,13 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import ascii_lower, write_table
+from strandloom.llm.shared import ascii_lower, quoted, write_table
 
 #: What stands between words, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Rows of a benchmark-side table up to which it is broadcast (about 40 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a benchmark-side table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,7 +40,11 @@ def words(text: Column) -> Column:
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` (of numbers, strings and arrays of strings), broadcast where its size allows."""
+    sizes = {"string": lambda c: F.octet_length(c), "array<string>": lambda c: F.octet_length(F.array_join(c, " ")) + 20 * F.size(c)}
+    size = sum((F.coalesce(sizes[kind](c), F.lit(0)) if kind in sizes else F.lit(0)) + 16 for c, kind in df.dtypes)
+    held = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def _items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -57,13 +62,13 @@ def term_counts(tokens: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def rarest_terms(items: DataFrame, counts: DataFrame, window: int, take: int = 2) -> DataFrame:
-    """``item, place, term, n``: in each window of each item its rarest terms."""
+    """``item, start, place, term, n``: in each window of each item its rarest terms."""
     length = F.least(F.lit(window), F.size("terms"))
     starts = items.select("item", "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - length)).alias("start"))
     spots = starts.select("item", "start", F.posexplode(F.slice("terms", F.col("start") + 1, length)).alias("at", "term"))
     order = Window.partitionBy("item", "start").orderBy("n", "at")
     ranked = spots.join(counts, "term").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take)
-    return ranked.select("item", (F.col("start") + F.col("at")).alias("place"), "term", "n").distinct()
+    return ranked.select("item", "start", (F.col("start") + F.col("at")).alias("place"), "term", "n")
 
 
 def build_index(tokens: DataFrame, terms: DataFrame) -> DataFrame:
@@ -87,16 +92,31 @@ def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFr
     """``doc_id, item, position``: all of an item's ``term`` rows within so many words.
 
     ``terms`` has ``item, term``; the position is that of the first word of the
-    earliest such span.  One document's positions of one item's terms at a time
-    meet in a window.
+    earliest such span.  Only lists of documents that have all of an item's terms
+    are opened; one document's positions of one item's terms at a time meet in a
+    window.
     """
     needs = terms.distinct().withColumn("need", F.count("*").over(Window.partitionBy("item")))
-    spots = index.join(_checked(needs), "term").select("doc_id", "item", "need", "term", F.explode("positions").alias("position"))
+    lists = index.join(_checked(needs), "term").select("doc_id", "item", "need", "term", "positions")
+    whole = lists.groupBy("doc_id", "item", "need").agg(F.collect_list(F.struct("term", "positions")).alias("lists")).where(F.size("lists") == F.col("need"))
+    spots = whole.select("doc_id", "item", "need", F.explode("lists").alias("x")).select("doc_id", "item", "need", "x.term", F.explode("x.positions").alias("position"))
     near = Window.partitionBy("doc_id", "item").orderBy("position").rangeBetween(0, within - 1)
     met = spots.withColumn("met", F.size(F.collect_set("term").over(near)))
     return met.where("met = need").groupBy("doc_id", "item").agg(F.min("position").alias("position"))
 
 
+def near_items(index: DataFrame, anchors: DataFrame, items: DataFrame, within: int) -> DataFrame:
+    """``doc_id, near_items``: sorted ids of items some window of which has its rarest terms close together."""
+    sets = anchors.groupBy("item", "start").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("item", "terms")
+    # Windows with the same rarest terms, of whatever items, are looked up once.
+    sets = write_table(sets.distinct().withColumn("set", F.xxhash64("terms")), "anchor-sets")
+    terms = sets.select(F.col("set").alias("item"), F.explode("terms").alias("term")).distinct()
+    found = proximity_matches(index, terms, within).select("doc_id", F.col("item").alias("set"))
+    named = sets.select("set", "item").distinct().join(_checked(items.select("item", "item_id")), "item").select("set", "item_id").distinct()
+    met = found.join(_checked(named), "set").groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
+    return met.where("doc_id is not null")
+
+
 def contamination(
     docs: DataFrame,
     bench: DataFrame,
@@ -107,21 +127,25 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     keep: tuple[str, ...] = (),
+    within: int | None = None,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, items, contaminated`` for every row of ``docs``.
 
     ``items`` are the sorted item ids with a window in the text; a document is
     contaminated when the words hit are at least ``least_share`` of its words.
     ``keep`` names further columns of ``docs`` to hand on; the text moves once.
+    With ``within`` there is ``near_items`` as well: items that have a proximity
+    match within so many words (found by ``doc_id``; none without one).
     """
     items = _items(bench, item_col, item_text_col)
     texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep if c != text_col]
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(quoted(c)).alias(f"_keep_{k}") for k, c in enumerate(keep) if c != text_col]
     )
-    kept = {c: "_text" if c == text_col else f"_keep_{c}" for c in keep}
+    kept = {c: "_text" if c == text_col else f"_keep_{k}" for k, c in enumerate(keep)}
     tokens = texts.select("doc_id", words(F.col("_text")).alias("terms"))
     counts = write_table(term_counts(tokens, items), "term-counts")
-    anchors = write_table(rarest_terms(items, counts, window), "anchors")
+    ranked = write_table(rarest_terms(items, counts, window), "rarest")
+    anchors = write_table(ranked.select("item", "place", "term", "n").distinct(), "anchors")
     index = build_index(tokens, anchors)
     found = alignments(index, anchors, items).groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("spots"))
 
@@ -152,11 +176,16 @@ def contamination(
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
     over, under = least_share
-    return clean.unionByName(dirty).select(
+    judged, near = clean.unionByName(dirty), []
+    if within is not None:
+        judged = judged.join(near_items(index, ranked, items, within), "doc_id", "left")
+        near = [F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
+    return judged.select(
         "doc_id",
         "n_words",
         "n_hit",
         "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * under >= F.col("n_words") * over)).alias("contaminated"),
+        *near,
         *[F.col(held_as).alias(c) for c, held_as in kept.items() if c != "doc_id"],
     )

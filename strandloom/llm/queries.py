@@ -55,7 +55,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), within=13)
     return found.select(
         "doc_id",
         "n_words",
@@ -63,6 +63,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"),
     )
 
 
@@ -95,11 +97,31 @@ WITH lowered AS (
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
   FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id
+), numbered AS (
+  SELECT item_id, w, row_number() OVER () AS item FROM b WHERE len(w) > 0
+), spot AS (
+  SELECT item, item_id, i AS start, unnest(range(0, least(13, len(w)))) AS k, unnest(w[i : i + least(13, len(w)) - 1]) AS word
+  FROM numbered, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i)
+), used AS (
+  SELECT word, count(*) AS n FROM word WHERE word IN (SELECT word FROM spot) GROUP BY word
+), rare AS (
+  SELECT item, item_id, start, word, row_number() OVER (PARTITION BY item, start ORDER BY coalesce(n, 0), k) AS rank
+  FROM spot LEFT JOIN used USING (word)
+), pair AS (
+  SELECT DISTINCT item_id, min(word) AS a, max(word) AS b FROM rare WHERE rank <= 2 GROUP BY item, item_id, start
+), place AS (
+  SELECT doc_id, word, p FROM word WHERE word IN (SELECT a FROM pair UNION SELECT b FROM pair)
+), near AS (
+  SELECT DISTINCT x.doc_id, pair.item_id FROM (SELECT DISTINCT a, b FROM pair) AS ab JOIN place AS x ON x.word = a
+  JOIN place AS y ON y.word = b AND y.doc_id = x.doc_id AND abs(x.p - y.p) < 13 JOIN pair USING (a, b)
+), close AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near_items FROM near GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near_items, '')) AS near_items_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN close USING (doc_id)
 """
 
 
