@@ -3,7 +3,9 @@
 A text is cut into sentences, each is normalised and mapped to the identifier
 of a known licence sentence, and the sequence of identifiers is matched against
 rules: a rule holds when its identifiers occur in its order, with others in
-between allowed.  Texts are read in several views: with line ends as sentence
+between allowed.  Where one licence is the beginning of another, the sentence at
+which they part is joined with the next one, so the shorter rule does not hold
+inside the longer text.  Texts are read in several views: with line ends as sentence
 ends; with line ends as spaces, for wrapped sentences; and with single line ends
 as spaces but blank lines as sentence ends, for notices under headings without a
 full stop.  Known sentences with a colon or semicolon inside (the GPL's) are
@@ -35,9 +37,7 @@ SENTENCES = {
     "apache-use": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "gpl3-ref": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "ccbync-ref": "licensed under cc by nc 4 0",
     "ccby-ref": "licensed under cc by 4 0",
     "ccbysa-ref": "licensed under cc by sa 4 0",
@@ -47,8 +47,28 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "reserved": "all rights reserved",
+    "mpl2-form": "this source code form is subject to the terms of the mozilla public license v",
+    "isc-grant": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-or": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "cc0-dedicate": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
 }
 
+#: The GNU licences' names and versions, as their notices have them.
+GNU = [
+    ("GPL-2.0-or-later", "gnu general public license", "2"),
+    ("GPL-3.0-or-later", "gnu general public license", "3"),
+    ("LGPL-2.1-or-later", "gnu lesser general public license", "2 1"),
+    ("LGPL-3.0-or-later", "gnu lesser general public license", "3"),
+    ("AGPL-3.0-or-later", "gnu affero general public license", "3"),
+]
+for _name, _license, _version in GNU:
+    for _what in ("program", "library"):
+        SENTENCES[f"free-{_what}-{_name}"] = (
+            f"this {_what} is free software you can redistribute it and or modify it under the terms of the {_license} "
+            f"as published by the free software foundation either version {_version} of the license or at your option any later version"
+        )
+
 #: Licences and the identifiers that must follow in this order.
 RULES = [
     ("MIT", ["mit-ref"]),
@@ -58,19 +78,31 @@ RULES = [
     ("Apache-2.0", ["apache-ref-2", "apache-use"]),
     ("Apache-2.0", ["apache-use", "apache-copy"]),
     ("GPL-3.0", ["gpl3-ref"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-copy"]),
     ("CC-BY-NC-4.0", ["ccbync-ref"]),
     ("CC-BY-4.0", ["ccby-ref"]),
     ("CC-BY-4.0", ["ccby-long"]),
     ("CC-BY-SA-4.0", ["ccbysa-ref"]),
     ("BSD-2-Clause", ["bsd-redist", "bsd-source", "bsd-binary"]),
-    ("BSD-3-Clause", ["bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-redist", "bsd-source", "bsd-binary+bsd-endorse"]),
     ("all-rights-reserved", ["reserved"]),
+    ("MPL-2.0", ["mpl2-form"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-or"]),
+    ("CC0-1.0", ["cc0-dedicate"]),
+    ("Unlicense", ["unlicense-free"]),
 ]
+RULES += [(_name, [f"free-{_what}-{_name}"]) for _name, _, _ in GNU for _what in ("program", "library")]
+
+#: Two identifiers that follow each other directly and then count as one.
+JOINED = [("bsd-binary", "bsd-endorse")]
+
+#: A line that names a licence by its short identifier, for every licence of the rules.
+for _name in sorted({n for n, _ in RULES if n != "all-rights-reserved"}):
+    SENTENCES[f"spdx-{_name}"] = "spdx license identifier " + "".join(c if c.isalnum() else " " for c in _name.lower())
+    RULES.append((_name, [f"spdx-{_name}"]))
 
 #: Words of which every known sentence has at least one.
-TRIGGERS = ("licen", "permission", "redistribut", "warrant", "reserved")
+TRIGGERS = ("licen", "permission", "redistribut", "warrant", "reserved", "public domain")
 
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)|\n+"
 
@@ -81,7 +113,7 @@ FULL_STOP = r"[.!?]+(?:\s+|$)|\n+"
 BLANK_LINES = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 
 #: Blank lines before an indented address belong to the sentence that names it.
-BEFORE_ADDRESS = BLANK_LINES + r"(?=[^A-Za-z0-9\n]*https?://)"
+BEFORE_ADDRESS = BLANK_LINES + r"([^A-Za-z0-9\n]*https?://)"
 
 
 def check_tables(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> None:
@@ -90,13 +122,13 @@ def check_tables(sentences: dict[str, str], rules: list[tuple[str, list[str]]])
         if not any(t in words for t in TRIGGERS):
             raise ValueError(f"sentence {name} has no trigger word")
     for name, ids in rules:
-        if not ids or not set(ids) <= set(sentences):
+        if not ids or not {part for i in ids for part in i.split("+")} <= set(sentences):
             raise ValueError(f"rule {name} names unknown sentences")
 
 
 def _paragraphs(text: Column) -> Column:
     """One line for each paragraph: line feeds are left only where blank lines were."""
-    held = F.regexp_replace(F.regexp_replace(text, BEFORE_ADDRESS, " "), BLANK_LINES, "\0")
+    held = F.regexp_replace(F.regexp_replace(text, BEFORE_ADDRESS, " $1"), BLANK_LINES, "\0")
     return F.translate(held, "\n\0", " \n")
 
 
@@ -110,7 +142,7 @@ def _identifiers(text: Column, sentences: dict[str, str], end: str = SENTENCE_EN
 
 
 def rule_pattern(ids: list[str]) -> str:
-    return ".*".join(f" {i} " for i in ids)
+    return ".*".join(f" {i.replace('+', '[+]').replace('.', '[.]')} " for i in ids)
 
 
 def scan(
@@ -138,6 +170,8 @@ def scan(
     line = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))
     # One string of all views; a line feed keeps a rule inside one of them.
     rows = rows.select("doc_id", "sentence_ids", F.concat_ws("\n", *(line(n) for n in names)).alias("seen"))
+    for one, two in JOINED:
+        rows = rows.withColumn("seen", F.replace("seen", F.lit(f" {one}  {two} "), F.lit(f" {one}+{two} ")))
     met = [F.when(F.col("seen").rlike(p), F.lit(name)) for name, p in ((name, rule_pattern(i)) for name, i in rules)]
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
     return rows.select("doc_id", "sentence_ids", F.when(F.col("seen").rlike(r"\S"), licenses).otherwise(none).alias("licenses"))

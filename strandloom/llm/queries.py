@@ -183,16 +183,25 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op6_sql() -> str:
     known = ", ".join(f"('{words}', '{name}')" for name, words in licenses.SENTENCES.items())
     rules = ", ".join(f"('{name}', '{licenses.rule_pattern(ids)}')" for name, ids in licenses.RULES)
+    line = "' ' || string_agg(id, '  ' ORDER BY p) || ' '"
+    for one, two in licenses.JOINED:
+        line = f"replace({line}, ' {one}  {two} ', ' {one}+{two} ')"
     return rf"""
-WITH known(words, id) AS (VALUES {known}), rule(license, pattern) AS (VALUES {rules}), view AS (
-  SELECT doc_id, 0 AS view, string_split_regex(text, '{licenses.SENTENCE_END}') AS s FROM documents
-  UNION ALL
-  SELECT doc_id, 1, string_split_regex(replace(text, chr(10), ' '), '{licenses.SENTENCE_END}') FROM documents
+WITH known(words, id) AS (VALUES {known}), rule(license, pattern) AS (VALUES {rules}), held AS (
+  SELECT doc_id, text, regexp_replace(regexp_replace(text, '{licenses.BEFORE_ADDRESS}', ' \1', 'g'), '{licenses.BLANK_LINES}', chr(1), 'g') AS t
+  FROM documents
+), para AS (
+  SELECT doc_id, text, translate(t, chr(10) || chr(1), ' ' || chr(10)) AS para FROM held
+), view AS (
+  SELECT doc_id, 0 AS view, string_split_regex(text, '{licenses.SENTENCE_END}') AS s FROM para
+  UNION ALL SELECT doc_id, 1, string_split_regex(replace(text, chr(10), ' '), '{licenses.SENTENCE_END}') FROM para
+  UNION ALL SELECT doc_id, 2, string_split_regex(para, '{licenses.SENTENCE_END}') FROM para
+  UNION ALL SELECT doc_id, 3, string_split_regex(text, '{licenses.FULL_STOP}') FROM para
+  UNION ALL SELECT doc_id, 4, string_split_regex(para, '{licenses.FULL_STOP}') FROM para
 ), sentence AS (
   SELECT doc_id, view, unnest(s) AS s, unnest(range(0, len(s))) AS p FROM view
 ), seq AS (
-  SELECT doc_id, view, count(*) AS n, string_agg(id, ',' ORDER BY p) AS ids,
-         ' ' || string_agg(id, '  ' ORDER BY p) || ' ' AS line
+  SELECT doc_id, view, count(*) AS n, string_agg(id, ',' ORDER BY p) AS ids, {line} AS line
   FROM sentence JOIN known ON words = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id, view
 ), named AS (
   SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses

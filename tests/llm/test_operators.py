@@ -320,13 +320,55 @@ along with this program.  If not, see <https://www.gnu.org/licenses/>.
 """
 
 
-def test_license_notices_as_published(spark):
+BSD_3_NOTICE = BSD_NOTICE + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+LGPL_NOTICE = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+MPL_NOTICE = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+ISC_NOTICE = """Copyright (c) 2024 Some Author
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+CC0_NOTICE = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.
+"""
+
+
+def test_license_notices_as_published(spark, tmp_path):
     commented = "".join(f" * {line}".rstrip() + "\r\n" for line in APACHE_NOTICE.split("\n"))
     one_line = "A tool\n" + " ".join(GPL_NOTICE.split("\n\n")[1].split()) + "\n" + GPL_NOTICE.split("\n\n")[3].replace("\n", " ")
     whole = [(MIT_NOTICE, "MIT"), (BSD_NOTICE, "BSD-2-Clause"), (APACHE_NOTICE, "Apache-2.0"), (GPL_NOTICE, "GPL-3.0-or-later")]
     whole += [(commented, "Apache-2.0"), (one_line, "GPL-3.0-or-later"), (GPL_NOTICE.replace("software:", "software;"), "GPL-3.0-or-later")]
+    whole += [(BSD_3_NOTICE, "BSD-3-Clause"), (LGPL_NOTICE, "LGPL-2.1-or-later"), (MPL_NOTICE, "MPL-2.0"), (ISC_NOTICE, "ISC"), (CC0_NOTICE, "CC0-1.0")]
+    whole += [(UNLICENSE, "Unlicense"), (GPL_NOTICE.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later")]
+    whole += [(GPL_NOTICE.replace("either version 3", "either version 2"), "GPL-2.0-or-later"), ("// SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, [t for t, _ in whole])).collect()}
     assert [got[k] for k in range(len(whole))] == [[name] for _, name in whole]
+    odd = [None, "", BSD_NOTICE + "x" + BSD_3_NOTICE, GPL_NOTICE + LGPL_NOTICE + MIT_NOTICE]
+    docs_of(spark, [t for t, _ in whole] + odd).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(QUERIES["op6_licenses"](spark, str(tmp_path)), str(tmp_path), ORACLES["op6_licenses"])
     paragraphs = licenses._paragraphs(F.lit(APACHE_NOTICE))
     address = spark.range(1).select(licenses._identifiers(paragraphs, licenses.SENTENCES).alias("ids"))
     assert address.first()["ids"] == ["apache-ref-2", "apache-use", "apache-copy"]
