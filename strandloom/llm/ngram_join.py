@@ -259,7 +259,7 @@ def ngram_components(
     default); it orders shingles and decides no link.
     """
     rows = id_and_text(docs, id_col, text_col)
-    sketches = sketches or 2 * docs.sparkSession.sparkContext.defaultParallelism
+    sketches = sketches or 8 * docs.sparkSession.sparkContext.defaultParallelism
     size = 1 << min(_BLOCK_LOG2, width_log2)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,7 +133,7 @@ def later_windows(
     ``docs`` has ``doc_id, text, crc`` (the text's CRC-32).  Shards of
     fingerprints send what they find to parts of documents, as packed arrays.
     """
-    sketches = sketches or 2 * docs.sparkSession.sparkContext.defaultParallelism
+    sketches = sketches or 8 * docs.sparkSession.sparkContext.defaultParallelism
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
