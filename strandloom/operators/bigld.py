@@ -15,19 +15,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def intervals(strong: np.ndarray, density: float = 0.5) -> list[tuple[int, int, float]]:
-    """Candidate ``(left, right, weight)``: stretches whose pairs are linked densely."""
-    m = len(strong)
-    prefix = np.zeros((m + 1, m + 1))
-    prefix[1:, 1:] = strong.cumsum(axis=0).cumsum(axis=1)
+#: Variants further apart than this are not linked, so a long block costs its length times this.
+REACH = 2000
+
+
+def strong_band(dosage: np.ndarray, cutoff: float, reach: int = REACH, tile: int = 512) -> np.ndarray:
+    """``[i, k]``: whether variants i and i + 1 + k have ``abs(r) > cutoff``."""
+    x = dosage.astype(np.float64)
+    x -= x.mean(axis=1, keepdims=True)
+    x /= np.maximum(np.sqrt(np.square(x).sum(axis=1)), 1e-12)[:, None]
+    m = len(x)
+    width = max(0, min(reach, m - 1))
+    band = np.zeros((m, width), dtype=bool)
+    for first in range(0, m, tile):
+        own = x[first : first + tile]
+        linked = np.abs(own @ x[first : first + len(own) + width].T) > cutoff
+        for k in range(len(own)):
+            part = linked[k, k + 1 : k + 1 + width]
+            band[first + k, : len(part)] = part
+    return band
+
+
+def intervals(band: np.ndarray, density: float = 0.5) -> list[tuple[int, int, float]]:
+    """Candidate ``(left, right, weight)``: stretches whose ends are linked and whose pairs are linked densely."""
+    m, width = band.shape
+    inside = np.zeros(m + width + 1)  # links within [i, j], for the i at hand and each j
+    sizes = np.arange(2, width + 2)
+    needed = density * sizes * (sizes - 1) / 2
     out = []
-    for i in range(m):
-        linked = np.flatnonzero(strong[i, i + 1 :]) + i + 1
-        for j in linked.tolist():
-            size = j - i + 1
-            links = (prefix[j + 1, j + 1] - prefix[i, j + 1] - prefix[j + 1, i] + prefix[i, i]) / 2
-            if links >= density * size * (size - 1) / 2:
-                out.append((i, j, float(size)))
+    for i in range(m - 1, -1, -1):
+        inside[i + 1 : i + 1 + width] += np.cumsum(band[i])
+        fits = np.flatnonzero(band[i] & (inside[i + 1 : i + 1 + width] >= needed))
+        out += [(i, i + 1 + k, float(k + 2)) for k in fits.tolist()]
     return out
 
 
@@ -55,7 +74,8 @@ def best_disjoint(candidates: list[tuple[int, int, float]], m: int) -> list[tupl
 def bigld_like(common: DataFrame, independent: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """``chrom, block_ord, left_c, right_c``: blocks that tile each independent block.
 
-    One independent block is one task's matrix, as the method is defined on it.
+    A task takes one independent block, as the method is defined on it, and holds
+    a band of its correlations (``REACH`` to each variant), not the square.
     """
     starts = independent.select("chrom", F.col("left_c").alias("c_idx"), F.col("left_c").alias("block_left"))
     order = Window.partitionBy("chrom").orderBy("c_idx")
@@ -66,12 +86,8 @@ def bigld_like(common: DataFrame, independent: DataFrame, cutoff: float = 0.5) -
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("c_idx")
         idx = table.column("c_idx").to_pylist()
-        x = table.column("dosage").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1).astype(float)
-        x -= x.mean(axis=1, keepdims=True)
-        sd = np.maximum(np.sqrt(np.square(x).sum(axis=1)), 1e-12)
-        strong = np.abs((x @ x.T) / sd[:, None] / sd[None, :]) > cutoff
-        np.fill_diagonal(strong, False)
-        lefts = sorted({0, *(i for i, _ in best_disjoint(intervals(strong), len(idx)))})
+        x = table.column("dosage").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
+        lefts = sorted({0, *(i for i, _ in best_disjoint(intervals(strong_band(x, cutoff)), len(idx)))})
         rights = [k - 1 for k in lefts[1:]] + [len(idx) - 1]
         names = ["chrom", "left_c", "right_c"]
         cols = [[key[0].as_py()] * len(lefts), [idx[k] for k in lefts], [idx[k] for k in rights]]

@@ -1,4 +1,4 @@
-"""Gram matrix of a long sparse design: one pass, partial sums per task."""
+"""Gram matrix of a long sparse design: one pass, partial sums of column tiles."""
 
 from __future__ import annotations
 
@@ -9,45 +9,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a tile, and numbers of the dense slice of samples that a task holds.
+TILE, SLICE_NUMBERS = 512, 1 << 24
 
-def gram(long: DataFrame, batch_rows: int = 4096) -> DataFrame:
+
+def gram(long: DataFrame, tile: int = TILE, slice_numbers: int = SLICE_NUMBERS) -> DataFrame:
     """``i, j, xy`` (i <= j) from ``sample_idx, column, value``: sums over samples.
 
-    Rows of a sample meet once; each task multiplies blocks of samples and sends
-    on its own sums, so the shuffle has tasks x columns squared rows at most,
-    whatever the number of samples.  Columns never met together are left out.
+    Rows of a sample meet once.  A task takes slices of samples, dense within
+    the columns that occur in them, and adds up one pair of column tiles after
+    the other, so it holds a slice and the tiles' sums; where these would be
+    more than ``slice_numbers`` they are sent on after each slice.  Columns
+    never met together are left out.
     """
-    top = long.agg(F.max("column")).first()[0]
-    width = 0 if top is None else int(top) + 1
     rows = long.groupBy("sample_idx").agg(F.collect_list("column").alias("cols"), F.collect_list("value").alias("vals"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
-        seen = False
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (a, b), block in held.items():
+                i, j = np.nonzero(block)
+                i, j, xy = i + a * tile, j + b * tile, block[i, j]
+                keep = i <= j
+                columns = [pa.array(i[keep], pa.int32()), pa.array(j[keep], pa.int32()), pa.array(xy[keep])]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "xy"])
+            held.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                cols, vals = part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy()
-                sizes = np.diff(part.column(0).offsets.to_numpy())
-                x = np.zeros((part.num_rows, width))
-                x[np.repeat(np.arange(part.num_rows), sizes), cols] = vals
-                total += x.T @ x
-                seen = True
-        if seen:
-            i, j = np.nonzero(np.triu(total))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "xy"]
-            )
+            at = 0
+            offsets = batch.column(0).offsets.to_numpy()
+            cols_of, vals_of = batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
+            width = (int(cols_of.max()) // tile + 1) * tile if len(cols_of) else tile
+            step = max(1, min(4096, slice_numbers // width))  # samples of a slice
+            while at < batch.num_rows:
+                end = min(batch.num_rows, at + step)
+                cols, vals = cols_of[offsets[at] : offsets[end]], vals_of[offsets[at] : offsets[end]]
+                sample = np.repeat(np.arange(end - at), np.diff(offsets[at : end + 1]))
+                order = np.argsort(cols // tile, kind="stable")
+                cols, vals, sample = cols[order], vals[order], sample[order]
+                tiles, starts = np.unique(cols // tile, return_index=True)
+                dense = {}
+                for number, first, last in zip(tiles.tolist(), starts, [*starts[1:], len(cols)]):
+                    dense[number] = np.zeros((end - at, tile))
+                    dense[number][sample[first:last], cols[first:last] - number * tile] = vals[first:last]
+                for a in dense:
+                    for b in dense:
+                        if a <= b:
+                            made = dense[a].T @ dense[b]
+                            held[a, b] = held[a, b] + made if (a, b) in held else made
+                            if len(held) * tile * tile > slice_numbers:
+                                yield from flush()
+                at = end
+        yield from flush()
 
     parts = rows.select("cols", "vals").mapInArrow(sums, "i int, j int, xy double")
     return parts.groupBy("i", "j").agg(F.sum("xy").alias("xy"))
 
 
-def gram_matrix(long: DataFrame) -> np.ndarray:
-    """The whole matrix on the driver: columns squared numbers, none per sample."""
-    rows = gram(long).toArrow()
-    i, j, xy = (rows.column(c).to_numpy() for c in ("i", "j", "xy"))
-    size = int(j.max()) + 1 if len(j) else 0
+def dense_matrix(i: np.ndarray, j: np.ndarray, xy: np.ndarray, size: int) -> np.ndarray:
+    """The whole symmetric matrix."""
     out = np.zeros((size, size))
     out[i, j] = xy
     out[j, i] = xy

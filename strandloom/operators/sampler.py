@@ -1,9 +1,14 @@
-"""Spike-and-slab Gibbs sampling on sufficient statistics.
+"""Spike-and-slab Gibbs sampling on sufficient statistics, or on sparse columns.
 
 Every full conditional depends on the data only through n and the Gram matrix of
-[y | covariates | haplotypes].  Spark computes that matrix in one pass; chains
-are tasks of their own on the broadcast matrix and cost columns, not samples,
-for a coordinate.  Individuals never leave Spark.
+[1 | y | covariates | haplotypes].  Spark computes that matrix in one pass and
+shuffles a copy to each chain's task; a step then costs columns, not samples.
+With more than ``gram_columns`` columns, whose square would not fit a task, the
+chains get the sparse columns themselves and keep the residuals of the samples:
+a step costs the non-zero doses.  Neither way passes through the driver.
+
+A chain's task keeps series of single numbers, and running sums of the wide
+draws by segment; no draw of all columns leaves it.
 """
 
 from __future__ import annotations
@@ -15,14 +20,17 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.gram import gram_matrix
+from strandloom.operators.gram import dense_matrix, gram
 
-TRACE = (
-    "chain int, iter int, sigma_1 double, sigma_e double, large_ratio double, n_gamma int, h2 double, "
-    "alpha array<double>, beta array<double>, gamma array<tinyint>, converged boolean"
+#: One row for each segment of kept draws; arrays over draws, columns or blocks.
+SEGMENTS = (
+    "chain int, segment int, iter array<int>, sigma_1 array<double>, sigma_e array<double>, large_ratio array<double>, "
+    "n_gamma array<int>, h2 array<double>, alpha array<array<double>>, beta_sum array<double>, beta_square array<double>, "
+    "gamma_sum array<bigint>, block_sum array<bigint>, converged boolean, steps bigint, worst_z array<double>"
 )
 
 
@@ -39,6 +47,7 @@ class Settings:
     large: float = 0.3
     reject_after: int = 500
     seed: int = 1
+    gram_columns: int = 8192
 
 
 @dataclass
@@ -58,12 +67,9 @@ class Statistics:
     annotation: np.ndarray | None = field(default=None)
 
 
-def collect_statistics(
-    design: DataFrame, phenotype: DataFrame, covariates: DataFrame, annotation: DataFrame | None = None
-) -> Statistics:
-    """One pass over the samples: the Gram matrix of [1 | y | C | H]."""
-    c_count = covariates.agg(F.max("c_idx")).first()[0] + 1
-    long = (
+def long_table(design: DataFrame, phenotype: DataFrame, covariates: DataFrame, c_count: int) -> DataFrame:
+    """``sample_idx, column, value`` of [1 | y | C | H]."""
+    return (
         phenotype.select("sample_idx", F.lit(0).alias("column"), F.lit(1.0).alias("value"))
         .unionByName(phenotype.select("sample_idx", F.lit(1).alias("column"), F.col("y").alias("value")))
         .unionByName(covariates.select("sample_idx", (F.col("c_idx") + 2).alias("column"), "value"))
@@ -71,17 +77,19 @@ def collect_statistics(
             design.select("sample_idx", (F.col("hap_ord") + 2 + c_count).alias("column"), F.col("dose").cast("double").alias("value"))
         )
     )
-    g = gram_matrix(long)
+
+
+def annotation_matrix(hap_ord: np.ndarray, a_idx: np.ndarray, value: np.ndarray, columns: int) -> np.ndarray:
+    out = np.zeros((columns, int(a_idx.max()) + 1))
+    out[hap_ord, a_idx] = value
+    return out
+
+
+def gram_statistics(g: np.ndarray, c_count: int, annotation: np.ndarray | None = None) -> Statistics:
+    """Statistics from the Gram matrix of [1 | y | C | H]."""
     c, h = slice(2, 2 + c_count), slice(2 + c_count, None)
-    made = Statistics(
-        int(g[0, 0]), g[1, 1], g[0, 1], g[c, 1].copy(), g[h, 1].copy(), g[c, c].copy(), g[c, h].copy(), g[h, h].copy(), g[0, c].copy(), g[0, h].copy()
-    )
-    if annotation is not None:
-        rows = annotation.toArrow()
-        out = np.zeros((len(made.hy), max(rows.column("a_idx").to_pylist()) + 1))
-        out[rows.column("hap_ord").to_numpy(), rows.column("a_idx").to_numpy()] = rows.column("value").to_numpy()
-        made.annotation = out
-    return made
+    parts = (g[c, 1], g[h, 1], g[c, c], g[c, h], g[h, h], g[0, c], g[0, h])
+    return Statistics(int(g[0, 0]), g[1, 1], g[0, 1], *(x.copy() for x in parts), annotation)
 
 
 def geweke_max(x: np.ndarray, first: float = 0.1, last: float = 0.5, intervals: int = 20) -> float:
@@ -116,10 +124,9 @@ class Chain:
     def __init__(self, data: Statistics, settings: Settings, chain: int):
         self.d, self.s = data, settings
         self.rng = np.random.default_rng(np.random.SeedSequence(settings.seed, spawn_key=(chain,)))
-        p, rng, n = len(data.hy), self.rng, data.n
+        p, rng = len(data.hy), self.rng
         self.prior_pi = (1.0, p / (10 if data.annotation is not None else 50))
-        var_y = data.yy / n - (data.y_sum / n) ** 2
-        var_h = (data.hh.diagonal() / n - np.square(data.h_sum / n)).sum()
+        var_y, var_h = self._spread()
         self.sigma_0 = math.sqrt(var_y / var_h * settings.s0)
         self.sigma_1 = math.sqrt(1 / rng.gamma(1.0))
         self.sigma_e = math.sqrt(1 / rng.gamma(1.0))
@@ -135,6 +142,11 @@ class Chain:
             self.a_root = np.linalg.cholesky(self.a_inverse)
         self.refresh()
 
+    def _spread(self) -> tuple[float, float]:
+        """Variance of y, and the sum of the variances of the haplotypes."""
+        d = self.d
+        return d.yy / d.n - (d.y_sum / d.n) ** 2, float((d.hh.diagonal() / d.n - np.square(d.h_sum / d.n)).sum())
+
     def refresh(self) -> None:
         """Residual products anew, against drift."""
         d = self.d
@@ -183,71 +195,222 @@ class Chain:
         if self.theta is None:
             self._draw_gamma(self.pi)
         tau = self.sigma_e**-2
+        self._sweep_alpha(tau, rng.normal(size=len(self.alpha)))
+        precision = np.where(self.gamma == 1, self.sigma_1**-2, self.sigma_0**-2)
+        self._sweep_beta(precision, tau, rng.normal(size=p))
+
+    def _sweep_alpha(self, tau: float, noise: np.ndarray) -> None:
         before = self.alpha.copy()
-        _coordinates(self.d.cc, self.rc, self.alpha, np.zeros(len(self.alpha)), tau, rng.normal(size=len(self.alpha)))
+        _coordinates(self.d.cc, self.rc, self.alpha, np.zeros(len(before)), tau, noise)
         self.rh -= self.d.ch.T @ (self.alpha - before)
+
+    def _sweep_beta(self, precision: np.ndarray, tau: float, noise: np.ndarray) -> None:
         before = self.beta.copy()
-        precision = np.where(self.gamma == 1, self.sigma_1**-2, self.sigma_0**-2)
-        _coordinates(self.d.hh, self.rh, self.beta, precision, tau, rng.normal(size=p))
+        _coordinates(self.d.hh, self.rh, self.beta, precision, tau, noise)
         self.rc -= self.d.ch @ (self.beta - before)
 
 
-def run_chain(data: Statistics, settings: Settings, chain: int) -> tuple[list[tuple], bool]:
-    """Kept draws (the last ``keep``) and whether the chain passed the Geweke test.
+class SparseData:
+    """[1 | y | C | H] by columns: dense y and C, and the samples and doses of each haplotype."""
+
+    def __init__(self, sample: np.ndarray, column: np.ndarray, value: np.ndarray, c_count: int, columns: int, annotation: np.ndarray | None = None):
+        names, place = np.unique(sample, return_inverse=True)
+        self.n, self.annotation = len(names), annotation
+        order = np.argsort(column, kind="stable")
+        place, value = place[order], value[order]
+        edges = np.searchsorted(column[order], np.arange(columns + 1))
+        cut = [(place[a:b], value[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        dense = np.zeros((2 + c_count, self.n))
+        for k in range(2 + c_count):
+            dense[k, cut[k][0]] = cut[k][1]
+        self.y, self.c, self.h = dense[1], dense[2:], cut[2 + c_count :]
+        self.norms = np.array([v @ v for _, v in self.h])
+        self.hy = np.zeros(len(self.h))  # only its length is asked for
+        self.cy = self.c @ self.y
+
+
+class SparseChain(Chain):
+    """The same draws from residuals of the samples, for more columns than a Gram matrix allows."""
+
+    def _spread(self) -> tuple[float, float]:
+        sums = np.array([v.sum() for _, v in self.d.h])
+        return float(self.d.y.var()), float((self.d.norms / self.d.n - np.square(sums / self.d.n)).sum())
+
+    def refresh(self) -> None:
+        self.fit = np.zeros(self.d.n)
+        for (at, v), b in zip(self.d.h, self.beta):
+            self.fit[at] += b * v
+        self.rest = self.d.y - self.alpha @ self.d.c
+
+    def rss(self) -> float:
+        return max(float(np.square(self.rest - self.fit).sum()), 1e-12)
+
+    def h2(self) -> float:
+        return float(self.fit.var() / self.rest.var())
+
+    def _sweep_alpha(self, tau: float, noise: np.ndarray) -> None:
+        left = self.rest - self.fit
+        for k, x in enumerate(self.d.c):
+            norm = x @ x
+            new = (x @ left + norm * self.alpha[k]) / norm + noise[k] / math.sqrt(norm * tau)
+            change = (new - self.alpha[k]) * x
+            left -= change
+            self.rest -= change
+            self.alpha[k] = new
+
+    def _sweep_beta(self, precision: np.ndarray, tau: float, noise: np.ndarray) -> None:
+        left = self.rest - self.fit
+        variance = 1.0 / (self.d.norms * tau + precision)
+        sd, scale, norms = np.sqrt(variance) * noise, variance * tau, self.d.norms.tolist()
+        for i, (at, v) in enumerate(self.d.h):
+            old = self.beta[i]
+            new = scale[i] * (v @ left[at] + norms[i] * old) + sd[i]
+            left[at] -= (new - old) * v
+            self.beta[i] = new
+        self.fit = self.rest - left
+
+
+class Segment:
+    """Kept draws of one stretch: series of numbers, sums of what is wide."""
+
+    def __init__(self, columns: int, blocks: int):
+        self.rows: list[tuple] = []
+        self.top: list[np.ndarray] = []
+        self.beta_sum, self.beta_square = np.zeros(columns), np.zeros(columns)
+        self.gamma_sum, self.block_sum = np.zeros(columns, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
+
+    def add(self, it: int, c: Chain, large: float, h2: float, block: np.ndarray) -> None:
+        self.rows.append((it, c.sigma_1, c.sigma_e, large, int(c.gamma.sum()), h2, c.alpha.tolist()))
+        size = np.abs(c.beta)
+        self.top.append(-np.sort(-np.partition(size, -min(5, len(size)))[-5:]))
+        self.beta_sum += c.beta
+        self.beta_square += np.square(c.beta)
+        self.gamma_sum += c.gamma
+        self.block_sum[np.unique(block[c.gamma == 1])] += 1
+
+
+def run_chain(data: Statistics | SparseData, settings: Settings, chain: int, block: np.ndarray) -> tuple[list[Segment], bool, int, list[float]]:
+    """Segments of the last ``keep`` draws, whether they passed the Geweke test, the steps, and each test's worst z.
 
     Draws with h2 > 1 after ``reject_after`` are not counted but move the state;
-    ``max_iter`` bounds the steps, so the loop always ends.
+    ``max_iter`` bounds the steps, so the loop always ends.  ``block`` numbers
+    each column's block.
     """
-    c, kept, it = Chain(data, settings, chain), [], 0
-    for steps in range(settings.max_iter):
+    c = (SparseChain if isinstance(data, SparseData) else Chain)(data, settings, chain)
+    columns, blocks, it = len(c.beta), int(block.max()) + 1 if len(block) else 0, 0
+    segments, kept, tests, step = [Segment(columns, blocks)], 0, [], 0
+    for step in range(1, settings.max_iter + 1):
         c.step()
-        if steps % 500 == 499:
+        if step % 500 == 0:
             c.refresh()
         h2 = c.h2()
         if it > settings.reject_after and h2 > 1:
             continue
         if it >= settings.burn_in:
-            large = float(np.mean(np.abs(c.beta) > settings.large))
-            kept.append((it, c.sigma_1, c.sigma_e, large, int(c.gamma.sum()), h2, c.alpha.copy(), c.beta.copy(), c.gamma.copy()))
+            if len(segments[-1].rows) == settings.slide:
+                segments.append(Segment(columns, blocks))
+            segments[-1].add(it, c, float(np.mean(np.abs(c.beta) > settings.large)), h2, block)
+            kept += 1
+            if kept >= settings.keep and (kept - settings.keep) % settings.slide == 0:
+                segments = segments[-(-(-settings.keep // settings.slide)) :]
+                tests.append(worst_z(segments))
+                if tests[-1] < settings.z_limit:
+                    return segments, True, step, tests
         it += 1
-        if len(kept) >= settings.keep and (len(kept) - settings.keep) % settings.slide == 0:
-            kept = kept[-settings.keep :]
-            if chain_converged(kept, settings.z_limit):
-                return kept, True
-    return kept[-settings.keep :], False
-
-
-def chain_converged(kept: list[tuple], limit: float) -> bool:
-    alpha = np.array([k[6] for k in kept])
-    top = -np.sort(-np.abs(np.array([k[7] for k in kept])), axis=1)[:, :5]
-    series = [np.array([k[c] for k in kept]) for c in (3, 5, 2)] + [*alpha.T, *top.T]
-    return all(geweke_max(x) < limit for x in series)
-
-
-def sample(spark, data: Statistics, chains: int = 5, settings: Settings | None = None) -> DataFrame:
-    """Kept draws of all chains, one row each; a task runs one chain."""
+    return segments[-(-(-settings.keep // settings.slide)) :], False, step, tests
+
+
+def worst_z(segments: list[Segment]) -> float:
+    """Largest absolute z over every alpha, the five largest effects, their ratio, h2 and sigma_e."""
+    rows = [r for s in segments for r in s.rows]
+    top = np.array([t for s in segments for t in s.top])
+    series = [np.array([r[c] for r in rows]) for c in (3, 5, 2)] + [*np.array([r[6] for r in rows]).T, *top.T]
+    return max(geweke_max(x) for x in series)
+
+
+def sample(
+    design: DataFrame,
+    phenotype: DataFrame,
+    covariates: DataFrame,
+    blocks: DataFrame,
+    annotation: DataFrame | None = None,
+    chains: int = 5,
+    settings: Settings | None = None,
+) -> DataFrame:
+    """``SEGMENTS`` of all chains; a task runs one chain.
+
+    ``blocks`` has ``hap_ord, block_no``.  Each chain's task gets a copy of what
+    it needs by a shuffle: sums of products, or sparse columns.
+    """
     settings = settings or Settings()
-    shared = spark.sparkContext.broadcast(vars(data))  # columns squared numbers, as plain arrays
+    c_count = covariates.agg(F.max("c_idx")).first()[0] + 1
+    last = blocks.agg(F.max("hap_ord")).first()[0]
+    columns = 2 + c_count + (0 if last is None else last + 1)
+    long = long_table(design, phenotype, covariates, c_count)
+    sums = columns <= settings.gram_columns
+    data = gram(long).select("i", "j", F.col("xy").alias("x")) if sums else long.select(F.col("sample_idx").alias("i"), F.col("column").alias("j"), F.col("value").alias("x"))
+    kind = lambda df, name, i, j, x: df.select(F.lit(name).alias("kind"), F.col(i).cast("int").alias("i"), j.cast("int").alias("j"), x.cast("double").alias("x"))
+    rows = kind(data, "data", "i", F.col("j"), F.col("x")).unionByName(kind(blocks, "block", "hap_ord", F.col("block_no"), F.lit(0.0)))
+    if annotation is not None:
+        rows = rows.unionByName(kind(annotation, "annotation", "hap_ord", F.col("a_idx"), F.col("value")))
+    copies = rows.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartitionById(chains, "chain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Statistics(**shared.value)
-        for batch in batches:
-            for chain in batch.column(0).to_pylist():
-                kept, converged = run_chain(own, settings, chain)
-                for at in range(0, len(kept), 1000):
-                    part = list(zip(*kept[at : at + 1000]))
-                    arrays = [pa.array([chain] * len(part[0]), pa.int32()), pa.array(part[0], pa.int32())]
-                    arrays += [pa.array(part[k], pa.float64()) for k in (1, 2, 3)] + [pa.array(part[4], pa.int32()), pa.array(part[5], pa.float64())]
-                    arrays += [pa.array([x.tolist() for x in part[k]], pa.list_(pa.float64())) for k in (6, 7)]
-                    arrays += [pa.array([x.tolist() for x in part[8]], pa.list_(pa.int8())), pa.array([converged] * len(part[0]))]
-                    names = [x.split()[0] for x in TRACE.split(", ")]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return spark.range(0, chains, 1, chains).mapInArrow(run, TRACE)
-
-
-def long_trace(trace: DataFrame, names: DataFrame) -> DataFrame:
-    """``chain, iter, hap_ord, hap_name, block, gamma, beta``; ``names`` is broadcast (one row a column)."""
-    rows = trace.select("chain", "iter", F.posexplode(F.arrays_zip("gamma", "beta")).alias("hap_ord", "x"))
-    rows = rows.select("chain", "iter", "hap_ord", "x.gamma", "x.beta")
-    return rows.join(F.broadcast(names), "hap_ord")
+        table = pa.Table.from_batches(batches)
+        if not table.num_rows:
+            return
+        chain = table.column("chain")[0].as_py()
+        of = {}
+        for name in ("data", "block", "annotation"):
+            part = table.filter(pc.equal(table.column("kind"), name))
+            of[name] = tuple(part.column(x).to_numpy() for x in ("i", "j", "x"))
+        block = np.zeros(columns - 2 - c_count, dtype=np.int64)
+        block[of["block"][0]] = of["block"][1]
+        extra = annotation_matrix(*of["annotation"], len(block)) if len(of["annotation"][0]) else None
+        if sums:
+            own = gram_statistics(dense_matrix(*of["data"], columns), c_count, extra)
+        else:
+            own = SparseData(*of["data"], c_count, columns, extra)
+        segments, converged, steps, tests = run_chain(own, settings, chain, block)
+        names = [x.split()[0] for x in SEGMENTS.split(", ")]
+        kinds = [pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+        for number, s in enumerate(segments):
+            series = list(zip(*s.rows)) or [()] * 7
+            arrays = [pa.array([chain], pa.int32()), pa.array([number], pa.int32()), pa.array([list(series[0])], pa.list_(pa.int32()))]
+            arrays += [pa.array([list(series[k])], kinds[k]) for k in range(1, 6)] + [pa.array([list(series[6])], pa.list_(pa.list_(pa.float64())))]
+            arrays += [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (s.beta_sum, s.beta_square)]
+            arrays += [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (s.gamma_sum, s.block_sum)]
+            arrays += [pa.array([converged]), pa.array([steps], pa.int64()), pa.array([tests], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return copies.select("chain", "kind", "i", "j", "x").mapInArrow(run, SEGMENTS)
+
+
+def draws(segments: DataFrame) -> DataFrame:
+    """``chain, iter`` and the single numbers of each kept draw, and its ``alpha``."""
+    series = ["iter", "sigma_1", "sigma_e", "large_ratio", "n_gamma", "h2", "alpha"]
+    rows = segments.select("chain", F.explode(F.arrays_zip(*series)).alias("x"), "converged")
+    return rows.select("chain", *[F.col(f"x.{s}").alias(s) for s in series], "converged")
+
+
+def column_means(segments: DataFrame) -> DataFrame:
+    """``chain, hap_ord, pip, mean, sd`` (population) over each chain's kept draws."""
+    zipped = F.arrays_zip("beta_sum", "beta_square", "gamma_sum")
+    rows = segments.select("chain", F.size("iter").alias("n"), F.posexplode(zipped).alias("hap_ord", "x"))
+    sums = rows.groupBy("chain", "hap_ord").agg(*[F.sum(c).alias(a) for c, a in (("n", "n"), ("x.beta_sum", "s"), ("x.beta_square", "q"), ("x.gamma_sum", "g"))])
+    mean = F.col("s") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.select("chain", "hap_ord", (F.col("g") / F.col("n")).alias("pip"), mean.alias("mean"), sd.alias("sd"))
+
+
+def block_means(segments: DataFrame) -> DataFrame:
+    """``chain, block_no, pip``: how often any column of the block was in."""
+    rows = segments.select("chain", F.size("iter").alias("n"), F.posexplode("block_sum").alias("block_no", "g"))
+    return rows.groupBy("chain", "block_no").agg((F.sum("g") / F.sum("n")).alias("pip"))
+
+
+def chain_log(segments: DataFrame) -> DataFrame:
+    """One row a chain: ``steps, kept, converged`` and the worst z of each test, a test every ``slide`` draws."""
+    return segments.groupBy("chain").agg(
+        F.max("steps").alias("steps"), F.sum(F.size("iter")).alias("kept"), F.max("converged").alias("converged"), F.first("worst_z").alias("worst_z")
+    )

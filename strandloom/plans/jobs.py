@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import posterior
@@ -61,12 +61,15 @@ def haplotype_design(
 
 @dataclass
 class MappingResult:
+    """``chains`` is the log of the chains: steps, kept draws, convergence, worst z of each test."""
+
     haplotype_pip: DataFrame
     block_pip: DataFrame
     beta: DataFrame
     alpha: DataFrame
     trace: DataFrame
     draws: DataFrame
+    chains: DataFrame
 
 
 def map_effects(
@@ -76,22 +79,29 @@ def map_effects(
     annotation: DataFrame | None = None,
     chains: int = 5,
     settings: sampler.Settings | None = None,
+    only_converged: bool = False,
 ) -> MappingResult:
     """Posterior inclusion and effects: chains in parallel, then medians over chains.
 
-    With ``annotation`` inclusion follows a probit model of it.
+    With ``annotation`` inclusion follows a probit model of it.  Chains that end
+    at ``max_iter`` without passing the Geweke test are in the medians unless
+    ``only_converged``; the results say how many of the chains behind a row had
+    converged (``n_converged``).
     """
-    spark = design.sparkSession
     covariates = intercept(phenotype) if covariates is None else covariates
     names = design.select("hap_ord", "hap_name").distinct().withColumn("block", haplotypes.block_of())
-    data = sampler.collect_statistics(design, phenotype, covariates, annotation)
-    draws = sampler.sample(spark, data, chains, settings).cache()
-    trace = sampler.long_trace(draws, names)
+    firsts = names.groupBy("block").agg(F.min("hap_ord").alias("ord"))
+    # One row a block: numbers in the order of the first column.
+    firsts = firsts.withColumn("block_no", F.row_number().over(Window.orderBy("ord")) - 1)
+    numbered = names.join(firsts, "block").select("hap_ord", "block_no")
+    segments = sampler.sample(design, phenotype, covariates, numbered, annotation, chains, settings).cache()
+    used = segments.where("converged") if only_converged else segments
     over = posterior.median_over_chains
-    hap_pip = over(posterior.haplotype_pip(trace), ["hap_ord"], ["pip"]).join(names, "hap_ord")
-    block_pip = over(posterior.block_pip_any(trace), ["block"], ["pip"])
-    first = names.groupBy("block").agg(F.min("hap_ord").alias("ord"))
-    beta = over(posterior.mean_sd(trace, ["hap_ord"], "beta"), ["hap_ord"], ["mean", "sd"]).join(names, "hap_ord")
+    converged = sampler.chain_log(used).agg(F.sum(F.col("converged").cast("int")).alias("n_converged"))
+    marked = lambda df: df.join(F.broadcast(converged))  # noqa: E731  (one row)
+    columns = over(sampler.column_means(used), ["hap_ord"], ["pip", "mean", "sd"]).join(names, "hap_ord").withColumn("ord", F.col("hap_ord"))
+    block_pip = over(sampler.block_means(used), ["block_no"], ["pip"]).join(firsts, "block_no").select("block", "pip", "ord")
+    draws = sampler.draws(used)
     alphas = draws.select("chain", F.posexplode("alpha").alias("ord", "value"))
     alpha = over(posterior.mean_sd(alphas, ["ord"], "value"), ["ord"], ["mean", "sd"])
     stats = ["sigma_1", "sigma_e", "large_ratio", "n_gamma", "h2"]
@@ -99,5 +109,11 @@ def map_effects(
     rows = draws.select("chain", wide.alias("x")).select("chain", "x.ord", "x.stat", "x.value")
     trace_rows = over(posterior.mean_sd(rows, ["ord", "stat"], "value"), ["ord", "stat"], ["mean", "sd"])
     return MappingResult(
-        hap_pip.withColumn("ord", F.col("hap_ord")), block_pip.join(first, "block"), beta.withColumn("ord", F.col("hap_ord")), alpha, trace_rows, draws
+        marked(columns.select("hap_ord", "hap_name", "block", "pip", "ord")),
+        marked(block_pip),
+        marked(columns.select("hap_ord", "hap_name", "block", "mean", "sd", "ord")),
+        marked(alpha),
+        marked(trace_rows),
+        draws,
+        sampler.chain_log(segments),
     )

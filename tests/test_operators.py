@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import posterior
-from strandloom.operators import blocks, clustering, haplotypes, ld, sampler
+from strandloom.operators import blocks, clustering, gram, haplotypes, ld, sampler
 from strandloom.operators import variants as v
 from strandloom.plans import jobs
 from strandloom.sources import sinks, tables
@@ -178,10 +178,18 @@ def test_sampler_recovers_planted_effects(spark):
     assert block["1@0-1"] > 0.9 and block["1@2-3"] > 0.9
 
 
+def collected(spark, design, phenotype, annotation=None):
+    long = sampler.long_table(design, phenotype, tables.intercept(phenotype), 1)
+    g = gram.gram(long).toArrow()
+    size = 3 + design.agg(F.max("hap_ord")).first()[0] + 1
+    dense = sampler.gram_statistics(gram.dense_matrix(*(g.column(c).to_numpy() for c in ("i", "j", "xy")), size), 1, annotation)
+    rows = long.toArrow()
+    return dense, sampler.SparseData(*(rows.column(c).to_numpy() for c in ("sample_idx", "column", "value")), 1, size, annotation)
+
+
 def test_statistics_give_direct_residuals(spark):
     h, y, design, phenotype = study(spark)
-    data = sampler.collect_statistics(design, phenotype, tables.intercept(phenotype))
-    chain = sampler.Chain(data, sampler.Settings(seed=2), 0)
+    chain = sampler.Chain(collected(spark, design, phenotype)[0], sampler.Settings(seed=2), 0)
     for _ in range(30):
         chain.step()
     fit = h @ chain.beta
@@ -191,6 +199,42 @@ def test_statistics_give_direct_residuals(spark):
     assert np.allclose(chain.rh, h.T @ residual) and np.allclose(chain.rc, residual.sum())
 
 
+def test_sparse_columns_draw_what_sums_draw(spark):
+    _, _, design, phenotype = study(spark)
+    annotation = np.column_stack([np.ones(12), np.arange(12) % 2])
+    for extra in (None, annotation):
+        one, two = (kind(data, sampler.Settings(seed=2), 0) for kind, data in zip((sampler.Chain, sampler.SparseChain), collected(spark, design, phenotype, extra)))
+        for step in range(60):
+            one.step()
+            two.step()
+            if step == 30:
+                one.refresh(), two.refresh()
+            assert np.allclose(one.beta, two.beta) and np.allclose(one.alpha, two.alpha) and (one.gamma == two.gamma).all()
+            assert abs(one.h2() - two.h2()) < 1e-9 and abs(one.sigma_e - two.sigma_e) < 1e-9
+
+
+def test_many_columns_take_the_sparse_way(spark):
+    _, _, design, phenotype = study(spark)
+    short = dict(burn_in=100, keep=400, slide=100, max_iter=700, seed=5)
+    results = [jobs.map_effects(design, phenotype, chains=2, settings=sampler.Settings(**short, gram_columns=limit)) for limit in (8192, 3)]
+    pips = [[(r["hap_ord"], round(r["pip"], 9), round(r["n_converged"])) for r in x.haplotype_pip.orderBy("hap_ord").collect()] for x in results]
+    assert pips[0] == pips[1] and len(pips[0]) == 12
+    log = results[0].chains.collect()
+    assert all(r["kept"] == 400 and 500 <= r["steps"] <= 700 and len(r["worst_z"]) >= 1 for r in log)
+    none = jobs.map_effects(design, phenotype, chains=1, settings=sampler.Settings(**short, z_limit=0.0), only_converged=True)
+    assert none.haplotype_pip.count() == 0 and not none.chains.first()["converged"]
+
+
+def test_gram_of_tiles_equals_the_dense_product(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (70, 23)) * (rng.random((70, 23)) < 0.3)
+    long = spark.createDataFrame([(s, c, float(x[s, c])) for s in range(70) for c in range(23) if x[s, c]], "sample_idx int, column int, value double")
+    for numbers in (1 << 24, 40):
+        got = {(r["i"], r["j"]): r["xy"] for r in gram.gram(long, tile=4, slice_numbers=numbers).collect()}
+        want = x.T @ x
+        assert got == {(i, j): want[i, j] for i in range(23) for j in range(i, 23) if want[i, j]}
+
+
 def test_text_round_trips(spark, tmp_path):
     _, _, design, phenotype = study(spark, n=20)
     samples = phenotype.select("sample_idx")
