@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Fixed value: distinct haplotypes from which a block is clustered.
 DIRECT = 7
@@ -147,11 +148,6 @@ def affinity_propagation(x: np.ndarray, rng: np.random.Generator, damping: float
     return labels if labels.max() > 0 else np.arange(n)
 
 
-def dbscan(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Distinct allele vectors are farther apart than the radius of 0.1: each is its own cluster."""
-    return np.arange(len(x))
-
-
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Ward linkage cut into ``k`` clusters."""
     n = len(x)
@@ -249,7 +245,6 @@ CLUSTERERS = {
     "xmeans": xmeans,
     "gmeans": gmeans,
     "affinity_propagation": affinity_propagation,
-    "DBSCAN": dbscan,
     "KNN": knn,
     "local": local,
     "modularity": modularity,
@@ -260,10 +255,15 @@ CLUSTERERS = {
 def cluster_haplotypes(distinct: DataFrame, algorithm: str = "xmeans", seed: int = 1) -> DataFrame:
     """``chrom, block_ord, alleles, first_seen, cluster`` with clusters of similar haplotypes.
 
-    A task holds one block's distinct haplotypes, not its samples.
+    A task holds one block's distinct haplotypes, not its samples.  DBSCAN needs
+    none: different haplotypes are further apart than its radius, so each is a
+    cluster of its own, numbered in the order in which they are first seen.
     """
-    if algorithm not in CLUSTERERS:
-        raise ValueError(f"unknown clusterer {algorithm!r}; known: {', '.join(CLUSTERERS)}")
+    if algorithm not in CLUSTERERS and algorithm != "DBSCAN":
+        raise ValueError(f"unknown clusterer {algorithm!r}; known: DBSCAN, {', '.join(CLUSTERERS)}")
+    if algorithm == "DBSCAN":
+        order = Window.partitionBy("chrom", "block_ord").orderBy("first_seen")
+        return distinct.select("chrom", "block_ord", "alleles", "first_seen", (F.row_number().over(order) - 1).alias("cluster"))
     clusterer = CLUSTERERS[algorithm]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

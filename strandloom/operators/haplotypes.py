@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.blocks import variant_blocks
 
 
-def haplotype_strings(variants: DataFrame, blocks: DataFrame) -> DataFrame:
+#: Samples of a slice: bounds a task's group to a block's variants times this.
+SLICE_SAMPLES = 4096
+
+
+def haplotype_strings(variants: DataFrame, blocks: DataFrame, slice_samples: int = SLICE_SAMPLES) -> DataFrame:
     """``chrom, block_ord, sample_idx, hap, alleles``: a row for each block and chromosome copy.
 
-    Variants carry all samples, so one group-by per block turns them into
-    strings: within a partition rows are allele characters, not wide arrays.
+    Variants move as slices of their allele arrays, a byte an allele; a task
+    turns one block's slice from variant rows into sample strings.
     """
     placed = variants.join(variant_blocks(variants, blocks), ["chrom", "var_idx"])
-    both = F.explode(F.array(*[F.struct(F.lit(h).alias("hap"), F.col(f"hap{h + 1}").alias("alleles")) for h in (0, 1)]))
-    rows = placed.select("chrom", "block_ord", "var_idx", both.alias("side"))
-    calls = rows.select("chrom", "block_ord", "var_idx", "side.hap", F.posexplode("side.alleles").alias("sample_idx", "allele"))
-    ordered = F.array_sort(F.collect_list(F.struct("var_idx", "allele")))
-    return calls.groupBy("chrom", "block_ord", "sample_idx", "hap").agg(
-        F.array_join(F.transform(ordered, lambda x: x["allele"].cast("string")), "").alias("alleles")
-    )
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("hap1"), F.lit(1)) - 1) / slice_samples).cast("int"))
+    rows = placed.select("chrom", "block_ord", "var_idx", "hap1", "hap2", F.explode(starts).alias("part"))
+    cut = lambda side: F.slice(side, F.col("part") * slice_samples + 1, F.lit(slice_samples)).alias(side)
+    rows = rows.select("chrom", "block_ord", "part", "var_idx", cut("hap1"), cut("hap2"))
+
+    def turn(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("var_idx")
+        sides = []
+        for side in ("hap1", "hap2"):
+            flat = table.column(side).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            letters = (flat.reshape(table.num_rows, -1).T + ord("0")).astype(np.uint8)
+            sides.append(np.ascontiguousarray(letters))
+        samples, width = sides[0].shape
+        data = b"".join(x.tobytes() for x in sides)
+        offsets = np.arange(0, 2 * samples * width + 1, width, dtype=np.int32) if width else np.zeros(2 * samples + 1, np.int32)
+        strings = pa.StringArray.from_buffers(2 * samples, pa.py_buffer(offsets), pa.py_buffer(data))
+        first = key[2].as_py() * slice_samples
+        columns = [
+            pa.array([key[0].as_py()] * (2 * samples), pa.string()),
+            pa.array(np.full(2 * samples, key[1].as_py(), dtype=np.int32)),
+            pa.array(np.tile(np.arange(first, first + samples, dtype=np.int32), 2)),
+            pa.array(np.repeat(np.arange(2, dtype=np.int32), samples)),
+            strings,
+        ]
+        return pa.table(columns, names=["chrom", "block_ord", "sample_idx", "hap", "alleles"])
+
+    schema = "chrom string, block_ord int, sample_idx int, hap int, alleles string"
+    return rows.groupBy("chrom", "block_ord", "part").applyInArrow(turn, schema)
 
 
 def distinct_haplotypes(strings: DataFrame) -> DataFrame:

@@ -2,44 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Number rows from 0 in file order (narrow tables: one row a sample or block)."""
-    df = df.withColumn("_line", F.monotonically_increasing_id())
-    return df.withColumn(name, F.row_number().over(Window.orderBy("_line")) - 1).drop("_line")
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, file, begin, line``: lines with what orders them: file name, place of the split, running number.
+
+    Spark reads the larger pieces of files first, so a running number alone
+    follows the order of lines only within a piece.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin")
+    )
+    return lines.where(F.trim("value") != "").withColumn("line", F.monotonically_increasing_id())
+
+
+def line_order() -> Column:
+    return F.struct("file", "begin", "line")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``n, value``: lines that are not blank, numbered from 0 in file order.
+
+    The pieces of files are counted, and only their counts (a row for each
+    piece) are put in order; no line goes through a common task.
+    """
+    lines = text_lines(spark, path)
+    pieces = lines.groupBy("file", "begin").agg(F.count("*").alias("lines"), F.min("line").alias("first"))
+    before = F.sum("lines").over(Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("file", "begin", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(pieces, ["file", "begin"]).select((F.col("line") - F.col("first") + F.col("before")).cast("int").alias("n"), "value")
+
+
+def _with_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``ord, name`` of the cells of the first line, and the other lines numbered from 0."""
+    lines = numbered_lines(spark, path)
+    names = lines.where("n = 0").select(F.posexplode(F.split("value", "\t")).alias("ord", "name"))
+    return names, lines.where("n > 0").select((F.col("n") - 1).alias("n"), "value")
 
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, block_ord, left_idx, right_idx`` of a headerless TSV of full variant indices."""
-    rows = spark.read.csv(path, sep="\t", schema="chrom string, left_idx int, right_idx int")
-    rows = rows.withColumn("_line", F.monotonically_increasing_id())
-    order = Window.partitionBy("chrom").orderBy("_line")
+    cells = F.split("value", "\t")
+    rows = text_lines(spark, path).select(
+        cells[0].alias("chrom"), cells[1].cast("int").alias("left_idx"), cells[2].cast("int").alias("right_idx"), line_order().alias("at")
+    )
+    order = Window.partitionBy("chrom").orderBy("at")
     return rows.withColumn("block_ord", F.row_number().over(order) - 1).select("chrom", "block_ord", "left_idx", "right_idx")
 
 
 def read_design(spark: SparkSession, path: str) -> DataFrame:
     """Long ``sample_idx, hap_ord, hap_name, dose`` of a TSV with a header line."""
-    wide = spark.read.text(path)
-    names = wide.first()[0].split("\t")
-    header = F.lit("\t".join(names))
-    rows = _numbered(wide.where(F.col("value") != header), "sample_idx")
-    cells = rows.select("sample_idx", F.posexplode(F.split("value", "\t")).alias("hap_ord", "dose"))
-    known = F.array(*map(F.lit, names))
-    return cells.select("sample_idx", "hap_ord", known[F.col("hap_ord")].alias("hap_name"), F.col("dose").cast("tinyint").alias("dose"))
+    names, rows = _with_header(spark, path)
+    cells = rows.select(F.col("n").alias("sample_idx"), F.posexplode(F.split("value", "\t")).alias("hap_ord", "dose"))
+    named = cells.join(names.select(F.col("ord").alias("hap_ord"), F.col("name").alias("hap_name")), "hap_ord")
+    return named.select("sample_idx", "hap_ord", "hap_name", F.col("dose").cast("tinyint").alias("dose"))
 
 
 def read_phenotype(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    return _numbered(rows, "sample_idx").select("sample_idx", F.trim("value").cast("double").alias("y"))
+    """``sample_idx, y``: a number a line."""
+    return numbered_lines(spark, path).select(F.col("n").alias("sample_idx"), F.trim("value").cast("double").alias("y"))
 
 
 def read_covariates(spark: SparkSession, path: str) -> DataFrame:
     """``sample_idx, c_idx, value`` of a headerless TSV; no intercept is added."""
-    rows = _numbered(spark.read.text(path).where(F.trim("value") != ""), "sample_idx")
-    cells = rows.select("sample_idx", F.posexplode(F.split("value", "\t")).alias("c_idx", "value"))
+    cells = numbered_lines(spark, path).select(F.col("n").alias("sample_idx"), F.posexplode(F.split("value", "\t")).alias("c_idx", "value"))
     return cells.withColumn("value", F.col("value").cast("double"))
 
 
@@ -50,7 +78,5 @@ def intercept(samples: DataFrame) -> DataFrame:
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
     """``hap_ord, a_idx, value`` of a TSV with a header line."""
-    wide = spark.read.text(path)
-    rows = _numbered(wide.where(F.col("value") != F.lit(wide.first()[0])), "hap_ord")
-    cells = rows.select("hap_ord", F.posexplode(F.split("value", "\t")).alias("a_idx", "value"))
+    cells = _with_header(spark, path)[1].select(F.col("n").alias("hap_ord"), F.posexplode(F.split("value", "\t")).alias("a_idx", "value"))
     return cells.withColumn("value", F.col("value").cast("double"))
