@@ -16,7 +16,7 @@ from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld
 from strandloom.operators import variants as v
 from strandloom.plans.jobs import map_effects
 from strandloom.sources import sinks
-from strandloom.sources.variants import fixture_calls, fixture_variants
+from strandloom.sources.variants import fixture_variants
 
 VARIANTS = 304
 
@@ -203,16 +203,6 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@_query("SELECT var_idx, sample_idx, a AS hap1, b AS hap2 FROM (SELECT var_idx, sample_idx, CAST(max(allele) FILTER (hap = 0) AS BIGINT) AS a, CAST(max(allele) FILTER (hap = 1) AS BIGINT) AS b FROM calls GROUP BY ALL)")
-def vcf_call_parse(spark, sf_dir):
-    """Genotype texts ``a|b`` built from the calls and parsed again."""
-    calls = fixture_calls(spark, sf_dir)
-    side = lambda h: F.max(F.when(F.col("hap") == h, F.col("allele"))).cast("string")
-    texts = calls.groupBy("var_idx", "sample_idx").agg(F.concat(side(0), F.lit("|"), side(1)).alias("gt"))
-    parse = lambda k: F.regexp_extract("gt", r"^([0-9])\|([0-9])$", k).cast("int")
-    return texts.select("var_idx", F.col("sample_idx").cast("long").alias("sample_idx"), parse(1).alias("hap1"), parse(2).alias("hap2"))
-
-
 @_query("SELECT var_idx, alt_count, n_alleles, af FROM freq")
 def allele_freq(spark, sf_dir):
     return v.allele_frequency(fixture_variants(spark, sf_dir)).select("var_idx", "alt_count", "n_alleles", "af")
@@ -386,6 +376,7 @@ def geweke_z(spark, sf_dir):
 
 
 def _clustered(algorithm: str):
+    @_longs
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Clusters of the haplotypes of whole linkage groups."""
         wide = spark.range(VARIANTS // 19).select(
@@ -414,6 +405,12 @@ for _name, _algorithm in (
     QUERIES[_name] = _clustered(_algorithm)
 
 
+ORACLES["cluster_dbscan"] = _sql("""SELECT block_ord, alleles, first_seen, row_number() OVER (PARTITION BY block_ord ORDER BY first_seen) - 1 AS cluster FROM (
+  SELECT block_ord, alleles, CAST(min(hap * n + sample_idx) AS BIGINT) AS first_seen FROM (
+    SELECT CAST(var_idx // 19 AS BIGINT) AS block_ord, sample_idx, hap, string_agg(CAST(allele AS VARCHAR), '' ORDER BY var_idx) AS alleles FROM calls GROUP BY ALL), size
+  GROUP BY block_ord, alleles)""")
+
+
 @_query()
 def bigld_like_partition(spark, sf_dir):
     _, common, parts = _independent(spark, sf_dir)

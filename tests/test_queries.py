@@ -1,6 +1,6 @@
 import pytest
 
-from strandloom.plans import queries
+from strandloom.plans import catalog as queries
 from tests.oracle import assert_same
 
 
