@@ -166,7 +166,7 @@ def beta_file(spark, sf_dir):
     return _lines(spark, path).select("n", _cell(0, "string").alias("hap_name"), _cell(1).alias("mean"), _cell(2).alias("sd"))
 
 
-@_query("""SELECT CASE stat WHEN 'large_ratio' THEN 0 ELSE 1 END AS n, round(median(mean), 6) AS mean, round(median(sd), 6) AS sd FROM (
+@_query("""SELECT CAST(CASE stat WHEN 'large_ratio' THEN 0 ELSE 1 END AS BIGINT) AS n, round(median(mean), 6) AS mean, round(median(sd), 6) AS sd FROM (
   SELECT stat, chain, avg(value) AS mean, stddev_pop(value) AS sd FROM (
     SELECT chain, iter, 'large_ratio' AS stat, avg(CAST(abs(beta) > CAST(0.3 AS DOUBLE) AS DOUBLE)) AS value FROM trace GROUP BY chain, iter
     UNION ALL SELECT chain, iter, 'n_gamma', CAST(sum(gamma) AS DOUBLE) FROM trace GROUP BY chain, iter) GROUP BY stat, chain) GROUP BY stat""")

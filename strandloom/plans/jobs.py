@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import posterior
 from strandloom.operators import bigld, blocks, clustering, haplotypes, ld, sampler
 from strandloom.operators import variants as v
+from strandloom.sources.scratch import written
 from strandloom.sources.tables import intercept
 
 
@@ -36,7 +37,10 @@ def haplotype_design(
 
     ``partition``: "bigld", or a table of full-index blocks as
     ``read_partition`` gives it; every chromosome must be in it.
+    Variants, fine blocks and clusters are written to the shared folder once, as
+    each of them is used by several of the steps.
     """
+    variants = written(variants, "variants")
     common = v.common_variants(variants)
     index, last = common.select("chrom", "c_idx", "var_idx"), v.last_variant(variants)
     parts = ld.independent_blocks_common(common, r2, window)
@@ -51,9 +55,10 @@ def haplotype_design(
         if missing:
             raise ValueError(f"the partition has no block of chromosome {missing[0][0]}")
         fine = partition
+    fine = written(fine, "fine")
     names = blocks.block_names(variants, fine)
     strings = haplotypes.haplotype_strings(variants, fine)
-    clusters = clustering.cluster_haplotypes(haplotypes.distinct_haplotypes(strings), clusterer, seed)
+    clusters = written(clustering.cluster_haplotypes(haplotypes.distinct_haplotypes(strings), clusterer, seed), "clusters")
     doses = haplotypes.haplotype_doses(strings, clusters)
     kept = haplotypes.kept_haplotypes(haplotypes.rank_clusters(doses), names)
     return HaplotypeResult(ld.alone_variants(common), independent, fine, names, kept, haplotypes.design(doses, kept))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -21,3 +21,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             _own.append(tempfile.mkdtemp(prefix="strandloom-"))
         base = _own[0]
     return f"{base.rstrip('/')}/strandloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own: made once, and read by all that follows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
