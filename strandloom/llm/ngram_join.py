@@ -310,9 +310,10 @@ def ngram_components(
                 first = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                 order = np.argsort(held, kind="stable")[:first]  # ``own`` is sorted by hash: ties by hash
                 chosen = own[order[held[order] > 1]]
-                bands = size_band(len(own), percent) + np.arange(2, dtype=np.uint64) if len(own) else ()
-                found += [mix(chosen + _BAND * band).view(np.int64) for band in bands]
-                many.append(len(bands) * len(chosen))
+                # Each shingle once for the set's own band and once for the next.
+                bands = (size_band(max(1, len(own)), percent) + np.arange(2, dtype=np.uint64)) * _BAND
+                found.append(mix((chosen[:, None] + bands).ravel()).view(np.int64))
+                many.append(2 * len(chosen))
             if any(many):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(keys, dtype=np.int64), many)), pa.array(np.concatenate(found))],
