@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import write_table
+from strandloom.llm.shared import remove, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,14 +37,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     repeated edges are allowed; nodes with only self loops are left out.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges = write_table(edges, name)
+    spark = edges.sparkSession
+    edges, path = written(edges, name)
     told = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if told == (now["n"], now["s"]) or not now["n"]:
             break
         told = (now["n"], now["s"])
-        edges = write_table(_star(_star(edges, True), False), name)
+        before, (edges, path) = path, written(_star(_star(edges, True), False), name)
+        remove(spark, before)
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)

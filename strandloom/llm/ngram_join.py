@@ -271,7 +271,8 @@ def ngram_components(
         for batch in (part for whole in batches for part in batch_slices(whole, 1, 4 * SLICE_CHARS)):
             out = []
             for key, own in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())):
-                count_up(counts, np.unique(own >> np.uint64(64 - width_log2)), rng)
+                cells = own >> np.uint64(64 - width_log2)  # sorted, as the set is
+                count_up(counts, cells[np.append(True, cells[1:] != cells[:-1])] if len(cells) else cells, rng)
                 prints = (own, mix(own)) if len(own) else (np.zeros(1, np.uint64),) * 2
                 high, low = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in prints)
                 out.append((key, len(own), high, low, None, None))
@@ -321,7 +322,7 @@ def ngram_components(
                 )
 
     known = rows.where("doc_id is not null")
-    postings = known.mapInArrow(prefixes, "doc_id long, shingle long")
+    postings = write_table(known.mapInArrow(prefixes, "doc_id long, shingle long"), "postings")
     # A star around each shared shingle: as many rows as postings, never pairs.
     hubs = postings.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most")
     raw = postings.join(hubs, "shingle").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()

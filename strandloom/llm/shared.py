@@ -35,9 +35,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut there."""
+    return written(df, name, compression)[0]
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """As :func:`write_table`, and the table's path, for :func:`remove`."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -186,6 +186,38 @@ def test_pack_rebuilds_all_documents(spark):
     assert packing.pack(docs_of(spark, texts).where("false"), BYTE).count() == 0
 
 
+def group_rows(pieces):
+    """Rows of pieces in each packing group, and ids."""
+    rows, ids = Counter(), Counter()
+    for p in pieces:
+        rows[p["sequence_id"] >> 32] += 1
+        ids[p["sequence_id"] >> 32] += p["length"]
+    return rows, ids
+
+
+def test_pack_spreads_huge_and_equal_documents(spark):
+    huge = packing.pack(docs_of(spark, ["a b " * 20_000] * 5), BYTE, capacity=16, group_rows=64).collect()
+    rows, ids = group_rows(huge)
+    assert sum(ids.values()) == 5 * (40_001 + 1) and len(rows) >= 3 and max(ids.values()) < 2 * sum(ids.values()) / len(ids)
+    by_ids, _ = group_rows(packing.pack(docs_of(spark, ["a b " * 20_000] * 5), BYTE, capacity=16, group_ids=4096).collect())
+    assert len(by_ids) > 20
+    equal = docs_of(spark, ["same"]).select(F.explode(F.array_repeat(F.lit(7).cast("long"), 600)).alias("doc_id"), "text")
+    rows, ids = group_rows(packing.pack(equal.withColumn("doc_id", F.lit(None).cast("long")), BYTE, capacity=16, group_rows=50).collect())
+    assert sum(ids.values()) == 1200 and len(rows) >= 10 and max(rows.values()) < 200
+
+
+def test_token_store_cuts_equal_ids_into_several_parts(spark, tmp_path):
+    docs = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_store(docs, str(tmp_path / "s"), WORD, False, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "s")).select("part").distinct().count() > 1
+    rows = sorted((r["start"], r["n_tokens"]) for r in token_store.read_store(spark, str(tmp_path / "s")).collect())
+    assert len(rows) == 4000 and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:]))
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(2)
     texts, labels = [], []
