@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.hashing import WordHasher, mix, run_hashes
-from strandloom.llm.shared import SLICE_CHARS, batch_slices, free_worker, id_and_text, slices, write_table
+from strandloom.llm.shared import SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, slices, write_table
 
 _BLOCK_LOG2 = 21
 _BAND = np.uint64(0xD6E8FEB86659FD93)
@@ -247,7 +247,8 @@ def ngram_components(
     docs: DataFrame,
     n: int = 3,
     percent: int = 90,
-    width_log2: int = 26,
+    width_log2: int | None = None,
+    most_log2: int = 26,
     block_shingles: int = 3_000_000,
     sketches: int | None = None,
     id_col: str = "doc_id",
@@ -255,10 +256,12 @@ def ngram_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
-    The sketch has ``2 ** width_log2`` bytes whatever the input (64 MB by
-    default); it orders shingles and decides no link.
+    The sketch has ``2 ** width_log2`` bytes: the width goes with the bytes of
+    text, up to ``most_log2`` (64 MB by default); it orders shingles and decides
+    no link.
     """
     rows = id_and_text(docs, id_col, text_col)
+    width_log2 = width_log2 or counters_log2(rows, most_log2)
     sketches = sketches or 8 * docs.sparkSession.sparkContext.defaultParallelism
     size = 1 << min(_BLOCK_LOG2, width_log2)
 

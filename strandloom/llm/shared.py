@@ -58,6 +58,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def counters_log2(texts: DataFrame, most: int, least: int = 16) -> int:
+    """For a sketch of the runs of words of ``text``: two counters a run or more, as a power of two, up to ``most``."""
+    held = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+    return min(most, max(least, (held // 3).bit_length()))
+
+
 def quoted(name: str) -> str:
     """A column's name as one part, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

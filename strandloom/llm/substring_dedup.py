@@ -9,8 +9,10 @@ Pass 2 groups only the windows estimated to repeat, by a 96-bit fingerprint,
 and finds those that do not come first.  Pass 3 removes the words they cover.
 
 The merged sketch that tasks receive has ``depth * 2 ** (width_log2 - 3)``
-bytes (64 MB by default) whatever the input; with more windows than counters
-the filter lets more through, and pass 2, split by fingerprint, stays exact.
+bytes: the width goes with the bytes of text, up to ``most_log2`` (64 MB in all
+by default; raise it where workers have the memory).  With more windows than
+counters the filter lets more through, and pass 2, split by fingerprint, stays
+exact.
 A passage that a third of all documents holds costs pass 2 one entry for each
 batch of documents, as only a batch's first occurrence goes on.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, mix, run_hashes, run_starts
-from strandloom.llm.shared import SLICE_CHARS, batch_slices, free_worker, id_and_text
+from strandloom.llm.shared import SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text
 
 _BLOCK_LOG2 = 22
 _REPEATED_SCHEMA = "row int, block int, windows long, seen binary, repeated binary"
@@ -124,7 +126,8 @@ def later_windows(
     docs: DataFrame,
     window: int = 20,
     depth: int = 2,
-    width_log2: int = 28,
+    width_log2: int | None = None,
+    most_log2: int = 28,
     shard_windows: int = 2_000_000,
     sketches: int | None = None,
 ) -> DataFrame:
@@ -133,6 +136,7 @@ def later_windows(
     ``docs`` has ``doc_id, text, crc`` (the text's CRC-32).  Shards of
     fingerprints send what they find to parts of documents, as packed arrays.
     """
+    width_log2 = width_log2 or counters_log2(docs, most_log2)
     sketches = sketches or 8 * docs.sparkSession.sparkContext.defaultParallelism
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
