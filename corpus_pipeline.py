@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontamination, line_dedup, ngram_join, packing, toxicity
-from strandloom.llm.shared import with_rest, without_rest, write_table
+from strandloom.llm.shared import remove, with_rest, without_rest, write_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,8 +95,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage before it is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; every stage before it is written and read again.
+
+    A stage's table is removed once the next stage's has been written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
