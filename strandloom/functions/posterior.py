@@ -52,6 +52,12 @@ def top_abs(trace: DataFrame, k: int = 5) -> DataFrame:
     return trace.groupBy("chain", "iter").agg(F.slice(sizes, 1, k).alias("top"))
 
 
+def check_geweke(first: float, last: float, intervals: int) -> None:
+    """Raise where the two parts of a series are not parts, or overlap."""
+    if not (0 < first < 1 and 0 < last < 1 and first + last < 1 and intervals > 1):
+        raise ValueError(f"invalid parts or intervals for the Geweke test: {first}, {last}, {intervals}")
+
+
 def geweke(series: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 20) -> DataFrame:
     """``chain, start, z`` from ``chain, at, value`` (at: 0, 1, ... in order).
 
@@ -59,6 +65,7 @@ def geweke(series: DataFrame, first: float = 0.1, last: float = 0.5, intervals:
     ``last``.  Two constant equal slices give 0, a constant pair that differs
     gives null.  Starts per chain are few; each row joins them by chain.
     """
+    check_geweke(first, last, intervals)
     sizes = series.groupBy("chain").agg((F.max("at")).cast("int").alias("end"))
     stop = F.floor((1 - last) * F.col("end")).cast("int")
     step = F.greatest(F.floor((1 - last) * F.col("end") / (intervals - 1)).cast("int"), F.lit(1))

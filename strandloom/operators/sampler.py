@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.posterior import check_geweke
 from strandloom.operators.gram import dense_matrix, gram
 
 #: One row for each segment of kept draws; arrays over draws, columns or blocks.
@@ -94,6 +95,7 @@ def gram_statistics(g: np.ndarray, c_count: int, annotation: np.ndarray | None =
 
 def geweke_max(x: np.ndarray, first: float = 0.1, last: float = 0.5, intervals: int = 20) -> float:
     """Largest absolute z; equal constant slices give 0."""
+    check_geweke(first, last, intervals)
     end = len(x) - 1
     stop = int((1 - last) * end)
     worst = 0.0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import posterior
-from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld
+from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld, sampler
 from strandloom.operators import variants as v
 from strandloom.plans.jobs import map_effects
 from strandloom.sources import sinks
@@ -87,6 +87,15 @@ PARTS = {
     "kept": """SELECT block_ord, cluster, rank, block || '_' || rank AS hap_name,
       row_number() OVER (ORDER BY block_ord, rank) - 1 AS hap_ord FROM ranked JOIN names USING (block_ord) WHERE rank > 0""",
     "design": "SELECT sample_idx, hap_ord, hap_name, dose FROM dose JOIN kept USING (block_ord, cluster)",
+    "noise": """SELECT event_id AS sample_idx, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS noise FROM events""",
+    "genetic": """SELECT sample_idx, sum(CASE hap_ord WHEN 5 THEN CAST(1.5 AS DOUBLE) WHEN 60 THEN CAST(-1.2 AS DOUBLE) ELSE 0 END * dose) AS g
+      FROM design GROUP BY sample_idx""",
+    "people": "SELECT DISTINCT vec_id // 2 AS sample_idx FROM embeddings",
+    "wide": """SELECT sample_idx, 0 AS k, CAST(1 AS DOUBLE) AS x FROM people
+      UNION ALL SELECT sample_idx, 1, coalesce(g, 0) + coalesce(noise, 0) FROM people LEFT JOIN genetic USING (sample_idx) LEFT JOIN noise USING (sample_idx)
+      UNION ALL SELECT sample_idx, 2, 1 FROM people
+      UNION ALL SELECT vec_id // 2, 3, CAST(label AS DOUBLE) FROM embeddings WHERE vec_id % 2 = 0
+      UNION ALL SELECT sample_idx, hap_ord + 4, CAST(dose AS DOUBLE) FROM design""",
     "trace": """SELECT event_id % 5 AS chain, event_id // 5 AS iter, h AS hap_ord, '1@' || (h // 3 * 100 + 1) || '-' || (h // 3 * 100 + 100) AS block,
       CASE WHEN (user_id + 7 * h + event_id) % 11 < 3 THEN 1 ELSE 0 END AS gamma,
       ((event_id * 31 + user_id * 17 + h * 101) % 2001 - 1000) / CAST(1009 AS DOUBLE) AS beta FROM events, range(8) AS r(h)""",
@@ -435,6 +444,15 @@ def simulated_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return design, phenotype, ones.unionByName(label)
 
 
+@_query("""SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, round(sum(a.x * b.x), 4) AS xy FROM wide AS a JOIN wide AS b
+  ON a.sample_idx = b.sample_idx AND a.k <= b.k GROUP BY ALL HAVING sum(a.x * b.x) <> 0""")
+def study_products(spark, sf_dir):
+    """Products of ones, phenotype, covariates and doses: all that the chains learn from the samples."""
+    design, phenotype, covariates = simulated_study(spark, sf_dir)
+    products = gram.gram(sampler.long_table(design, phenotype, covariates, 2))
+    return products.where("xy <> 0").select("i", "j", F.round("xy", 4).alias("xy"))
+
+
 @_query()
 def gibbs_pip(spark, sf_dir):
     result = map_effects(*simulated_study(spark, sf_dir))

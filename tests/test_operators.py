@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import posterior
-from strandloom.operators import blocks, clustering, gram, haplotypes, ld, sampler
+from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld, sampler
 from strandloom.operators import variants as v
 from strandloom.plans import jobs
 from strandloom.sources import sinks, tables
@@ -155,6 +155,63 @@ def test_geweke_of_constant_and_shifted_series(spark):
     assert sampler.geweke_max(np.ones(100)) == 0
 
 
+def test_geweke_refuses_parts_that_overlap():
+    for parts in ((0.0, 0.5), (0.1, 1.0), (0.6, 0.5)):
+        with pytest.raises(ValueError):
+            sampler.geweke_max(np.arange(50.0), *parts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ward_merges_what_raises_the_spread_least(seed):
+    x = np.random.default_rng(seed).normal(size=(11, 3))
+    groups = [[k] for k in range(11)]
+    spread = lambda g: np.square(x[g] - x[g].mean(axis=0)).sum()
+    for k in range(10, 1, -1):
+        a, b = min(((a, b) for a in range(len(groups)) for b in range(a)), key=lambda p: spread(groups[p[0]] + groups[p[1]]) - spread(groups[p[0]]) - spread(groups[p[1]]))
+        groups = [g for n, g in enumerate(groups) if n not in (a, b)] + [groups[a] + groups[b]]
+        labels = clustering.ward(x, k)
+        assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist())} == {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_kmeans_stops_where_nothing_moves(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2, (40, 9)).astype(float)
+    labels, centers = clustering._kmeans(x, 4, rng)
+    assert all(np.allclose(centers[c], x[labels == c].mean(axis=0)) for c in set(labels.tolist()))
+    own = np.square(x - centers[labels]).sum(axis=1)
+    assert (own <= np.square(x[:, None] - centers[None]).sum(axis=2).min(axis=1) + 1e-9).all()
+
+
+def test_cliques_of_a_band_equal_those_of_the_square():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2, (12, 80))[np.repeat(np.arange(12), 9)] ^ (rng.random((108, 80)) < 0.1)
+    strong = np.abs(np.corrcoef(x)) > 0.5
+    want = set()
+    for i in range(108):
+        for j in np.flatnonzero(strong[i, i + 1 :]) + i + 1:
+            inside, size = np.triu(strong[i : j + 1, i : j + 1], 1).sum(), j - i + 1
+            if inside >= size * (size - 1) / 4:
+                want.add((i, int(j), float(size)))
+    found = bigld.intervals(bigld.strong_band(x, 0.5))
+    assert set(found) == want and len(found) > 100
+    assert {c for c in want if c[2] <= 6} == set(bigld.intervals(bigld.strong_band(x, 0.5, reach=5)))
+    for m in (1, 2):
+        assert bigld.intervals(bigld.strong_band(x[:m], 2.0)) == []
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    for k, lines in enumerate((["a"] * 3, [f"row {i} " + "x" * 50 for i in range(400)], ["z", "", "y"])):
+        (tmp_path / f"part-{k}").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = sorted((r["n"], r["value"]) for r in tables.numbered_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = ["a"] * 3 + [f"row {i} " + "x" * 50 for i in range(400)] + ["z", "y"]
+    assert rows == list(enumerate(want))
+
+
 def study(spark, n=300, p=12, seed=3):
     rng = np.random.default_rng(seed)
     h = rng.binomial(2, 0.3, (n, p))
