@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -264,7 +265,7 @@ def learn_lexicon(rows: DataFrame, least_share: float, longest_stem: int = 9) ->
                 words, bounds = hasher.words(texts[cut])
                 runs = run_hashes(words, 5).view(np.int64)
                 families = [
-                    int(runs[a : b - 4].min()) if b - a >= 5 else hash(t) for a, b, t in zip(bounds[:-1], bounds[1:], texts[cut])
+                    int(runs[a : b - 4].min()) if b - a >= 5 else zlib.crc32(t.encode()) for a, b, t in zip(bounds[:-1], bounds[1:], texts[cut])
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
