@@ -27,7 +27,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +130,12 @@ class PrefixTree:
         return out
 
 
-def join_classes(sets: list[np.ndarray], tokens: int, percent: int) -> list[int]:
-    """The class (smallest index) of each set under links of ``percent`` Jaccard."""
+def join_classes(sets: list[np.ndarray], tokens: int, percent: int, on_link: Callable[[int, int], None] | None = None) -> list[int]:
+    """The class (smallest index) of each set under links of ``percent`` Jaccard.
+
+    With ``on_link`` subtrees of the set's own class are walked as well, and it
+    is told every linked pair, once from each side.
+    """
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -169,9 +173,10 @@ def join_classes(sets: list[np.ndarray], tokens: int, percent: int) -> list[int]
             node, overlap = todo.pop()
             if tree.most[node] * 100 < size * percent or tree.least[node] * percent > size * 100:
                 continue
-            known = settled(node)
-            if known is not None and find(known) == find(number):
-                continue
+            if on_link is None:
+                known = settled(node)
+                if known is not None and find(known) == find(number):
+                    continue
             begin, end = tree.begin[node], tree.end[node]
             left = size
             if end > begin:
@@ -185,13 +190,24 @@ def join_classes(sets: list[np.ndarray], tokens: int, percent: int) -> list[int]
                 other = tree.members[node][0]
                 if 100 * overlap >= percent * (size + len(sets[other]) - overlap):
                     join(number, other)
+                    if on_link is not None:
+                        for x in tree.members[node]:
+                            if x != number:
+                                on_link(number, x)
             todo += [(kid, overlap) for kid in tree.kids[node]]
         mark[own] = False
     return [find(x) for x in range(len(sets))]
 
 
-def class_links(ids: list[int], texts: list[str], n: int, percent: int) -> list[tuple[int, int]]:
-    """Links of one class of documents: each one to the smallest of its component."""
+def class_links(
+    ids: list[int], texts: list[str], n: int, percent: int, counted: tuple[list[int], list[bool], list[int]] | None = None
+) -> list[tuple[int, int | None, int | None]]:
+    """Links of one class of documents: ``(id, smallest id of its component, None)``.
+
+    With ``counted`` (block of each document, whether pairs within that block
+    count here, number of its copies) there is ``(id, None, documents linked)``
+    for each document as well.
+    """
     order = np.argsort(np.array(ids, dtype=np.int64), kind="stable").tolist()
     ids = [ids[k] for k in order]
     sets = list(Shingler(n).sets([texts[k] for k in order]))
@@ -200,8 +216,17 @@ def class_links(ids: list[int], texts: list[str], n: int, percent: int) -> list[
     rank = np.empty(len(names), dtype=np.uint32)
     rank[np.lexsort((names, -counts))] = np.arange(len(names), dtype=np.uint32)
     ranks = np.split(rank[codes], np.cumsum([len(s) for s in sets])[:-1])
-    found = join_classes([np.sort(r) for r in ranks], len(names), percent)
-    return [(ids[k], ids[c]) for k, c in enumerate(found) if ids[k] != ids[c]]
+    linked, on_link = [0] * len(ids), None
+    if counted is not None:
+        block, within, copies = ([x[k] for k in order] for x in counted)
+
+        def on_link(x: int, y: int) -> None:
+            if block[x] != block[y] or within[x]:
+                linked[x] += copies[y]
+
+    found = join_classes([np.sort(r) for r in ranks], len(names), percent, on_link)
+    out = [(ids[k], ids[c], None) for k, c in enumerate(found) if ids[k] != ids[c]]
+    return out + [(ids[k], None, m) for k, m in enumerate(linked) if m]
 
 
 #: What a counter of 0..255 stands for: exact up to 16, then steps of a tenth (up to 10 ** 11).
@@ -251,11 +276,16 @@ def ngram_components(
     most_log2: int = 26,
     block_shingles: int = 3_000_000,
     sketches: int | None = None,
+    count_links: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
+    With ``count_links`` there is ``n_links`` as well: how many other documents
+    each one is linked with.  Trees are then walked through; else a walk leaves
+    out what already is in a set's class, which near copies in great numbers need.
+
     The sketch has ``2 ** width_log2`` bytes: the width goes with the bytes of
     text, up to ``most_log2`` (64 MB by default); it orders shingles and decides
     no link.
@@ -299,7 +329,7 @@ def ngram_components(
 
     members = scanned.where("block is null").select("doc_id", "n_shingles", "high", "low")
     linkable = members.where("n_shingles > 0 and doc_id is not null")
-    heads = linkable.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("head"))
+    heads = linkable.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
@@ -344,23 +374,42 @@ def ngram_components(
     # One task for a class of one block; else one for each pair of blocks.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 2, F.lit(0))))
     dealt = dealt.withColumn("k", other).withColumn("k", F.when(F.col("k") >= F.col("own"), F.col("k") + 1).otherwise(F.col("k")))
+    copies = heads.select(F.col("head").alias("doc_id"), "copies")
+    if count_links:
+        dealt = dealt.join(copies, "doc_id")
+    else:
+        dealt = dealt.withColumn("copies", F.lit(1).cast("long"))
     dealt = dealt.select(
         "doc_id",
         "component",
+        "own",
+        "copies",
+        # Pairs within a block count in one of its tasks: that with the next block.
+        ((F.col("blocks") == 1) | (F.col("k") == (F.col("own") + 1) % F.col("blocks"))).alias("within"),
         F.when(F.col("blocks") == 1, 0).otherwise(F.least("own", "k")).alias("one"),
         F.when(F.col("blocks") == 1, 0).otherwise(F.greatest("own", "k")).alias("two"),
     )
     # Hashed on the side of the few; asked for, so that the plan is alike at every size.
-    texts = known.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "text")
+    texts = known.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "own", "within", "copies", "text")
 
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = class_links(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), n, percent)
-        a, b = zip(*found) if found else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    found = texts.groupBy("component", "one", "two").applyInArrow(links, "a long, b long")
+        counted = tuple(table.column(c).to_pylist() for c in ("own", "within", "copies")) if count_links else None
+        found = class_links(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), n, percent, counted)
+        cols = list(zip(*found)) or [()] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
+
+    found = texts.groupBy("component", "one", "two").applyInArrow(links, "a long, b long, n long")
+    if count_links:
+        found = write_table(found, "class-links")
+        counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
+    found = found.where("b is not null").select("a", "b")
     linked = connected_components(found, "links").select(F.col("node").alias("head"), "component")
     placed = head_of.join(linked, "head", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "head")).alias("c"))
-    return members.join(placed, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")
-    )
+    out = members.join(placed, "doc_id", "left")
+    extra = []
+    if count_links:
+        own = head_of.join(copies.withColumnRenamed("doc_id", "head"), "head").join(counts.withColumnRenamed("a", "head"), "head", "left")
+        own = own.groupBy("doc_id").agg(F.max(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
+        out = out.join(own, "doc_id", "left")
+        extra = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")]
+    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), *extra)

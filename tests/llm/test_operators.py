@@ -406,19 +406,28 @@ def test_license_notices_as_published(spark, tmp_path):
     assert address.first()["ids"] == ["apache-ref-2", "apache-use", "apache-copy"]
 
 
-def brute_components(texts, n, percent):
+def brute_links(texts, n, percent):
+    """Pairs of indices of texts that link."""
+
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
-    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
-    for a in range(len(sets)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                old, new = max(label[a], label[b]), min(label[a], label[b])
-                label = [new if x == old else x for x in label]
-    return [(len(s), x) for s, x in zip(sets, label)]
+    sets = [shingles(t) for t in texts]
+    size = lambda a, b: (len(sets[a] & sets[b]), len(sets[a] | sets[b]))
+    pairs = [(a, b, *size(a, b)) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b]]
+    return [(a, b) for a, b, both, either in pairs if 100 * both >= percent * either]
+
+
+def brute_components(texts, n, percent):
+    label = list(range(len(texts)))
+    for a, b in brute_links(texts, n, percent):
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    words_of = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    runs = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sizes = [len({tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) if m >= n else int(m > 0) for w, m in zip(runs, words_of)]
+    return list(zip(sizes, label))
 
 
 @pytest.mark.parametrize("block_shingles", [3_000_000, 700])
@@ -432,8 +441,14 @@ def test_ngram_join_against_brute_force(spark, block_shingles):
             for k in rng.integers(0, len(own), int(rng.integers(0, len(own) // 14 + 2))):
                 own[k] = f"n{family}-{copy}-{k}"
             texts.append(" ".join(own))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs_of(spark, texts), block_shingles=block_shingles, width_log2=14).collect()}
-    assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 90)
+    texts += [texts[20], texts[20], texts[30]]
+    docs, options = docs_of(spark, texts), {"block_shingles": block_shingles, "width_log2": 14}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs, **options).collect()}
+    want = brute_components(texts, 3, 90)
+    assert [got[k] for k in range(len(texts))] == want
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_components(docs, count_links=True, **options).collect()}
+    links = Counter(x for pair in brute_links(texts, 3, 90) for x in pair)
+    assert [got[k] for k in range(len(texts))] == [(*w, links[k]) for k, w in enumerate(want)] and max(links.values()) >= 3
 
 
 @settings(max_examples=60, deadline=None)
