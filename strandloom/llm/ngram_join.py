@@ -330,6 +330,8 @@ def ngram_components(
     members = scanned.where("block is null").select("doc_id", "n_shingles", "high", "low")
     linkable = members.where("n_shingles > 0 and doc_id is not null")
     heads = linkable.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
+    # A table of its own, so that the join with it can split the rows of a set with very many copies.
+    heads = write_table(heads, "heads")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
