@@ -60,6 +60,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ranked = classes.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     stays = ranked.groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    stays = write_table(stays, "stays")  # of its own, so that the join with it can split a component of very many rows
     copies = ranked.join(stays, "component_id").where(F.col("row") != F.col("first.row")).select("row")
     return without_rest(rows.join(copies, "row", "left_anti"), docs.columns)
 
