@@ -48,7 +48,7 @@ class Settings:
     large: float = 0.3
     reject_after: int = 500
     seed: int = 1
-    gram_columns: int = 8192
+    gram_columns: int = 4096
 
 
 @dataclass
@@ -358,9 +358,10 @@ def sample(
     copies = rows.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartitionById(chains, "chain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         chain = table.column("chain")[0].as_py()
         of = {}
         for name in ("data", "block", "annotation"):

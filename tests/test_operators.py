@@ -273,7 +273,7 @@ def test_sparse_columns_draw_what_sums_draw(spark):
 def test_many_columns_take_the_sparse_way(spark):
     _, _, design, phenotype = study(spark)
     short = dict(burn_in=100, keep=400, slide=100, max_iter=700, seed=5)
-    results = [jobs.map_effects(design, phenotype, chains=2, settings=sampler.Settings(**short, gram_columns=limit)) for limit in (8192, 3)]
+    results = [jobs.map_effects(design, phenotype, chains=2, settings=sampler.Settings(**short, gram_columns=limit)) for limit in (4096, 3)]
     pips = [[(r["hap_ord"], round(r["pip"], 9), round(r["n_converged"])) for r in x.haplotype_pip.orderBy("hap_ord").collect()] for x in results]
     assert pips[0] == pips[1] and len(pips[0]) == 12
     log = results[0].chains.collect()
