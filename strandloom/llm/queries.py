@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from strandloom.llm import (
     ann,
     chat_format,
+    conversation_trie,
     decontamination,
+    exact_search,
+    lexical_search,
     licenses,
     line_dedup,
     ngram_join,
@@ -305,6 +308,102 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, rows.where("vec_id % 100 = 0"), dim)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"), family=20)
+
+
+OP11_SQL = r"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS origin, xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda r, b: list_reduce(
+    list_concat([xor(r, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM said)
+), turns AS (
+  SELECT crc.conv_id, 0 AS part, p, role, text FROM crc JOIN said ON said.conv_id = origin AND p < h
+  UNION ALL SELECT conv_id, 1, p, role, text FROM said JOIN crc USING (conv_id) WHERE p >= h
+), step AS (
+  SELECT conv_id, row_number() OVER w AS depth, text, string_agg(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), '') OVER w AS prefix
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)
+), path AS (
+  SELECT conv_id, depth, prefix, text FROM step UNION ALL SELECT conv_id, 0, '', '' FROM crc
+), last AS (
+  SELECT conv_id, max(depth) AS depth FROM path GROUP BY conv_id
+), node AS (
+  SELECT min(conv_id) AS conv_id, depth, prefix, count(*) AS n_convs,
+         (count(*) - 1) * max(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS own FROM path GROUP BY depth, prefix
+), named AS (
+  SELECT path.conv_id AS member, path.depth, node.conv_id, node.n_convs, node.own FROM path JOIN node USING (depth, prefix)
+), linked AS (
+  SELECT node.conv_id, node.depth, node.n_convs, node.own, up.conv_id AS parent_conv_id
+  FROM node LEFT JOIN named AS up ON up.member = node.conv_id AND up.depth = node.depth - 1
+), kids AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), whole AS (
+  SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (conv_id, depth)
+), summed AS (
+  SELECT above.conv_id, above.depth, sum(CAST(below.n_children = 0 AS BIGINT)) AS n_leaves, sum(below.own) AS saved
+  FROM whole AS below JOIN named AS above ON above.member = below.conv_id AND above.depth <= below.depth GROUP BY ALL
+), ended AS (
+  SELECT named.conv_id, named.depth, string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) AS ids
+  FROM named JOIN last ON last.conv_id = member AND last.depth = named.depth GROUP BY ALL
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole JOIN summed USING (conv_id, depth) LEFT JOIN ended USING (conv_id, depth)
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH word AS (
+  SELECT doc_id, row_no, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS row_no FROM documents) WHERE doc_id IS NOT NULL
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), size AS (
+  SELECT row_no, count(*) AS n FROM word GROUP BY row_no
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size
+), posted AS (
+  SELECT doc_id, row_no, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posted, total GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM posted JOIN asked USING (term) JOIN weight USING (term) JOIN size USING (row_no), total GROUP BY item_id, doc_id, row_no
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.largest_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -316,6 +415,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_store": op9_token_store,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_search": op13_exact_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -325,4 +427,7 @@ ORACLES: dict[str, str] = {
     "op6_licenses": _op6_sql(),
     "op7_ngram_join": OP7_SQL,
     "op8_chat_format": OP8_SQL,
+    "op11_conversation_trie": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
+    "op13_exact_search": OP13_SQL,
 }
