@@ -58,32 +58,38 @@ def check_geweke(first: float, last: float, intervals: int) -> None:
         raise ValueError(f"invalid parts or intervals for the Geweke test: {first}, {last}, {intervals}")
 
 
-def geweke(series: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 20) -> DataFrame:
-    """``chain, start, z`` from ``chain, at, value`` (at: 0, 1, ... in order).
+def geweke(series: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 20, keys: tuple[str, ...] = ("chain",)) -> DataFrame:
+    """``*keys, start, z`` from ``*keys, at, value`` (at: 0, 1, ... in order in each series).
 
     For each start, the first ``first`` of what remains is held against the last
     ``last``.  Two constant equal slices give 0, a constant pair that differs
-    gives null.  Starts per chain are few; each row joins them by chain.
+    gives null.  Starts per series are few; each row joins them by its keys.
     """
     check_geweke(first, last, intervals)
-    sizes = series.groupBy("chain").agg((F.max("at")).cast("int").alias("end"))
+    sizes = series.groupBy(*keys).agg((F.max("at")).cast("int").alias("end"))
     stop = F.floor((1 - last) * F.col("end")).cast("int")
     step = F.greatest(F.floor((1 - last) * F.col("end") / (intervals - 1)).cast("int"), F.lit(1))
-    starts = sizes.where(stop > 0).select("chain", "end", F.explode(F.sequence(F.lit(0), stop - 1, step)).alias("start"))
+    starts = sizes.where(stop > 0).select(*keys, "end", F.explode(F.sequence(F.lit(0), stop - 1, step)).alias("start"))
     left = F.col("end") - F.col("start")
     bounds = starts.select(
-        "chain",
+        *keys,
         "start",
         (F.col("start") + F.floor(first * left)).cast("int").alias("first_end"),
         F.floor(F.col("end") - last * left).cast("int").alias("last_start"),
     )
-    rows = series.join(F.broadcast(bounds), "chain")  # intervals rows a chain
+    rows = series.join(F.broadcast(bounds), list(keys))  # intervals rows a series
     head = F.when((F.col("at") >= F.col("start")) & (F.col("at") < F.col("first_end")), F.col("value"))
     tail = F.when(F.col("at") >= F.col("last_start"), F.col("value"))
-    stats = rows.groupBy("chain", "start").agg(
+    stats = rows.groupBy(*keys, "start").agg(
         F.avg(head).alias("m1"), F.var_pop(head).alias("v1"), F.avg(tail).alias("m2"), F.var_pop(tail).alias("v2")
     )
     spread = F.sqrt(F.col("v1") + F.col("v2"))
     same = (spread == 0) & (F.col("m1") == F.col("m2"))
     z = F.when(same, 0.0).otherwise(F.try_divide(F.col("m1") - F.col("m2"), F.nullif(spread, F.lit(0.0))))
-    return stats.select("chain", "start", z.alias("z"))
+    return stats.select(*keys, "start", z.alias("z"))
+
+
+def converged(zs: DataFrame, limit: float = 1.5) -> DataFrame:
+    """``chain, worst, converged``: every z of every series of the chain is within ``limit``; a null z is not."""
+    size = F.abs(F.coalesce("z", F.lit(float("inf"))))
+    return zs.groupBy("chain").agg(F.max(size).alias("worst")).withColumn("converged", F.col("worst") < limit)

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.ld import _merge
 
+#: Variants of a bin of the interval join.
+BIN = 1024
+
+
 def _order():
     return Window.partitionBy("chrom").orderBy("left_idx")
 
@@ -71,13 +75,22 @@ def uniform_partition(blocks: DataFrame, step: int, left: str = "left_c", right:
     return rows.withColumn("block_ord", F.row_number().over(Window.partitionBy("chrom").orderBy(left)) - 1)
 
 
-def variant_blocks(variants: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``chrom, var_idx, block_ord``: blocks tile, so a running last value replaces the interval join."""
-    starts = blocks.select("chrom", F.col("left_idx").alias("var_idx"), F.col("block_ord").alias("starts"))
-    order = Window.partitionBy("chrom").orderBy("var_idx")
-    rows = variants.select("chrom", "var_idx").join(starts, ["chrom", "var_idx"], "left")
-    rows = rows.withColumn("block_ord", F.last("starts", ignorenulls=True).over(order))
-    return rows.where("block_ord is not null").select("chrom", "var_idx", "block_ord")
+def variant_blocks(variants: DataFrame, blocks: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """``chrom, var_idx, block_ord`` where ``left_idx <= var_idx <= right_idx``.
+
+    Blocks may leave gaps, overlap, repeat or reach beyond the last variant: a
+    variant is in none, one or several.  The index is cut into bins; a block goes
+    to each bin that it touches, a variant to its own, and equal bins meet, so
+    no chromosome passes through one task.  A block whose ends are the wrong way
+    round has no variants.
+    """
+    if bin_size < 1:
+        raise ValueError("bin_size must be at least 1")
+    bins = F.sequence(F.expr(f"left_idx div {bin_size}"), F.expr(f"right_idx div {bin_size}"))
+    touched = blocks.where("left_idx <= right_idx").select("chrom", "block_ord", "left_idx", "right_idx", F.explode(bins).alias("bin"))
+    rows = variants.select("chrom", "var_idx", F.expr(f"var_idx div {bin_size}").alias("bin"))
+    met = rows.join(touched, ["chrom", "bin"]).where(F.col("var_idx").between(F.col("left_idx"), F.col("right_idx")))
+    return met.select("chrom", "var_idx", "block_ord")
 
 
 def block_names(variants: DataFrame, blocks: DataFrame) -> DataFrame:

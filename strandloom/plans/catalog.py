@@ -1,6 +1,6 @@
 """All registered queries of the library, and their SQL."""
 
-from strandloom.plans import file_queries  # noqa: F401  (registers its queries)
+from strandloom.plans import file_queries, genome_queries  # noqa: F401  (register their queries)
 from strandloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.sources.dense import SLICE, dense_slices, write_dense
+
 
 def write_lines(df: DataFrame, line: Column, order: list[str], path: str) -> None:
     df.select(*order, line.alias("value")).orderBy(*order).select("value").write.mode("overwrite").text(path)
@@ -44,49 +46,39 @@ def write_haplotype_names(blocks: DataFrame, kept: DataFrame, path: str) -> None
     write_lines(haplotype_name_rows(blocks, kept), F.col("names_line"), ["chrom", "block_ord"], path)
 
 
-def dense_doses(design: DataFrame, samples: DataFrame) -> DataFrame:
-    """``hap_ord, hap_name, doses``: the doses of all samples, zeros included."""
-    haps = design.select("hap_ord", "hap_name").distinct()
-    counted = samples.agg(F.max("sample_idx").alias("last"))
-    own = design.groupBy("hap_ord", "hap_name").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_idx", "dose"))).alias("known")
-    )
-    rows = haps.join(own, ["hap_ord", "hap_name"]).join(F.broadcast(counted))  # one row: the last sample
-    filled = F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.coalesce(F.try_element_at("known", s), F.lit(0)))
-    return rows.select("hap_ord", "hap_name", filled.alias("doses"))
+def _row_cells(design: DataFrame, row: str, col: str) -> DataFrame:
+    return design.select(F.col(row).cast("long").alias("row"), F.col(col).alias("col"), F.col("dose").alias("value"))
 
 
-def bimbam_rows(design: DataFrame, samples: DataFrame) -> DataFrame:
-    """``hap_ord, line``: ``name - - d1 d2 ...``, space separated."""
-    return dense_doses(design, samples).select(
-        "hap_ord",
-        F.concat(F.col("hap_name"), F.lit(" - - "), F.array_join(F.transform("doses", lambda d: d.cast("string")), " ")).alias("line"),
-    )
+def bimbam_slices(design: DataFrame, samples: DataFrame, size: int = SLICE) -> DataFrame:
+    """``row, part, text`` of ``name - - d1 d2 ...``, a row for each haplotype; zeros included."""
+    haps = design.select(F.col("hap_ord").cast("long").alias("row"), "hap_name").distinct()
+    rows = haps.join(F.broadcast(samples.agg((F.max("sample_idx") + 1).alias("width"))))  # one row: the number of samples
+    body = dense_slices(_row_cells(design, "hap_ord", "sample_idx"), rows, F.col("width"), " ", size)
+    head = haps.select("row", F.lit(-1).alias("part"), F.concat("hap_name", F.lit(" - - ")).alias("text"))
+    return head.unionByName(body)
 
 
-def write_bimbam(design: DataFrame, samples: DataFrame, path: str) -> None:
-    write_lines(bimbam_rows(design, samples), F.col("line"), ["hap_ord"], path)
+def bimbam_rows(design: DataFrame, samples: DataFrame) -> DataFrame:
+    """``hap_ord, line``: whole lines, for tables whose lines fit a row."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "text")))
+    lines = bimbam_slices(design, samples).groupBy(F.col("row").cast("int").alias("hap_ord")).agg(parts.alias("parts"))
+    return lines.select("hap_ord", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("line"))
+
 
+def write_bimbam(design: DataFrame, samples: DataFrame, path: str, size: int = SLICE) -> None:
+    write_dense(bimbam_slices(design, samples, size), path)
 
-def write_design(design: DataFrame, samples: DataFrame, path: str) -> None:
-    """Header of haplotype names and one row of doses for each sample.
 
-    The header is the one thing that holds all names; rows are built sample by
-    sample, so no pivot with a column for each haplotype is planned.
-    """
+def write_design(design: DataFrame, samples: DataFrame, path: str, size: int = SLICE) -> None:
+    """Header of haplotype names and one row of doses for each sample; also the header is written in slices."""
     haps = design.select("hap_ord", "hap_name").distinct()
-    head = haps.agg(F.array_sort(F.collect_list(F.struct("hap_ord", "hap_name"))).alias("h")).select(
-        F.lit(-1).alias("sample_idx"), F.array_join(F.transform("h", lambda x: x["hap_name"]), "\t").alias("line")
-    )
     width = haps.count()
-    own = design.groupBy("sample_idx").agg(F.map_from_entries(F.collect_list(F.struct("hap_ord", "dose"))).alias("known"))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(max(width - 1, 0))),
-        lambda h: F.coalesce(F.try_element_at("known", h), F.lit(0)).cast("string"),
-    )
-    rows = samples.select("sample_idx").join(own, "sample_idx", "left")
-    rows = rows.withColumn("known", F.coalesce("known", F.create_map().cast("map<int,int>")))
-    write_lines(head.unionByName(rows.select("sample_idx", F.array_join(cells, "\t").alias("line"))), F.col("line"), ["sample_idx"], path)
+    rows = samples.select(F.col("sample_idx").cast("long").alias("row")).distinct()
+    body = dense_slices(_row_cells(design, "sample_idx", "hap_ord"), rows, F.lit(width), "\t", size)
+    name = F.when(F.col("hap_ord") > 0, F.concat(F.lit("\t"), "hap_name")).otherwise(F.col("hap_name"))
+    head = haps.select(F.lit(-1).cast("long").alias("row"), F.col("hap_ord").cast("int").alias("part"), name.alias("text"))
+    write_dense(head.unionByName(body), path)
 
 
 def write_pip(pips: DataFrame, name: str, path: str) -> None:

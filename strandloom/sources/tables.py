@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``value, file, begin, line``: lines with what orders them: file name, place of the split, running number.
 
     Spark reads the larger pieces of files first, so a running number alone
@@ -35,6 +35,25 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(pieces, ["file", "begin"]).select((F.col("line") - F.col("first") + F.col("before")).cast("int").alias("n"), "value")
 
 
+def chromosome_ordinals(keys: DataFrame) -> DataFrame:
+    """``chrom, file, begin, line`` with ``chrom_ord`` (by first line) and ``var_idx`` (place within the chromosome).
+
+    Lines are ranked within their piece of a file; what a chromosome has in the
+    pieces before, in whichever files, comes from a row of counts for each
+    chromosome and piece.  No window holds a chromosome, and its lines may lie
+    between others and in several files.
+    """
+    counts = keys.groupBy("chrom", "file", "begin").agg(F.count("*").alias("lines"), F.min(line_order()).alias("first"))
+    before = Window.partitionBy("chrom").orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    chroms = counts.groupBy("chrom").agg(F.min("first").alias("first"))  # a row for each chromosome
+    chroms = chroms.select("chrom", (F.row_number().over(Window.orderBy("first")) - 1).alias("chrom_ord"))
+    offsets = counts.select("chrom", "file", "begin", "before").join(chroms, "chrom")
+    rank = F.row_number().over(Window.partitionBy("chrom", "file", "begin").orderBy("line")) - 1
+    ranked = keys.withColumn("rank", rank).join(offsets, ["chrom", "file", "begin"])
+    return ranked.select("chrom", "file", "begin", "line", "chrom_ord", (F.col("rank") + F.col("before")).cast("int").alias("var_idx"))
+
+
 def _with_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``ord, name`` of the cells of the first line, and the other lines numbered from 0."""
     lines = numbered_lines(spark, path)

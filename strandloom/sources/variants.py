@@ -6,17 +6,17 @@ hap2``, the haplotypes being arrays of alleles in sample order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.sources.tables import line_order, text_lines
+from strandloom.sources.tables import chromosome_ordinals, text_lines
 
 #: Thresholds of the derived variants of one dimension.
 THRESHOLDS = (-0.06, 0.0, 0.06, 0.30)
 DIMS, GROUP_DIMS, GROUP_VARIANTS = 64, 4, 19
 
 
-def read_vcf(spark: SparkSession, path: str, missing: str = "error") -> DataFrame:
+def read_vcf(spark: SparkSession, path: str | list[str], missing: str = "error") -> DataFrame:
     """Phased single-digit genotypes of a plain-text VCF, in file order.
 
     ``missing``: a genotype that is not ``digit|digit`` fails the read
@@ -29,13 +29,12 @@ def read_vcf(spark: SparkSession, path: str, missing: str = "error") -> DataFram
     if not lines.where(F.col("value").startswith("#CHROM")).limit(1).count():
         raise ValueError(f"{path} has no #CHROM line")
     cells = F.split("value", "\t")
-    body = lines.where(~F.col("value").startswith("#")).select(
-        F.col("line").alias("line_no"), line_order().alias("at"), cells.alias("cell"), F.col("value").startswith("#").alias("skip")
-    )
+    body = lines.where(~F.col("value").startswith("#")).select("file", "begin", "line", cells.alias("cell"), F.col("value").startswith("#").alias("skip"))
     calls = F.transform(F.slice("cell", 10, F.greatest(F.size("cell") - 9, F.lit(0))), lambda g: F.split(g, ":")[0])
     rows = body.select(
-        "line_no",
-        "at",
+        "file",
+        "begin",
+        "line",
         "skip",
         F.col("cell")[0].alias("chrom"),
         F.col("cell")[1].try_cast("long").alias("pos"),
@@ -50,14 +49,10 @@ def read_vcf(spark: SparkSession, path: str, missing: str = "error") -> DataFram
         bad = F.concat(F.lit("genotype that is not phased or not of single digits in variant "), F.col("var_id"))
         rows = rows.withColumn("gt", F.when(phased | F.col("skip"), F.col("gt")).otherwise(F.raise_error(bad).cast("array<string>")))
     allele = lambda k: F.transform("gt", lambda g: F.substring(g, k, 1).try_cast("tinyint"))
-    rows = rows.select("line_no", "at", "chrom", "pos", "var_id", allele(1).alias("hap1"), allele(3).alias("hap2"))
+    rows = rows.select("file", "begin", "line", "chrom", "pos", "var_id", allele(1).alias("hap1"), allele(3).alias("hap2"))
     # Ordinals come from the narrow keys; genotypes are not sorted.
-    keys = rows.select("line_no", "at", "chrom")
-    chroms = keys.groupBy("chrom").agg(F.min("at").alias("first_line"))
-    chroms = chroms.withColumn("chrom_ord", F.row_number().over(Window.orderBy("first_line")) - 1).drop("first_line")
-    idx = F.row_number().over(Window.partitionBy("chrom").orderBy("at")) - 1
-    order = keys.withColumn("var_idx", idx).join(F.broadcast(chroms), "chrom").drop("chrom", "at")  # one row a chromosome
-    return rows.join(order, "line_no").select("chrom", "chrom_ord", "var_idx", "pos", "var_id", "hap1", "hap2")
+    order = chromosome_ordinals(rows.select("chrom", "file", "begin", "line")).select("line", "chrom_ord", "var_idx")
+    return rows.join(order, "line").select("chrom", "chrom_ord", "var_idx", "pos", "var_id", "hap1", "hap2")
 
 
 def fixture_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
