@@ -17,9 +17,9 @@ Each shard has a partition of its own, in building and in searching.  Searches
 move queries to the shards' graphs, never rows to queries; a task holds one
 graph, and the queries stream past it.
 
-Nulls and edge cases: vectors that are null, empty, zero, of another length
-than ``dim``, or that hold a null or non-finite number take no part, nor do null
-ids; rows with equal vectors are told apart by smaller id first; a query whose
+Nulls and edge cases: vectors that are null, empty, zero, or that hold a null or
+non-finite number take no part, nor do null ids; vectors of different lengths do
+not meet (:func:`nearest` has an index for each length); rows with equal vectors are told apart by smaller id first; a query whose
 id occurs twice is searched once (smaller vector first); fewer than ``k``
 candidates give fewer rows; asking for more rows than the index keeps ids of
 equal vectors for raises ValueError; an empty table gives none; further columns
@@ -31,6 +31,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +166,11 @@ def usable(vector: Column, dim: int | Column) -> Column:
     return F.coalesce((F.size(vector) == dim) & fine & F.exists(values, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
-    """The most frequent length of usable vectors, the smaller of equal ones; 0 without any."""
+def usable_lengths(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> list[int]:
+    """The lengths of usable vectors, each a space of its own: between vectors of two lengths there is no distance."""
     size = F.size(vector_col)
     fine = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col), size))
-    counted = fine.groupBy(size.alias("dim")).agg(F.count("*").alias("n"))
-    first = counted.orderBy(F.desc("n"), "dim").first()
-    return first["dim"] if first else 0
+    return [r["dim"] for r in fine.select(size.alias("dim")).distinct().orderBy("dim").collect()]
 
 
 def _vectors(rows: DataFrame, dim: int, id_col: str, vector_col: str) -> DataFrame:
@@ -308,3 +307,14 @@ def search(
     found = met.mapInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", **bounds: int) -> DataFrame:
+    """The result of :func:`search` for all lengths of vectors: an index for each, which its queries meet."""
+    found = [
+        search(build_index(rows, dim, id_col=id_col, vector_col=vector_col, **bounds), queries, dim, k, id_col=id_col, vector_col=vector_col)
+        for dim in usable_lengths(rows, id_col, vector_col)
+    ]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)

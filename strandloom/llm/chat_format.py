@@ -13,8 +13,8 @@ of one conversation grow with the square of its turns, as the method says.
 Nulls and edge cases: a null text or role is empty; null turns come first, equal
 turns are ordered by role and text, repeated rows stay; a conversation without
 an assistant turn gives one row without a target; rows with a null conversation
-id form one conversation; an empty table gives no rows; further columns are
-ignored.
+id belong to no conversation and are left out; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def prefix_examples(turns: DataFrame, target_role: str = "assistant") -> DataFra
     turn = F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    talks = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     header = lambda t: F.concat(F.lit("<turn:"), escape(t["role"]), F.lit(">"))
     talks = talks.select(
         "conv_id",

@@ -3,12 +3,12 @@
 1. Count over all documents the terms that the benchmark uses.
 2. In each benchmark window take the two rarest terms; only these need lists.
 3. Store the index: one row for each such term and document, with positions.
-4. Shift each list by the term's place in the item; lists that meet at the same
-   (document, item, shift) are intersected, rarest terms first by construction.
+4. Open the list of each window's rarest term, and that of the other one only in
+   the documents found; shift both by the terms' places and intersect them.
 5. Each alignment that is left is compared word by word with its document, so
    the phrase matches returned are exact.
-6. The same lists give proximity matches: items of which some window's rarest
-   terms stand within so many words of each other, in any order.
+6. The same two lists give proximity matches: items of which some window's
+   rarest terms stand within so many words of each other, in any order.
 
 Only DataFrame functions are used.  Benchmark-side tables are broadcast after
 their bytes have been summed against ``BROADCAST_BYTES``; larger ones are joined
@@ -17,7 +17,7 @@ by a shuffle, where adaptive execution splits the partitions of hot terms.
 Nulls and edge cases: a null or empty text has no words; an item without words
 matches nothing; an item shorter than a window is one window; equal items each
 count; rows that share a ``doc_id`` (or have none) are judged each by its own
-words; an empty table gives no rows; further columns are ignored.
+words, in phrases and in proximity; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ def words(text: Column) -> Column:
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    """``df`` (of numbers, strings and arrays of strings), broadcast where its size allows."""
+    """``df`` (of numbers, strings, arrays of strings and of small structs), broadcast where its size allows."""
     sizes = {"string": lambda c: F.octet_length(c), "array<string>": lambda c: F.octet_length(F.array_join(c, " ")) + 20 * F.size(c)}
-    size = sum((F.coalesce(sizes[kind](c), F.lit(0)) if kind in sizes else F.lit(0)) + 16 for c, kind in df.dtypes)
+    measure = lambda c, kind: sizes.get(kind, lambda c: 40 * F.size(c) if kind.startswith("array") else F.lit(0))(c)
+    size = sum(F.coalesce(measure(c, kind), F.lit(0)) + 16 for c, kind in df.dtypes)
     held = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
     return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
@@ -61,60 +62,88 @@ def term_counts(tokens: DataFrame, items: DataFrame) -> DataFrame:
     return vocabulary.join(used.groupBy("term").agg(F.count("*").alias("n")), "term", "left").na.fill(0, ["n"])
 
 
-def rarest_terms(items: DataFrame, counts: DataFrame, window: int, take: int = 2) -> DataFrame:
-    """``item, start, place, term, n``: in each window of each item its rarest terms."""
+def rarest_pairs(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """``item, start, rare, rare_place, other, other_place``: of each window its two rarest places.
+
+    Of equal counts the earlier place is the rarer; a window of one word is its
+    own other.
+    """
     length = F.least(F.lit(window), F.size("terms"))
     starts = items.select("item", "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - length)).alias("start"))
     spots = starts.select("item", "start", F.posexplode(F.slice("terms", F.col("start") + 1, length)).alias("at", "term"))
     order = Window.partitionBy("item", "start").orderBy("n", "at")
-    ranked = spots.join(counts, "term").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take)
-    return ranked.select("item", "start", (F.col("start") + F.col("at")).alias("place"), "term", "n")
+    ranked = spots.join(counts, "term").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
+    spot = F.struct("term", (F.col("start") + F.col("at")).alias("place"))
+    both = ranked.groupBy("item", "start").agg(F.max(F.when(F.col("rank") == 1, spot)).alias("a"), F.max(F.when(F.col("rank") == 2, spot)).alias("b"))
+    both = both.withColumn("b", F.coalesce("b", "a"))
+    return both.select("item", "start", F.col("a.term").alias("rare"), F.col("a.place").alias("rare_place"), F.col("b.term").alias("other"), F.col("b.place").alias("other_place"))
 
 
 def build_index(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored index ``term, doc_id, positions`` of the given terms (column ``term``)."""
-    spots = tokens.select("doc_id", F.posexplode("terms").alias("position", "term"))
+    """Stored index ``term, row, positions`` of the given terms (column ``term``)."""
+    spots = tokens.select("row", F.posexplode("terms").alias("position", "term"))
     lists = spots.join(_checked(terms.select("term").distinct()), "term")
-    return write_table(lists.groupBy("term", "doc_id").agg(F.collect_list("position").alias("positions")), "index")
+    return write_table(lists.groupBy("term", "row").agg(F.array_sort(F.collect_list("position")).alias("positions")), "index")
+
+
+def opened_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``row, *pairs, first, second``: positions of both terms where a document has both.
+
+    ``pairs`` has ``rare, other`` and what else belongs to a pair.  The list of
+    the rarer term comes first; the other one is opened only in its documents.
+    """
+    first = index.select(F.col("term").alias("rare"), "row", F.col("positions").alias("first")).join(_checked(pairs), "rare")
+    second = index.select(F.col("term").alias("other"), "row", F.col("positions").alias("second"))
+    return first.join(second, ["row", "other"])
 
 
-def alignments(index: DataFrame, anchors: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item, shift`` where a window's rarest terms meet."""
-    shifted = index.join(_checked(anchors), "term").select(
-        "doc_id", "item", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("shift")
+def close_together(first: Column, second: Column, within: int) -> Column:
+    """Whether some position of one sorted list is less than ``within`` words from one of the other.
+
+    The nearest of them are neighbours where both lists are merged.
+    """
+    mark = lambda xs, kind: F.transform(xs, lambda p: p.cast("long") * 2 + kind)
+    merged = F.array_sort(F.concat(mark(first, 0), mark(second, 1)))
+    after = F.slice(merged, F.lit(2), F.greatest(F.size(merged) - 1, F.lit(0)))
+    met = F.zip_with(merged, after, lambda x, y: (x % 2 != y % 2) & (F.shiftright(y, 1) - F.shiftright(x, 1) < within))
+    return F.exists(met, lambda m: F.coalesce(m, F.lit(False)))
+
+
+def matches(index: DataFrame, pairs: DataFrame, items: DataFrame, within: int | None) -> DataFrame:
+    """``row, spots, near_items``: alignments ``item, shift`` of windows whose rarest terms meet, and items that come close.
+
+    Windows with the same two rarest terms, of whatever items, are looked up
+    together; lists shifted by the terms' places are intersected inside the row.
+    """
+    windows = F.collect_set(F.struct("item", "rare_place", "other_place")).alias("windows")
+    named = pairs.join(_checked(items.select("item", "item_id")), "item")
+    sets = write_table(named.groupBy("rare", "other").agg(windows, F.array_sort(F.collect_set("item_id")).alias("names")), "pairs")
+    both = opened_pairs(index, sets)
+    shifts = lambda w: F.array_intersect(F.transform("first", lambda p: p - w["rare_place"]), F.transform("second", lambda p: p - w["other_place"]))
+    spots = F.flatten(F.transform("windows", lambda w: F.transform(shifts(w), lambda shift: F.struct(w["item"].alias("item"), shift.alias("shift")))))
+    none = F.array().cast("array<string>")
+    near = none if within is None else F.when(close_together(F.col("first"), F.col("second"), within) | (F.col("rare") == F.col("other")), F.col("names")).otherwise(none)
+    found = both.select("row", spots.alias("spots"), near.alias("near")).where((F.size("spots") > 0) | (F.size("near") > 0))
+    return found.groupBy("row").agg(
+        F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near_items")
     )
-    need = items.select("item", F.least(F.lit(2), F.size("terms")).alias("need"))
-    met = shifted.groupBy("doc_id", "item", "shift").agg(F.count("*").alias("met"))
-    return met.join(_checked(need), "item").where("met >= need").select("doc_id", "item", "shift")
 
 
 def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFrame:
-    """``doc_id, item, position``: all of an item's ``term`` rows within so many words.
+    """``row, item, position``: all of an item's ``term`` rows within so many words.
 
-    ``terms`` has ``item, term``; the position is that of the first word of the
-    earliest such span.  Only lists of documents that have all of an item's terms
-    are opened; one document's positions of one item's terms at a time meet in a
-    window.
+    ``terms`` has ``item, term``, any number of terms an item; the position is
+    that of the first word of the earliest such span.  Only lists of documents
+    that have all of an item's terms are opened; one document's positions of one
+    item's terms at a time meet in a window.
     """
     needs = terms.distinct().withColumn("need", F.count("*").over(Window.partitionBy("item")))
-    lists = index.join(_checked(needs), "term").select("doc_id", "item", "need", "term", "positions")
-    whole = lists.groupBy("doc_id", "item", "need").agg(F.collect_list(F.struct("term", "positions")).alias("lists")).where(F.size("lists") == F.col("need"))
-    spots = whole.select("doc_id", "item", "need", F.explode("lists").alias("x")).select("doc_id", "item", "need", "x.term", F.explode("x.positions").alias("position"))
-    near = Window.partitionBy("doc_id", "item").orderBy("position").rangeBetween(0, within - 1)
+    lists = index.join(_checked(needs), "term").select("row", "item", "need", "term", "positions")
+    whole = lists.groupBy("row", "item", "need").agg(F.collect_list(F.struct("term", "positions")).alias("lists")).where(F.size("lists") == F.col("need"))
+    spots = whole.select("row", "item", "need", F.explode("lists").alias("x")).select("row", "item", "need", "x.term", F.explode("x.positions").alias("position"))
+    near = Window.partitionBy("row", "item").orderBy("position").rangeBetween(0, within - 1)
     met = spots.withColumn("met", F.size(F.collect_set("term").over(near)))
-    return met.where("met = need").groupBy("doc_id", "item").agg(F.min("position").alias("position"))
-
-
-def near_items(index: DataFrame, anchors: DataFrame, items: DataFrame, within: int) -> DataFrame:
-    """``doc_id, near_items``: sorted ids of items some window of which has its rarest terms close together."""
-    sets = anchors.groupBy("item", "start").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("item", "terms")
-    # Windows with the same rarest terms, of whatever items, are looked up once.
-    sets = write_table(sets.distinct().withColumn("set", F.xxhash64("terms")), "anchor-sets")
-    terms = sets.select(F.col("set").alias("item"), F.explode("terms").alias("term")).distinct()
-    found = proximity_matches(index, terms, within).select("doc_id", F.col("item").alias("set"))
-    named = sets.select("set", "item").distinct().join(_checked(items.select("item", "item_id")), "item").select("set", "item_id").distinct()
-    met = found.join(_checked(named), "set").groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
-    return met.where("doc_id is not null")
+    return met.where("met = need").groupBy("row", "item").agg(F.min("position").alias("position"))
 
 
 def contamination(
@@ -134,29 +163,26 @@ def contamination(
     ``items`` are the sorted item ids with a window in the text; a document is
     contaminated when the words hit are at least ``least_share`` of its words.
     ``keep`` names further columns of ``docs`` to hand on; the text moves once.
-    With ``within`` there is ``near_items`` as well: items that have a proximity
-    match within so many words (found by ``doc_id``; none without one).
+    With ``within`` there is ``near_items`` as well: items of which some window's
+    two rarest terms stand within so many words.
     """
     items = _items(bench, item_col, item_text_col)
+    kept = {c: "text" if c == text_col else f"keep_{k}" for k, c in enumerate(keep) if c != id_col}
     texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(quoted(c)).alias(f"_keep_{k}") for k, c in enumerate(keep) if c != text_col]
+        F.monotonically_increasing_id().alias("row"),
+        F.col(quoted(id_col)).alias("doc_id"),
+        words(F.col(quoted(text_col))).alias("terms"),
+        *[F.col(quoted(c)).alias(held_as) for c, held_as in kept.items()],
     )
-    kept = {c: "_text" if c == text_col else f"_keep_{k}" for k, c in enumerate(keep)}
-    tokens = texts.select("doc_id", words(F.col("_text")).alias("terms"))
+    # Split once; every step reads this table, and rows have a number of their own.
+    tokens = write_table(texts.withColumn("n_words", F.size("terms").cast("long")), "tokens")
     counts = write_table(term_counts(tokens, items), "term-counts")
-    ranked = write_table(rarest_terms(items, counts, window), "rarest")
-    anchors = write_table(ranked.select("item", "place", "term", "n").distinct(), "anchors")
-    index = build_index(tokens, anchors)
-    found = alignments(index, anchors, items).groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("spots"))
-
-    own = found.withColumnRenamed("doc_id", "_found")
-    rows = texts.withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_found")), "left").drop("_found")
-    rows = rows.withColumn("words", words(F.col("_text"))).withColumn("n_words", F.size("words").cast("long"))
-    held = ["doc_id", "_row", "n_words", *kept.values()]
-    clean = rows.where("spots is null").select(*held, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    spots = rows.where("spots is not null").select(*held, "words", F.explode("spots").alias("spot"))
-    spots = spots.select(*held, "words", "spot.item", "spot.shift").join(_checked(items), "item")
+    pairs = write_table(rarest_pairs(items, counts, window), "rarest")
+    index = build_index(tokens, pairs.select(F.explode(F.array("rare", "other")).alias("term")))
+    found = write_table(matches(index, pairs, items, within), "matches")
+
+    spots = _checked(found.where("size(spots) > 0").select("row", F.explode("spots").alias("x")).select("row", "x.item", "x.shift"))
+    spots = tokens.select("row", "terms", "n_words").withColumnRenamed("terms", "words").join(spots, "row").join(_checked(items), "item")
     length = F.least(F.lit(window), F.size("terms"))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("terms") - length),
@@ -164,28 +190,28 @@ def contamination(
         & (F.col("shift") + s + length <= F.col("n_words"))
         & (F.slice("words", F.greatest(F.col("shift") + s, F.lit(0)) + 1, length) == F.slice("terms", s + 1, length)),
     )
-    exact = spots.select(*held, "item_id", "shift", length.alias("length"), starts.alias("starts"))
+    exact = spots.select("row", "item_id", "shift", length.alias("length"), starts.alias("starts")).where("size(starts) > 0")
     covered = F.flatten(
         F.transform("starts", lambda s: F.sequence(F.col("shift") + s, F.col("shift") + s + F.col("length") - 1))
     )
-    met = exact.select(*held, F.when(F.size("starts") > 0, F.col("item_id")).alias("item_id"), covered.alias("covered"))
-    # A document's own alignments meet; they are already in one partition by doc_id.
-    dirty = met.groupBy("doc_id", "_row").agg(
-        *[F.first(c).alias(c) for c in held if c not in ("doc_id", "_row")],
+    # A document's own alignments meet.
+    hits = exact.select("row", "item_id", covered.alias("covered")).groupBy("row").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
     over, under = least_share
-    judged, near = clean.unionByName(dirty), []
+    judged = tokens.select("row", "doc_id", "n_words", *kept.values()).join(hits, "row", "left")
+    none, near = F.array().cast("array<string>"), []
     if within is not None:
-        judged = judged.join(near_items(index, ranked, items, within), "doc_id", "left")
-        near = [F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
+        judged = judged.join(found.select("row", "near_items"), "row", "left")
+        near = [F.coalesce("near_items", none).alias("near_items")]
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return judged.select(
         "doc_id",
         "n_words",
-        "n_hit",
-        "items",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * under >= F.col("n_words") * over)).alias("contaminated"),
+        n_hit.alias("n_hit"),
+        F.coalesce("items", none).alias("items"),
+        ((n_hit > 0) & (n_hit * under >= F.col("n_words") * over)).alias("contaminated"),
         *near,
-        *[F.col(held_as).alias(c) for c, held_as in kept.items() if c != "doc_id"],
+        *[F.col(held_as).alias(c) for c, held_as in kept.items()],
     )

@@ -275,7 +275,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized AS (
@@ -303,9 +303,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
-    dim = ann.usual_length(rows)
-    index = ann.build_index(rows, dim)
-    return ann.search(index, rows.where("vec_id % 100 = 0"), dim)
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

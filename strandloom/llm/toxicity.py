@@ -24,6 +24,7 @@ score alike; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 import zlib
@@ -253,7 +254,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def learn_lexicon(rows: DataFrame, least_share: float, longest_stem: int = 9) -> list[tuple[str, bool, float]]:
+def learn_lexicon(rows: DataFrame, least_share: float, longest_stem: int | None = 9) -> list[tuple[str, bool, float]]:
     """Words and stems that mark toxic rows, with smoothed log-odds weights."""
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +291,8 @@ def learn_lexicon(rows: DataFrame, least_share: float, longest_stem: int = 9) ->
     words = words.cache()
     # Chance agreement grows with the number of terms that are tried.
     least_evidence = math.log(words.count()) + 2
-    stem_sizes = F.sequence(F.lit(4), F.least(F.char_length("word"), F.lit(longest_stem)))
+    longest = F.char_length("word") if longest_stem is None else F.least(F.char_length("word"), F.lit(longest_stem))
+    stem_sizes = F.sequence(F.lit(4), F.greatest(longest, F.lit(4)))
     stems = (
         words.where(F.char_length("word") >= 4)
         .select("t", "c", "word", F.explode(stem_sizes).alias("size"))
@@ -350,10 +352,14 @@ def fit(
     labels: DataFrame,
     max_rows: int = 20_000,
     least_share: float = 0.5,
+    longest_stem: int | None = 9,
 ) -> ToxicityModel:
-    """Learn lexicon and context weights; ``docs`` has ``doc_id, text``."""
+    """Learn lexicon and context weights; ``docs`` has ``doc_id, text``.
+
+    Stems have up to ``longest_stem`` letters, or any number where it is None.
+    """
     rows = training_rows(docs, labels, max_rows)
-    lexicon = learn_lexicon(rows, least_share)
+    lexicon = learn_lexicon(rows, least_share, longest_stem)
     made = rows.select("text", "toxic").mapInArrow(_feature_map(lexicon), "toxic int, x array<double>").collect()  # max_rows at most
     y = np.array([r["toxic"] for r in made], dtype=float)
     share = float(y.mean()) if len(y) else 0.0
@@ -399,7 +405,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bound
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``.
+
+    Where the labels teach no word that marks toxic rows, a score says nothing
+    about a row: all rows stay, and a warning says so.
+    """
     model = fit(id_and_text(docs), labels, **bounds)
+    if not model.lexicon:
+        logging.getLogger(__name__).warning("the labels teach no toxic words: no document is dropped")
+        return docs
     kept = score(with_rest(docs), model, ("doc_id", "text", "rest")).where(F.col("score") < threshold)
     return without_rest(kept, docs.columns)

@@ -1,6 +1,7 @@
 """Operators against brute force, on small tables with every awkward kind of row."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -122,10 +123,31 @@ def test_decontamination_edges(spark):
 
 
 def test_proximity_matches(spark):
-    tokens = spark.createDataFrame([(1, "a x x b".split()), (2, "a x x x x x b".split()), (3, "b a".split())], "doc_id long, terms array<string>")
+    tokens = spark.createDataFrame([(1, "a x x b".split()), (2, "a x x x x x b".split()), (3, "b a".split())], "row long, terms array<string>")
     terms = spark.createDataFrame([(0, "a"), (0, "b")], "item long, term string")
     index = decontamination.build_index(tokens, terms)
-    assert {(r["doc_id"], r["position"]) for r in decontamination.proximity_matches(index, terms, 4).collect()} == {(1, 0), (3, 0)}
+    assert {(r["row"], r["position"]) for r in decontamination.proximity_matches(index, terms, 4).collect()} == {(1, 0), (3, 0)}
+
+
+def test_rows_of_one_id_and_of_none_are_judged_by_their_own_words(spark):
+    bench = spark.createDataFrame([(7, "alpha beta"), (8, "gamma gamma"), (9, "delta")], "item_id long, text string")
+    rows = [(1, "alpha one two"), (1, "three beta"), (1, "beta x x alpha"), (None, "alpha beta"), (None, "alpha"), (None, "beta"), (2, "gamma x gamma"), (3, "delta"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.contamination(docs, bench, within=4, keep=("text",)).collect()
+    got = {(r["doc_id"], r["text"]): (r["n_hit"], r["items"], r["near_items"]) for r in found}
+    assert len(found) == len(rows) and got == {
+        (1, "alpha one two"): (0, [], []), (1, "three beta"): (0, [], []), (1, "beta x x alpha"): (0, [], ["7"]), (None, "alpha beta"): (2, ["7"], ["7"]),
+        (None, "alpha"): (0, [], []), (None, "beta"): (0, [], []), (2, "gamma x gamma"): (0, [], ["8"]), (3, "delta"): (1, ["9"], ["9"]), (3, None): (0, [], []),
+    }
+
+
+@pytest.mark.parametrize("within", [1, 2, 5])
+def test_lists_that_come_close(spark, within):
+    rng = np.random.default_rng(within)
+    rows = [tuple(sorted(rng.choice(60, n, replace=False).tolist()) for n in rng.integers(1, 7, 2)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    for r in df.select("a", "b", decontamination.close_together(F.col("a"), F.col("b"), within).alias("near")).collect():
+        assert r["near"] == any(abs(x - y) < within for x in r["a"] for y in r["b"])
 
 
 def test_lines_of_one_id_are_cut_at_their_own_places(spark):
@@ -280,6 +302,24 @@ def test_one_row_of_a_repeated_labelled_id_is_learned_from(spark):
     assert toxicity.training_rows(docs, labels, 20_000).count() == 1
 
 
+def test_labels_that_teach_nothing_drop_nothing(spark):
+    docs = docs_of(spark, [f"harmless line number {k} of twelve" for k in range(12)])
+    for toxic in ([0, 1], [0, 1, 2, 3, 4, 5, 6], []):
+        labels = spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(7)], "doc_id long, quality int, toxic int")
+        assert sorted(map(tuple, toxicity.drop_toxic(docs, labels).collect())) == sorted(map(tuple, docs.collect()))
+    assert {r["score"] < 1 for r in toxicity.toxicity(docs, labels).collect()} == {True}
+
+
+def test_stems_of_any_length(spark):
+    stem = "unwertgeschoepf"
+    texts = [f"du bist ein {stem}{end} und geh weg " + " ".join(words(9, k)) for k, end in enumerate(["e", "es", "er", "en", "em", "ler", "ling", "lein"] * 3)]
+    texts += [f"du bist ein unwertgemacht und geh weg " + " ".join(words(9, k)) for k in range(100, 130)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, 1, int(k < 24)) for k in range(54)], "doc_id long, quality int, toxic int")
+    terms = {t for t, _, _ in toxicity.fit(docs.select("doc_id", "text"), labels, longest_stem=None).lexicon}
+    assert any(t.startswith("unwertges") and len(t) > 9 for t in terms)
+
+
 def test_drop_toxic_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a", 1, 2, 3, "x")], "doc_id long, text string, `row` int, `a.b` int, rest int, score string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
@@ -483,6 +523,8 @@ def test_chat_round_trip(spark):
         assert got[conv]["loss_texts"] == [t for r, t in own if r == "assistant"]
     assert sorted(r["target"] for r in examples.where("conv_id = 1 and target is not null").collect()) == [2, 4]
     assert chat_format.read_examples(chat_format.prefix_examples(df.where("false"))).count() == 0
+    loose = spark.createDataFrame([(None, k, "user", "of no conversation") for k in range(3)], df.schema)
+    assert sorted(map(str, chat_format.prefix_examples(df.unionByName(loose)).collect())) == sorted(map(str, examples.collect()))
 
 
 @settings(max_examples=40, deadline=None)
@@ -556,12 +598,24 @@ def test_longer_stray_vectors_do_not_empty_the_neighbours(spark, tmp_path):
     unusable = [(200 + k, [0.0] * 3) for k in range(40)]
     rows = spark.createDataFrame(own + stray + unusable, "vec_id long, embedding array<float>")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert ann.usual_length(rows) == 4 and ann.usual_length(rows.where("vec_id >= 200")) == 0
-    assert ann.usual_length(rows.where("vec_id in (0, 102)")) == 4
+    assert ann.usable_lengths(rows) == [4, 7] and ann.usable_lengths(rows.where("vec_id >= 200")) == []
     found = QUERIES["op10_nearest_neighbours"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, k, float(k)) for k in range(1, 11)]
 
 
+def test_each_length_of_vectors_is_a_space_of_its_own(spark):
+    rng = np.random.default_rng(12)
+    own = [(k, rng.normal(size=3 + k % 2).tolist()) for k in range(60)]
+    rows = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(rows, rows.where("vec_id < 6"), 4, shard_rows=8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(6):
+        near = sorted((math.dist(own[q][1], v), k) for k, v in own if k != q and k % 2 == q % 2)[:4]
+        assert sorted(got[q]) == [(n + 1, k, pytest.approx(d)) for n, (d, k) in enumerate(near)]
+    assert ann.nearest(rows.where("false"), rows, 4).collect() == []
+
+
 def test_kept_text_digest(spark, sf_dir):
     row = QUERIES["op1_substring_dedup"](spark, sf_dir).where("n_removed = 0").orderBy("doc_id").first()
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") == row["doc_id"]).first()["text"]
