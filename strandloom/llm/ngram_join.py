@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.hashing import WordHasher, mix, run_hashes
-from strandloom.llm.shared import SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, slices, write_table
+from strandloom.llm.shared import MERGED_SKETCHES, SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, sketch_tasks, slices, text_bytes, write_table
 
 _BLOCK_LOG2 = 21
 _BAND = np.uint64(0xD6E8FEB86659FD93)
@@ -291,8 +291,9 @@ def ngram_components(
     no link.
     """
     rows = id_and_text(docs, id_col, text_col)
-    width_log2 = width_log2 or counters_log2(rows, most_log2)
-    sketches = sketches or 8 * docs.sparkSession.sparkContext.defaultParallelism
+    held = text_bytes(rows)
+    width_log2 = width_log2 or counters_log2(held, most_log2)
+    sketches = sketches or sketch_tasks(docs.sparkSession, held)
     size = 1 << min(_BLOCK_LOG2, width_log2)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +319,11 @@ def ngram_components(
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made, kinds)], names=names)
 
     scanned = write_table(rows.coalesce(sketches).mapInArrow(scan, _SCAN_SCHEMA), "shingle-scan")
-    sketch = (
-        scanned.where("block is not null")
-        .select("block", "counts")
-        .groupBy("block")
-        .applyInArrow(_merge_counts, "block int, counts binary")
-        .collect()  # the sketch: its size is fixed by width_log2
-    )
+    own = scanned.where("block is not null").select("block", "counts")
+    if sketches > MERGED_SKETCHES:  # a tree of two levels
+        part = F.pmod(F.xxhash64("counts"), F.lit(-(-sketches // MERGED_SKETCHES))).alias("part")
+        own = own.select("block", part, "counts").groupBy("block", "part").applyInArrow(_merge_counts, "block int, counts binary")
+    sketch = own.groupBy("block").applyInArrow(_merge_counts, "block int, counts binary").collect()  # its size is fixed by width_log2
     shared = docs.sparkSession.sparkContext.broadcast([(r["block"], bytes(r["counts"])) for r in sketch])
 
     members = scanned.where("block is null").select("doc_id", "n_shingles", "high", "low")

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Characters of text that one numpy step handles; bounds a worker's memory.
 SLICE_CHARS = 600_000
 
+#: Bytes of text that one task's sketch takes in; sketches that one task merges.
+SKETCH_BYTES, MERGED_SKETCHES = 1 << 30, 256
+
 _own_scratch: list[str] = []
 
 
@@ -58,12 +61,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def counters_log2(texts: DataFrame, most: int, least: int = 16) -> int:
-    """For a sketch of the runs of words of ``text``: two counters a run or more, as a power of two, up to ``most``."""
-    held = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+def text_bytes(texts: DataFrame) -> int:
+    """Bytes of all of ``text``."""
+    return texts.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+
+
+def counters_log2(held: int, most: int, least: int = 16) -> int:
+    """For a sketch of the runs of words of ``held`` bytes: two counters a run or more, as a power of two, up to ``most``."""
     return min(most, max(least, (held // 3).bit_length()))
 
 
+def sketch_tasks(spark: SparkSession, held: int) -> int:
+    """Tasks that keep a sketch each: a few for each core, and more where one would read over ``SKETCH_BYTES``.
+
+    So neither a cluster whose executors have yet to come nor a lost executor
+    leaves one task with more than that.
+    """
+    return max(8 * spark.sparkContext.defaultParallelism, -(-held // SKETCH_BYTES))
+
+
 def quoted(name: str) -> str:
     """A column's name as one part, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

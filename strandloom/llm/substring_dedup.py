@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.hashing import WordHasher, mix, run_hashes, run_starts
-from strandloom.llm.shared import SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text
+from strandloom.llm.shared import MERGED_SKETCHES, SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, sketch_tasks, text_bytes
 
 _BLOCK_LOG2 = 22
 _REPEATED_SCHEMA = "row int, block int, windows long, seen binary, repeated binary"
@@ -111,10 +111,11 @@ def _merge_blocks(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -
             if row >= 0:
                 s, r = (np.frombuffer(expand.decompress(x), dtype=np.uint8) for x in (s, r))
                 seen, repeated = (s, r) if seen is None else (seen | s, repeated | r | (seen & s))
-    out = zstandard.ZstdCompressor(level=1).compress(repeated.tobytes()) if row >= 0 else b""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    planes = [squeeze.compress(x.tobytes()) if row >= 0 else b"" for x in (seen, repeated)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([windows], pa.int64()), pa.array([out], pa.binary())],
-        names=["row", "block", "windows", "repeated"],
+        [*(pa.array([v], pa.int32()) for v in (row, block)), pa.array([windows], pa.int64()), *(pa.array([x], pa.binary()) for x in planes)],
+        names=["row", "block", "windows", "seen", "repeated"],
     )
 
 
@@ -136,8 +137,9 @@ def later_windows(
     ``docs`` has ``doc_id, text, crc`` (the text's CRC-32).  Shards of
     fingerprints send what they find to parts of documents, as packed arrays.
     """
-    width_log2 = width_log2 or counters_log2(docs, most_log2)
-    sketches = sketches or 8 * docs.sparkSession.sparkContext.defaultParallelism
+    held = text_bytes(docs)
+    width_log2 = width_log2 or counters_log2(held, most_log2)
+    sketches = sketches or sketch_tasks(docs.sparkSession, held)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
@@ -151,14 +153,13 @@ def later_windows(
             names = ["row", "block", "windows", "seen", "repeated"]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made, kinds)], names=names)
 
-    merged = (
-        docs.select("text")
-        .coalesce(sketches)
-        .mapInArrow(sketch, _REPEATED_SCHEMA)
-        .groupBy("row", "block")
-        .applyInArrow(_merge_blocks, "row int, block int, windows long, repeated binary")
-        .collect()  # the sketch: its size is fixed by depth and width_log2
-    )
+    own = docs.select("text").coalesce(sketches).mapInArrow(sketch, _REPEATED_SCHEMA)
+    if sketches > MERGED_SKETCHES:  # a tree of two levels
+        part = F.expr(f"spark_partition_id() div {MERGED_SKETCHES}").alias("part")
+        own = own.select(part, *[c.split()[0] for c in _REPEATED_SCHEMA.split(", ")])
+        own = own.groupBy("row", "block", "part").applyInArrow(_merge_blocks, _REPEATED_SCHEMA)
+    merged = own.groupBy("row", "block").applyInArrow(_merge_blocks, _REPEATED_SCHEMA).select("row", "block", "windows", "repeated")
+    merged = merged.collect()  # the sketch: its size is fixed by depth and width_log2
     windows = sum(r["windows"] for r in merged)
     shards = max(1, windows // shard_windows)
     shared = docs.sparkSession.sparkContext.broadcast([(r["row"], r["block"], bytes(r["repeated"])) for r in merged if r["row"] >= 0])
