@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import normal, posterior
-from strandloom.operators import blocks, haplotypes
+from strandloom.operators import blocks, gram, haplotypes
 from strandloom.plans import queries as core
 from strandloom.plans.file_queries import _cell, _lines, write_fixture_vcf
 from strandloom.plans.jobs import haplotype_design
@@ -205,3 +205,12 @@ def geweke_all_series(spark, sf_dir):
 def chain_convergence(spark, sf_dir):
     """Whether each chain has converged by all its series."""
     return core._rounded(posterior.converged(_all_z(spark, sf_dir)), "worst")
+
+
+@_query("""SELECT a.hap_ord AS i, b.hap_ord AS j, CAST(sum(a.dose * b.dose) AS BIGINT) AS xy FROM design AS a JOIN design AS b
+  ON a.sample_idx = b.sample_idx AND a.hap_ord <= b.hap_ord GROUP BY ALL""")
+def design_gram_tiles(spark, sf_dir):
+    """Products of the design's columns as a table of tiles, for any number of columns."""
+    long = core._design(spark, sf_dir)[0].select("sample_idx", F.col("hap_ord").alias("column"), F.col("dose").cast("double").alias("value"))
+    tiles = gram.gram_tiles(long, tile=64, block_samples=128, group_blocks=2)
+    return gram.tile_entries(tiles, 64).select("i", "j", F.col("xy").cast("long").alias("xy"))

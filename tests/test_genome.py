@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import normal, posterior
-from strandloom.operators import blocks, haplotypes
+from strandloom.operators import blocks, gram, haplotypes
 from strandloom.sources import dense, sinks
 from strandloom.sources.tables import numbered_lines
 from strandloom.sources.variants import read_vcf
@@ -125,3 +125,15 @@ def test_convergence_takes_the_worst_series(spark):
     zs = posterior.geweke(spark.createDataFrame(rows, "chain int, name string, at int, value double"), keys=("chain", "name"))
     got = {r["chain"]: r["converged"] for r in posterior.converged(zs).collect()}
     assert got == {0: True, 1: False}
+
+
+@pytest.mark.parametrize("tile,block,group", [(4, 8, 1), (64, 1024, 64)])
+def test_tiles_of_products(spark, tile, block, group):
+    rng = np.random.default_rng(tile)
+    x = rng.integers(0, 3, (70, 23)) * (rng.random((70, 23)) < 0.3)
+    long = spark.createDataFrame([(s, c, float(x[s, c])) for s in range(70) for c in range(23) if x[s, c]], "sample_idx int, column int, value double")
+    want = x.T @ x
+    got = gram.tile_entries(gram.gram_tiles(long, tile, block, group), tile).collect()
+    assert len(got) == len({(r["i"], r["j"]) for r in got})
+    assert {(r["i"], r["j"]): r["xy"] for r in got} == {(i, j): want[i, j] for i in range(23) for j in range(i, 23) if want[i, j]}
+    assert gram.gram_tiles(long.where("false"), tile).collect() == []
