@@ -5,7 +5,8 @@ of a known licence sentence, and the sequence of identifiers is matched against
 rules: a rule holds when its identifiers occur in its order, with others in
 between allowed.  Where one licence is the beginning of another, the sentence at
 which they part is joined with the next one, so the shorter rule does not hold
-inside the longer text.  Texts are read in several views: with line ends as sentence
+inside the longer text.  A sentence that names a holder is known by its other
+words.  Texts are read in several views: with line ends as sentence
 ends; with line ends as spaces, for wrapped sentences; and with single line ends
 as spaces but blank lines as sentence ends, for notices under headings without a
 full stop.  Known sentences with a colon or semicolon inside (the GPL's) are
@@ -45,15 +46,22 @@ SENTENCES = {
     "bsd-redist": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "reserved": "all rights reserved",
     "mpl2-form": "this source code form is subject to the terms of the mozilla public license v",
     "isc-grant": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "isc-grant-or": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "cc0-dedicate": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "apache-license": "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    "apache-licensor": "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+    "gpl2-intent": "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users",
+    "gpl3-kind": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "gpl3-intent": "by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users",
 }
 
+#: Sentences with names of holders in them, by words that they all have.
+NAMED = {"bsd-endorse": "endorse or promote products derived from this software"}
+
 #: The GNU licences' names and versions, as their notices have them.
 GNU = [
     ("GPL-2.0-or-later", "gnu general public license", "2"),
@@ -69,6 +77,21 @@ for _name, _license, _version in GNU:
             f"as published by the free software foundation either version {_version} of the license or at your option any later version"
         )
 
+#: The same notices for one version only.
+ONLY = [
+    "the terms of the {license} as published by the free software foundation version {version} of the license",
+    "the terms of the {license} as published by the free software foundation version {version}",
+    "the terms of the {license} version {version} as published by the free software foundation",
+    "the terms of the {license} version {version} only as published by the free software foundation",
+    "the terms of version {version} of the {license} as published by the free software foundation",
+]
+for _name, _license, _version in GNU:
+    for _what in ("program", "library"):
+        for _k, _terms in enumerate(ONLY):
+            SENTENCES[f"only-{_what}-{_k}-{_name}"] = (
+                f"this {_what} is free software you can redistribute it and or modify it under " + _terms.format(license=_license, version=_version)
+            )
+
 #: Licences and the identifiers that must follow in this order.
 RULES = [
     ("MIT", ["mit-ref"]),
@@ -77,7 +100,10 @@ RULES = [
     ("Apache-2.0", ["apache-ref"]),
     ("Apache-2.0", ["apache-ref-2", "apache-use"]),
     ("Apache-2.0", ["apache-use", "apache-copy"]),
+    ("Apache-2.0", ["apache-license", "apache-licensor"]),
     ("GPL-3.0", ["gpl3-ref"]),
+    ("GPL-3.0", ["gpl3-kind", "gpl3-intent"]),
+    ("GPL-2.0", ["gpl2-intent"]),
     ("CC-BY-NC-4.0", ["ccbync-ref"]),
     ("CC-BY-4.0", ["ccby-ref"]),
     ("CC-BY-4.0", ["ccby-long"]),
@@ -92,6 +118,7 @@ RULES = [
     ("Unlicense", ["unlicense-free"]),
 ]
 RULES += [(_name, [f"free-{_what}-{_name}"]) for _name, _, _ in GNU for _what in ("program", "library")]
+RULES += [(_name.replace("-or-later", "-only"), [f"only-{_what}-{_k}-{_name}"]) for _name, _, _ in GNU for _what in ("program", "library") for _k in range(len(ONLY))]
 
 #: Two identifiers that follow each other directly and then count as one.
 JOINED = [("bsd-binary", "bsd-endorse")]
@@ -102,10 +129,13 @@ for _name in sorted({n for n, _ in RULES if n != "all-rights-reserved"}):
     RULES.append((_name, [f"spdx-{_name}"]))
 
 #: Words of which every known sentence has at least one.
-TRIGGERS = ("licen", "permission", "redistribut", "warrant", "reserved", "public domain")
+TRIGGERS = ("licen", "permission", "redistribut", "warrant", "reserved", "public domain", "endorse or promote")
 
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)|\n+"
 
+#: The number of a point of a list, where a normalised sentence begins with it.
+NUMBER = "^[0-9]{1,2} (?=[a-z]{3})"
+
 #: As ``SENTENCE_END``, but colons and semicolons stay inside a sentence.
 FULL_STOP = r"[.!?]+(?:\s+|$)|\n+"
 
@@ -118,11 +148,11 @@ BEFORE_ADDRESS = BLANK_LINES + r"([^A-Za-z0-9\n]*https?://)"
 
 def check_tables(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> None:
     """Raise where a sentence has no trigger or a rule names an unknown sentence."""
-    for name, words in sentences.items():
+    for name, words in {**sentences, **NAMED}.items():
         if not any(t in words for t in TRIGGERS):
             raise ValueError(f"sentence {name} has no trigger word")
     for name, ids in rules:
-        if not ids or not {part for i in ids for part in i.split("+")} <= set(sentences):
+        if not ids or not {part for i in ids for part in i.split("+")} <= {*sentences, *NAMED}:
             raise ValueError(f"rule {name} names unknown sentences")
 
 
@@ -133,12 +163,11 @@ def _paragraphs(text: Column) -> Column:
 
 
 def _identifiers(text: Column, sentences: dict[str, str], end: str = SENTENCE_END) -> Column:
+    """Identifiers of a text's sentences, in order; the number of a list's point before a sentence is not of it."""
     known = F.create_map(*[F.lit(x) for name, words in sentences.items() for x in (words, name)])
-    found = F.transform(
-        F.split(text, end),
-        lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))),
-    )
-    return F.filter(found, lambda x: x.isNotNull())
+    normal = F.transform(F.split(text, end), lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), NUMBER, ""))
+    named = lambda w: [F.when(F.contains(w, F.lit(part)), F.lit(name)) for name, part in NAMED.items()]
+    return F.filter(F.transform(normal, lambda w: F.coalesce(F.try_element_at(known, w), *named(w))), lambda x: x.isNotNull())
 
 
 def rule_pattern(ids: list[str]) -> str:

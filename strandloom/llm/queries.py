@@ -189,6 +189,7 @@ def _op6_sql() -> str:
     line = "' ' || string_agg(id, '  ' ORDER BY p) || ' '"
     for one, two in licenses.JOINED:
         line = f"replace({line}, ' {one}  {two} ', ' {one}+{two} ')"
+    named = "CASE " + " ".join(f"WHEN contains(w, '{part}') THEN '{name}'" for name, part in licenses.NAMED.items()) + " END"
     return rf"""
 WITH known(words, id) AS (VALUES {known}), rule(license, pattern) AS (VALUES {rules}), held AS (
   SELECT doc_id, text, regexp_replace(regexp_replace(text, '{licenses.BEFORE_ADDRESS}', ' \1', 'g'), '{licenses.BLANK_LINES}', chr(1), 'g') AS t
@@ -203,9 +204,14 @@ WITH known(words, id) AS (VALUES {known}), rule(license, pattern) AS (VALUES {ru
   UNION ALL SELECT doc_id, 4, string_split_regex(para, '{licenses.FULL_STOP}') FROM para
 ), sentence AS (
   SELECT doc_id, view, unnest(s) AS s, unnest(range(0, len(s))) AS p FROM view
+), normal AS (
+  SELECT doc_id, view, p, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS w FROM sentence
+), bare AS (
+  SELECT doc_id, view, p, CASE WHEN regexp_matches(w, '^[0-9]{{1,2}} [a-z]{{3}}') THEN w[instr(w, ' ') + 1 :] ELSE w END AS w FROM normal
+), met AS (
+  SELECT doc_id, view, p, coalesce(id, {named}) AS id FROM bare LEFT JOIN known ON words = w
 ), seq AS (
-  SELECT doc_id, view, count(*) AS n, string_agg(id, ',' ORDER BY p) AS ids, {line} AS line
-  FROM sentence JOIN known ON words = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id, view
+  SELECT doc_id, view, count(*) AS n, string_agg(id, ',' ORDER BY p) AS ids, {line} AS line FROM met WHERE id IS NOT NULL GROUP BY doc_id, view
 ), named AS (
   SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses
   FROM (SELECT DISTINCT doc_id, license FROM seq JOIN rule ON regexp_matches(line, pattern)) GROUP BY doc_id

@@ -428,6 +428,61 @@ binary, for any purpose, commercial or non-commercial, and by any means.
 """
 
 
+BSD_3_UNIVERSITY = BSD_NOTICE.replace("1. R", "(1) R").replace("2. R", "(2) R") + """
+(3) Neither the name of the University of Somewhere nor the names of its
+    contributors may be used to endorse or promote products derived from
+    this software without specific prior written permission.
+"""
+BSD_3_AUTHOR = BSD_NOTICE + """
+3. The name of the author may not be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+GPL_2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+GPL_2_ONLY_OLD = """ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; version 2 of the License.
+"""
+LGPL_ONLY = """This library is free software; you can redistribute it and/or modify it
+under the terms of version 2.1 of the GNU Lesser General Public License as
+published by the Free Software Foundation.
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+"""
+GPL_2_TEXT = """                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.
+"""
+GPL_3_TEXT = """                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  The licenses for most software and other practical works are designed
+to take away your freedom to share and change the works.  By contrast,
+the GNU General Public License is intended to guarantee your freedom to
+share and change all versions of a program--to make sure it remains free
+software for all its users.
+"""
+
+
 def test_license_notices_as_published(spark, tmp_path):
     commented = "".join(f" * {line}".rstrip() + "\r\n" for line in APACHE_NOTICE.split("\n"))
     one_line = "A tool\n" + " ".join(GPL_NOTICE.split("\n\n")[1].split()) + "\n" + GPL_NOTICE.split("\n\n")[3].replace("\n", " ")
@@ -436,6 +491,8 @@ def test_license_notices_as_published(spark, tmp_path):
     whole += [(BSD_3_NOTICE, "BSD-3-Clause"), (LGPL_NOTICE, "LGPL-2.1-or-later"), (MPL_NOTICE, "MPL-2.0"), (ISC_NOTICE, "ISC"), (CC0_NOTICE, "CC0-1.0")]
     whole += [(UNLICENSE, "Unlicense"), (GPL_NOTICE.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later")]
     whole += [(GPL_NOTICE.replace("either version 3", "either version 2"), "GPL-2.0-or-later"), ("// SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0")]
+    whole += [(BSD_3_UNIVERSITY, "BSD-3-Clause"), (BSD_3_AUTHOR, "BSD-3-Clause"), (GPL_2_ONLY, "GPL-2.0-only"), (GPL_2_ONLY_OLD, "GPL-2.0-only"), (LGPL_ONLY, "LGPL-2.1-only")]
+    whole += [(APACHE_TEXT, "Apache-2.0"), (GPL_2_TEXT, "GPL-2.0"), (GPL_3_TEXT, "GPL-3.0"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, [t for t, _ in whole])).collect()}
     assert [got[k] for k in range(len(whole))] == [[name] for _, name in whole]
     odd = [None, "", BSD_NOTICE + "x" + BSD_3_NOTICE, GPL_NOTICE + LGPL_NOTICE + MIT_NOTICE]
