@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Variants further apart than this are not linked, so a long block costs its length times this.
+#: Variants further apart than this are not linked unless asked for, so a long block costs its length times this.
 REACH = 2000
 
 
-def strong_band(dosage: np.ndarray, cutoff: float, reach: int = REACH, tile: int = 512) -> np.ndarray:
+def strong_band(dosage: np.ndarray, cutoff: float, reach: int | None = REACH, tile: int = 512) -> np.ndarray:
     """``[i, k]``: whether variants i and i + 1 + k have ``abs(r) > cutoff``."""
     x = dosage.astype(np.float64)
     x -= x.mean(axis=1, keepdims=True)
     x /= np.maximum(np.sqrt(np.square(x).sum(axis=1)), 1e-12)[:, None]
     m = len(x)
-    width = max(0, min(reach, m - 1))
+    width = max(0, m - 1 if reach is None else min(reach, m - 1))
     band = np.zeros((m, width), dtype=bool)
     for first in range(0, m, tile):
         own = x[first : first + tile]
@@ -71,11 +71,12 @@ def best_disjoint(candidates: list[tuple[int, int, float]], m: int) -> list[tupl
     return out[::-1]
 
 
-def bigld_like(common: DataFrame, independent: DataFrame, cutoff: float = 0.5) -> DataFrame:
+def bigld_like(common: DataFrame, independent: DataFrame, cutoff: float = 0.5, reach: int | None = REACH) -> DataFrame:
     """``chrom, block_ord, left_c, right_c``: blocks that tile each independent block.
 
     A task takes one independent block, as the method is defined on it, and holds
-    a band of its correlations (``REACH`` to each variant), not the square.
+    a band of its correlations (``reach`` to each variant), not the square.  With
+    no reach (None) stretches of any length within a block are candidates.
     """
     starts = independent.select("chrom", F.col("left_c").alias("c_idx"), F.col("left_c").alias("block_left"))
     order = Window.partitionBy("chrom").orderBy("c_idx")
@@ -87,7 +88,7 @@ def bigld_like(common: DataFrame, independent: DataFrame, cutoff: float = 0.5) -
         table = table.sort_by("c_idx")
         idx = table.column("c_idx").to_pylist()
         x = table.column("dosage").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
-        lefts = sorted({0, *(i for i, _ in best_disjoint(intervals(strong_band(x, cutoff)), len(idx)))})
+        lefts = sorted({0, *(i for i, _ in best_disjoint(intervals(strong_band(x, cutoff, reach)), len(idx)))})
         rights = [k - 1 for k in lefts[1:]] + [len(idx) - 1]
         names = ["chrom", "left_c", "right_c"]
         cols = [[key[0].as_py()] * len(lefts), [idx[k] for k in lefts], [idx[k] for k in rights]]

@@ -51,12 +51,13 @@ def haplotype_strings(variants: DataFrame, blocks: DataFrame, slice_samples: int
     return rows.groupBy("chrom", "block_ord", "part").applyInArrow(turn, schema)
 
 
-def distinct_haplotypes(strings: DataFrame) -> DataFrame:
+def distinct_haplotypes(strings: DataFrame, count: DataFrame | None = None) -> DataFrame:
     """``chrom, block_ord, alleles, first_seen, cluster``: in order of all first copies, then all second.
 
     ``first_seen`` is ``hap * n + sample``; ``cluster`` is the rank of it, from 0.
+    ``count`` is one row with ``n``; else it is counted from the strings.
     """
-    count = strings.agg((F.max("sample_idx") + 1).alias("n"))
+    count = strings.agg((F.max("sample_idx") + 1).alias("n")) if count is None else count
     rows = strings.join(F.broadcast(count))  # one row: the number of samples
     firsts = rows.groupBy("chrom", "block_ord", "alleles").agg(
         F.min(F.col("hap") * F.col("n") + F.col("sample_idx")).cast("long").alias("first_seen")

@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A variant is alone without a link of this strength within this distance.
+ALONE_R2, ALONE_GAP = 0.1, 10
+
 EDGES = "chrom string, i int, j int, r2 double"
 
 
@@ -122,9 +125,12 @@ def independent_blocks_common(common: DataFrame, cutoff: float = 0.1, window: in
     return merge_singletons(cummax_blocks(reach(common, ld_edges(common, cutoff, window))))
 
 
-def alone_variants(common: DataFrame, cutoff: float = 0.1, gap: int = 10) -> DataFrame:
-    """Common variants that vary and have no link within ``gap`` on either side."""
-    near = ld_edges(common, cutoff, gap)
+def alone_variants(common: DataFrame, cutoff: float = ALONE_R2, gap: int = ALONE_GAP, edges: DataFrame | None = None) -> DataFrame:
+    """Common variants that vary and have no link within ``gap`` on either side.
+
+    ``edges``: links of ``cutoff`` over ``gap`` or more, where they are at hand.
+    """
+    near = ld_edges(common, cutoff, gap) if edges is None else edges.where(F.col("j") - F.col("i") <= gap)
     linked = near.select("chrom", F.col("i").alias("c_idx")).unionByName(near.select("chrom", F.col("j").alias("c_idx")))
     rows = common.where(has_variance()).select("chrom", "chrom_ord", "c_idx", "var_idx", "pos", "var_id")
     return rows.join(linked, ["chrom", "c_idx"], "left_anti")

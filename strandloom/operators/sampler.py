@@ -7,13 +7,14 @@ With more than ``gram_columns`` columns, whose square would not fit a task, the
 chains get the sparse columns themselves and keep the residuals of the samples:
 a step costs the non-zero doses.  Neither way passes through the driver.
 
-A chain's task keeps series of single numbers, and running sums of the wide
-draws by segment; no draw of all columns leaves it.
+A chain's task keeps series of single numbers, and sums of the wide draws by
+segment; no draw of all columns leaves it.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
@@ -111,13 +112,15 @@ def _coordinates(products: np.ndarray, residual: np.ndarray, value: np.ndarray,
     """One sweep of normal draws; ``residual`` holds X'(y - fit) and follows each change."""
     diagonal = products.diagonal()
     variance = 1.0 / (diagonal * tau + precision)
-    sd = np.sqrt(variance) * noise
-    scale, own = variance * tau, diagonal.tolist()
-    for i in range(len(value)):
-        old = value[i]
-        new = scale[i] * (residual[i] + own[i] * old) + sd[i]
-        residual -= products[i] * (new - old)
-        value[i] = new
+    # Plain floats, and one array for all changes: this loop is most of a step.
+    sd, scale, own, olds = (x.tolist() for x in (np.sqrt(variance) * noise, variance * tau, diagonal, value))
+    change, rest = np.empty_like(residual), residual.item
+    for i, (row, old) in enumerate(zip(products, olds)):
+        new = scale[i] * (rest(i) + own[i] * old) + sd[i]
+        np.multiply(row, new - old, out=change)
+        np.subtract(residual, change, out=residual)
+        olds[i] = new
+    value[:] = olds
 
 
 class Chain:
@@ -272,54 +275,117 @@ class SparseChain(Chain):
         self.fit = self.rest - left
 
 
+#: Numbers of draws that a segment holds before they are added up.
+HELD_NUMBERS = 1 << 18
+
+
 class Segment:
-    """Kept draws of one stretch: series of numbers, sums of what is wide."""
+    """Kept draws of one stretch: series of numbers, sums of what is wide.
+
+    Draws are added up some hundreds at a time (:meth:`settle`).
+    """
 
     def __init__(self, columns: int, blocks: int):
         self.rows: list[tuple] = []
         self.top: list[np.ndarray] = []
+        self.held: list[tuple] = []
         self.beta_sum, self.beta_square = np.zeros(columns), np.zeros(columns)
         self.gamma_sum, self.block_sum = np.zeros(columns, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
 
+    def __len__(self) -> int:
+        return len(self.rows) + len(self.held)
+
     def add(self, it: int, c: Chain, large: float, h2: float, block: np.ndarray) -> None:
-        self.rows.append((it, c.sigma_1, c.sigma_e, large, int(c.gamma.sum()), h2, c.alpha.tolist()))
-        size = np.abs(c.beta)
-        self.top.append(-np.sort(-np.partition(size, -min(5, len(size)))[-5:]))
-        self.beta_sum += c.beta
-        self.beta_square += np.square(c.beta)
-        self.gamma_sum += c.gamma
-        self.block_sum[np.unique(block[c.gamma == 1])] += 1
+        self.held.append((it, c.sigma_1, c.sigma_e, h2, c.alpha.tolist(), c.beta.copy(), c.gamma))
+        if len(self.held) * max(1, len(block)) >= HELD_NUMBERS:
+            self.settle(large, block)
+
+    def settle(self, large: float, block: np.ndarray) -> None:
+        if not self.held:
+            return
+        its, ones, noises, h2s, alphas, beta, gamma = zip(*self.held)
+        beta, gamma = np.array(beta), np.array(gamma)
+        size, last = np.abs(beta), min(5, beta.shape[1])
+        ratios = (size > large).mean(axis=1).tolist() if last else [math.nan] * len(its)
+        self.rows += zip(its, ones, noises, ratios, gamma.sum(axis=1, dtype=np.int64).tolist(), h2s, alphas)
+        self.top += list(-np.sort(-np.partition(size, -last, axis=1)[:, -last:], axis=1)) if last else list(size)
+        self.beta_sum += beta.sum(axis=0)
+        self.beta_square += np.square(beta).sum(axis=0)
+        self.gamma_sum += gamma.sum(axis=0, dtype=np.int64)
+        if last:
+            order = np.argsort(block, kind="stable")
+            names, starts = np.unique(block[order], return_index=True)
+            self.block_sum[names] += np.maximum.reduceat(gamma[:, order], starts, axis=1).sum(axis=0, dtype=np.int64)
+        self.held = []
+
+
+class Run:
+    """A chain under way: :meth:`advance` takes it on, :meth:`state` is all that is needed to go on from here.
+
+    It keeps the segments of the last ``keep`` draws.  Draws with h2 > 1 after
+    ``reject_after`` are not counted but move the state; ``max_iter`` bounds the
+    steps, so a run always ends.  ``block`` numbers each column's block.
+    """
 
+    def __init__(self, data: Statistics | SparseData, settings: Settings, chain: int, block: np.ndarray, state: bytes | None = None):
+        self.c = (SparseChain if isinstance(data, SparseData) else Chain)(data, settings, chain)
+        self.s, self.block = settings, block
+        self.size = len(self.c.beta), int(block.max()) + 1 if len(block) else 0
+        self.segments, self.tests = [Segment(*self.size)], []
+        self.it = self.kept = self.step = 0
+        self.converged = False
+        if state is not None:
+            own, chain_state, segments = pickle.loads(state)
+            vars(self).update(own)
+            vars(self.c).update(chain_state)
+            self.segments = [Segment(*self.size) for _ in segments]
+            for segment, held in zip(self.segments, segments):
+                vars(segment).update(held)
+
+    def state(self) -> bytes:
+        """Plain numbers and arrays, so that workers need no module of ours to read it."""
+        own = {k: getattr(self, k) for k in ("tests", "it", "kept", "step", "converged")}
+        return pickle.dumps((own, {k: v for k, v in vars(self.c).items() if k not in ("d", "s")}, [vars(s) for s in self.segments]))
+
+    @property
+    def done(self) -> bool:
+        return self.converged or self.step >= self.s.max_iter
+
+    def advance(self, steps: int) -> None:
+        """Up to so many steps; less where the run ends."""
+        c, s, most = self.c, self.s, -(-self.s.keep // self.s.slide)
+        for _ in range(steps):
+            if self.done:
+                break
+            self.step += 1
+            c.step()
+            if self.step % 500 == 0:
+                c.refresh()
+            h2 = c.h2()
+            if self.it > s.reject_after and h2 > 1:
+                continue
+            if self.it >= s.burn_in:
+                if len(self.segments[-1]) == s.slide:
+                    self.segments[-1].settle(s.large, self.block)
+                    self.segments.append(Segment(*self.size))
+                self.segments[-1].add(self.it, c, s.large, h2, self.block)
+                self.kept += 1
+                if self.kept >= s.keep and (self.kept - s.keep) % s.slide == 0:
+                    self.segments = self.segments[-most:]
+                    self.segments[-1].settle(s.large, self.block)
+                    self.tests.append(worst_z(self.segments))
+                    self.converged = self.tests[-1] < s.z_limit
+            self.it += 1
+        if self.done:
+            self.segments = self.segments[-most:]
+            self.segments[-1].settle(s.large, self.block)
 
-def run_chain(data: Statistics | SparseData, settings: Settings, chain: int, block: np.ndarray) -> tuple[list[Segment], bool, int, list[float]]:
-    """Segments of the last ``keep`` draws, whether they passed the Geweke test, the steps, and each test's worst z.
 
-    Draws with h2 > 1 after ``reject_after`` are not counted but move the state;
-    ``max_iter`` bounds the steps, so the loop always ends.  ``block`` numbers
-    each column's block.
-    """
-    c = (SparseChain if isinstance(data, SparseData) else Chain)(data, settings, chain)
-    columns, blocks, it = len(c.beta), int(block.max()) + 1 if len(block) else 0, 0
-    segments, kept, tests, step = [Segment(columns, blocks)], 0, [], 0
-    for step in range(1, settings.max_iter + 1):
-        c.step()
-        if step % 500 == 0:
-            c.refresh()
-        h2 = c.h2()
-        if it > settings.reject_after and h2 > 1:
-            continue
-        if it >= settings.burn_in:
-            if len(segments[-1].rows) == settings.slide:
-                segments.append(Segment(columns, blocks))
-            segments[-1].add(it, c, float(np.mean(np.abs(c.beta) > settings.large)), h2, block)
-            kept += 1
-            if kept >= settings.keep and (kept - settings.keep) % settings.slide == 0:
-                segments = segments[-(-(-settings.keep // settings.slide)) :]
-                tests.append(worst_z(segments))
-                if tests[-1] < settings.z_limit:
-                    return segments, True, step, tests
-        it += 1
-    return segments[-(-(-settings.keep // settings.slide)) :], False, step, tests
+def run_chain(data: Statistics | SparseData, settings: Settings, chain: int, block: np.ndarray) -> tuple[list[Segment], bool, int, list[float]]:
+    """Segments of the last ``keep`` draws, whether they passed the Geweke test, the steps, and each test's worst z."""
+    run = Run(data, settings, chain, block)
+    run.advance(settings.max_iter)
+    return run.segments, run.converged, run.step, run.tests
 
 
 def worst_z(segments: list[Segment]) -> float:
@@ -330,6 +396,59 @@ def worst_z(segments: list[Segment]) -> float:
     return max(geweke_max(x) for x in series)
 
 
+@dataclass
+class Inputs:
+    """What the chains' tasks need, and how to read it there."""
+
+    rows: DataFrame
+    columns: int
+    c_count: int
+    sums: bool
+
+    def read(self, table: pa.Table) -> tuple[Statistics | SparseData, np.ndarray]:
+        of = {}
+        for name in ("data", "block", "annotation"):
+            part = table.filter(pc.equal(table.column("kind"), name))
+            of[name] = tuple(part.column(x).to_numpy() for x in ("i", "j", "x"))
+        block = np.zeros(self.columns - 2 - self.c_count, dtype=np.int64)
+        block[of["block"][0]] = of["block"][1]
+        extra = annotation_matrix(*of["annotation"], len(block)) if len(of["annotation"][0]) else None
+        if self.sums:
+            return gram_statistics(dense_matrix(*of["data"], self.columns), self.c_count, extra), block
+        return SparseData(*of["data"], self.c_count, self.columns, extra), block
+
+
+def chain_inputs(
+    design: DataFrame, phenotype: DataFrame, covariates: DataFrame, blocks: DataFrame, annotation: DataFrame | None, settings: Settings
+) -> Inputs:
+    """Rows ``kind, i, j, x``: sums of products (or sparse columns), blocks and annotation."""
+    c_count = covariates.agg(F.max("c_idx")).first()[0] + 1
+    last = blocks.agg(F.max("hap_ord")).first()[0]
+    columns = 2 + c_count + (0 if last is None else last + 1)
+    long = long_table(design, phenotype, covariates, c_count)
+    sums = columns <= settings.gram_columns
+    data = gram(long).select("i", "j", F.col("xy").alias("x")) if sums else long.select(F.col("sample_idx").alias("i"), F.col("column").alias("j"), F.col("value").alias("x"))
+    kind = lambda df, name, i, j, x: df.select(F.lit(name).alias("kind"), F.col(i).cast("int").alias("i"), j.cast("int").alias("j"), x.cast("double").alias("x"))
+    rows = kind(data, "data", "i", F.col("j"), F.col("x")).unionByName(kind(blocks, "block", "hap_ord", F.col("block_no"), F.lit(0.0)))
+    if annotation is not None:
+        rows = rows.unionByName(kind(annotation, "annotation", "hap_ord", F.col("a_idx"), F.col("value")))
+    return Inputs(rows, columns, c_count, sums)
+
+
+def segment_batches(chain: int, run: Run) -> Iterator[pa.RecordBatch]:
+    """A chain's segments as ``SEGMENTS``."""
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    kinds = [pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+    for number, s in enumerate(run.segments):
+        series = list(zip(*s.rows)) or [()] * 7
+        arrays = [pa.array([chain], pa.int32()), pa.array([number], pa.int32()), pa.array([list(series[0])], pa.list_(pa.int32()))]
+        arrays += [pa.array([list(series[k])], kinds[k]) for k in range(1, 6)] + [pa.array([list(series[6])], pa.list_(pa.list_(pa.float64())))]
+        arrays += [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (s.beta_sum, s.beta_square)]
+        arrays += [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (s.gamma_sum, s.block_sum)]
+        arrays += [pa.array([run.converged]), pa.array([run.step], pa.int64()), pa.array([run.tests], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def sample(
     design: DataFrame,
     phenotype: DataFrame,
@@ -345,17 +464,9 @@ def sample(
     it needs by a shuffle: sums of products, or sparse columns.
     """
     settings = settings or Settings()
-    c_count = covariates.agg(F.max("c_idx")).first()[0] + 1
-    last = blocks.agg(F.max("hap_ord")).first()[0]
-    columns = 2 + c_count + (0 if last is None else last + 1)
-    long = long_table(design, phenotype, covariates, c_count)
-    sums = columns <= settings.gram_columns
-    data = gram(long).select("i", "j", F.col("xy").alias("x")) if sums else long.select(F.col("sample_idx").alias("i"), F.col("column").alias("j"), F.col("value").alias("x"))
-    kind = lambda df, name, i, j, x: df.select(F.lit(name).alias("kind"), F.col(i).cast("int").alias("i"), j.cast("int").alias("j"), x.cast("double").alias("x"))
-    rows = kind(data, "data", "i", F.col("j"), F.col("x")).unionByName(kind(blocks, "block", "hap_ord", F.col("block_no"), F.lit(0.0)))
-    if annotation is not None:
-        rows = rows.unionByName(kind(annotation, "annotation", "hap_ord", F.col("a_idx"), F.col("value")))
-    copies = rows.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartitionById(chains, "chain")
+    inputs = chain_inputs(design, phenotype, covariates, blocks, annotation, settings)
+    copies = inputs.rows.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartitionById(chains, "chain")
+    read = Inputs(None, inputs.columns, inputs.c_count, inputs.sums).read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch for batch in batches if batch.num_rows]
@@ -363,32 +474,17 @@ def sample(
             return
         table = pa.Table.from_batches(held)
         chain = table.column("chain")[0].as_py()
-        of = {}
-        for name in ("data", "block", "annotation"):
-            part = table.filter(pc.equal(table.column("kind"), name))
-            of[name] = tuple(part.column(x).to_numpy() for x in ("i", "j", "x"))
-        block = np.zeros(columns - 2 - c_count, dtype=np.int64)
-        block[of["block"][0]] = of["block"][1]
-        extra = annotation_matrix(*of["annotation"], len(block)) if len(of["annotation"][0]) else None
-        if sums:
-            own = gram_statistics(dense_matrix(*of["data"], columns), c_count, extra)
-        else:
-            own = SparseData(*of["data"], c_count, columns, extra)
-        segments, converged, steps, tests = run_chain(own, settings, chain, block)
-        names = [x.split()[0] for x in SEGMENTS.split(", ")]
-        kinds = [pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
-        for number, s in enumerate(segments):
-            series = list(zip(*s.rows)) or [()] * 7
-            arrays = [pa.array([chain], pa.int32()), pa.array([number], pa.int32()), pa.array([list(series[0])], pa.list_(pa.int32()))]
-            arrays += [pa.array([list(series[k])], kinds[k]) for k in range(1, 6)] + [pa.array([list(series[6])], pa.list_(pa.list_(pa.float64())))]
-            arrays += [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (s.beta_sum, s.beta_square)]
-            arrays += [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (s.gamma_sum, s.block_sum)]
-            arrays += [pa.array([converged]), pa.array([steps], pa.int64()), pa.array([tests], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        own = Run(*_with(read(table), settings, chain))
+        own.advance(settings.max_iter)
+        yield from segment_batches(chain, own)
 
     return copies.select("chain", "kind", "i", "j", "x").mapInArrow(run, SEGMENTS)
 
 
+def _with(read: tuple[Statistics | SparseData, np.ndarray], settings: Settings, chain: int) -> tuple:
+    return read[0], settings, chain, read[1]
+
+
 def draws(segments: DataFrame) -> DataFrame:
     """``chain, iter`` and the single numbers of each kept draw, and its ``alpha``."""
     series = ["iter", "sigma_1", "sigma_e", "large_ratio", "n_gamma", "h2", "alpha"]

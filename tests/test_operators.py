@@ -200,6 +200,17 @@ def test_cliques_of_a_band_equal_those_of_the_square():
         assert bigld.intervals(bigld.strong_band(x[:m], 2.0)) == []
 
 
+@pytest.mark.parametrize("reach", [3, None])
+def test_reach_bounds_the_blocks_of_cliques(spark, reach):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 3, 80)
+    x = np.array([np.where(rng.random(80) < 0.02, rng.integers(0, 3, 80), base) for _ in range(12)])
+    common = spark.createDataFrame([("1", k, x[k].tolist()) for k in range(12)], "chrom string, c_idx int, dosage array<int>")
+    whole = spark.createDataFrame([("1", 0, 11)], "chrom string, left_c int, right_c int")
+    got = sorted((r["left_c"], r["right_c"]) for r in bigld.bigld_like(common, whole, 0.5, reach).collect())
+    assert got == ([(0, 11)] if reach is None else [(0, 3), (4, 7), (8, 11)])
+
+
 def test_lines_are_numbered_in_file_order(spark, tmp_path):
     for k, lines in enumerate((["a"] * 3, [f"row {i} " + "x" * 50 for i in range(400)], ["z", "", "y"])):
         (tmp_path / f"part-{k}").write_text("\n".join(lines) + "\n")
