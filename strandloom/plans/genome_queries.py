@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import normal, posterior
-from strandloom.operators import blocks, gram, haplotypes
+from strandloom.operators import blocks, gram, haplotypes, neighbours
 from strandloom.plans import queries as core
 from strandloom.plans.file_queries import _cell, _lines, write_fixture_vcf
 from strandloom.plans.jobs import haplotype_design
@@ -214,3 +214,19 @@ def design_gram_tiles(spark, sf_dir):
     long = core._design(spark, sf_dir)[0].select("sample_idx", F.col("hap_ord").alias("column"), F.col("dose").cast("double").alias("value"))
     tiles = gram.gram_tiles(long, tile=64, block_samples=128, group_blocks=2)
     return gram.tile_entries(tiles, 64).select("i", "j", F.col("xy").cast("long").alias("xy"))
+
+
+@_query("""SELECT block_ord, alleles, k, distance FROM (WITH rows_ AS (SELECT CAST(var_idx // 19 AS BIGINT) AS block_ord, sample_idx, hap,
+    string_agg(CAST(allele AS VARCHAR), '' ORDER BY var_idx) AS alleles FROM calls GROUP BY ALL),
+  haps AS (SELECT DISTINCT block_ord, alleles FROM rows_),
+  sized AS (SELECT block_ord, least(greatest(count(*) // 10, 10), count(*) - 1) AS k FROM haps GROUP BY block_ord),
+  apart AS (SELECT a.block_ord, a.alleles, list(hamming(a.alleles, b.alleles) ORDER BY hamming(a.alleles, b.alleles)) AS ds
+    FROM haps AS a JOIN haps AS b ON a.block_ord = b.block_ord AND a.alleles <> b.alleles GROUP BY ALL)
+  SELECT block_ord, alleles, k, ds[k] AS distance FROM apart JOIN sized USING (block_ord))""")
+def kth_neighbour_distance(spark, sf_dir):
+    """Scale of each haplotype's surroundings: the distance to its k-th nearest in the block."""
+    wide = spark.range(core.VARIANTS // 19).select(
+        F.lit("1").alias("chrom"), F.col("id").cast("int").alias("block_ord"), (F.col("id") * 19).cast("int").alias("left_idx"), (F.col("id") * 19 + 18).cast("int").alias("right_idx")
+    )
+    distinct = haplotypes.distinct_haplotypes(haplotypes.haplotype_strings(fixture_variants(spark, sf_dir), wide))
+    return neighbours.kth_neighbour(distinct).select("block_ord", "alleles", "k", "distance")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import normal, posterior
-from strandloom.operators import blocks, gram, haplotypes, run_log, sampler
+from strandloom.operators import blocks, gram, haplotypes, neighbours, run_log, sampler
 from strandloom.sources import dense, sinks, tables
 from strandloom.sources.tables import numbered_lines
 from strandloom.sources.variants import read_vcf
@@ -157,3 +157,17 @@ def test_resumed_chains_draw_what_unbroken_ones_draw(spark, tmp_path):
         assert all(x == y if isinstance(x, (bool, int)) else np.allclose(np.array(x), np.array(y), rtol=1e-7) for x, y in zip(a, b))
     ended = {r["chain"]: r["steps"] for r in run_log.run_log(spark, folder).where("done").collect()}
     assert ended == {r["chain"]: r["steps"] for r in want}
+
+
+@pytest.mark.parametrize("piece,alphabet", [(3, "01"), (8, "0129")])
+def test_kth_neighbours_against_all_pairs(spark, piece, alphabet):
+    rng = random.Random(piece)
+    blocks_of = {("x", n): {"".join(rng.choice(alphabet) for _ in range(length)) for _ in range(count)} for n, (length, count) in enumerate([(9, 30), (5, 4), (70, 25), (3, 1), (0, 1)])}
+    rows = [(c, n, a) for (c, n), own in blocks_of.items() for a in own]
+    got = {(r["chrom"], r["block_ord"], r["alleles"]): (r["k"], r["distance"]) for r in neighbours.kth_neighbour(spark.createDataFrame(rows, "chrom string, block_ord int, alleles string"), 3, 2, piece).collect()}
+    want = {}
+    for (c, n), own in blocks_of.items():
+        k = min(max(len(own) // 3, 2), len(own) - 1)
+        for a in own if k else ():
+            want[c, n, a] = (k, sorted(sum(x != y for x, y in zip(a, b)) for b in own if b != a)[k - 1])
+    assert got == want
