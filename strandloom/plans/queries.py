@@ -420,7 +420,26 @@ ORACLES["cluster_dbscan"] = _sql("""SELECT block_ord, alleles, first_seen, row_n
   GROUP BY block_ord, alleles)""")
 
 
-@_query()
+_CLIQUES = """blk AS (SELECT c_idx, left_c FROM common JOIN indep_c ON c_idx BETWEEN left_c AND right_c),
+  together AS (SELECT p.left_c, a.c_idx AS i, b.c_idx AS j, sum(a.x * b.x) AS xy FROM dosage AS a JOIN dosage AS b ON a.sample_idx = b.sample_idx AND b.c_idx > a.c_idx
+    JOIN blk AS p ON p.c_idx = a.c_idx JOIN blk AS q ON q.c_idx = b.c_idx AND q.left_c = p.left_c GROUP BY ALL),
+  scaled AS (SELECT left_c, i, j, CAST(n * xy - a.s * b.s AS DOUBLE) AS cov, CAST(n * a.q - a.s * a.s AS DOUBLE) * CAST(n * b.q - b.s * b.s AS DOUBLE) AS scale
+    FROM together JOIN stat AS a ON a.c_idx = i JOIN stat AS b ON b.c_idx = j, size),
+  strong AS (SELECT left_c, i, j FROM scaled WHERE scale > 0 AND cov * cov / scale > CAST(0.25 AS DOUBLE)),
+  inside AS (SELECT s.i, s.j, count(*) AS n FROM strong AS s JOIN strong AS t ON t.left_c = s.left_c AND t.i >= s.i AND t.j <= s.j GROUP BY ALL),
+  cand AS (SELECT i, j, CAST((j - i + 1) * 1000000 + j - i AS BIGINT) AS w FROM inside WHERE 4 * n >= (j - i + 1) * (j - i)),
+  ends_ AS (SELECT common.c_idx AS e, coalesce(list({'i': i, 'w': w}) FILTER (i IS NOT NULL), []) AS iv FROM common LEFT JOIN cand ON j = common.c_idx GROUP BY common.c_idx),
+  dp(e, best) AS (SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL
+    SELECT ends_.e, list_append(best, greatest(best[ends_.e + 1], coalesce(list_max(list_transform(iv, lambda x: best[x.i + 1] + x.w)), 0))) FROM dp JOIN ends_ ON ends_.e = dp.e + 1),
+  total AS (SELECT e, best FROM dp ORDER BY e DESC LIMIT 1),
+  trace_(spot, took) AS (SELECT e, CAST(NULL AS BIGINT) FROM total UNION ALL
+    SELECT CASE WHEN best[spot + 2] = best[spot + 1] THEN spot - 1 ELSE pick - 1 END, CASE WHEN best[spot + 2] > best[spot + 1] THEN pick END FROM (
+      SELECT spot, best, list_max(list_transform(list_filter(iv, lambda x: best[x.i + 1] + x.w = best[spot + 2]), lambda x: x.i)) AS pick FROM trace_ JOIN ends_ ON ends_.e = spot, total WHERE spot >= 0)),
+  lefts AS (SELECT took AS left_c FROM trace_ WHERE took IS NOT NULL UNION SELECT left_c FROM indep_c)"""
+
+
+@_query(f"""SELECT block_ord, left_c, right_c FROM (WITH RECURSIVE {_CLIQUES}
+  SELECT row_number() OVER (ORDER BY left_c) - 1 AS block_ord, left_c, coalesce(lead(left_c) OVER (ORDER BY left_c) - 1, (SELECT max(right_c) FROM indep_c)) AS right_c FROM lefts)""")
 def bigld_like_partition(spark, sf_dir):
     _, common, parts = _independent(spark, sf_dir)
     return bigld.bigld_like(common, parts).select("block_ord", "left_c", "right_c")

@@ -183,21 +183,41 @@ def test_kmeans_stops_where_nothing_moves(seed):
     assert (own <= np.square(x[:, None] - centers[None]).sum(axis=2).min(axis=1) + 1e-9).all()
 
 
-def test_cliques_of_a_band_equal_those_of_the_square():
+def brute_stretches(x, reach):
+    strong = np.abs(np.corrcoef(x)) > 0.5
+    out = set()
+    for i in range(len(x)):
+        for j in np.flatnonzero(strong[i, i + 1 : i + 1 + reach]) + i + 1:
+            near = np.triu(strong[i : j + 1, i : j + 1], 1) & ~np.triu(np.ones((j - i + 1,) * 2, dtype=bool), reach + 1)
+            if near.sum() >= (j - i + 1) * (j - i) / 4:
+                out.add((i, int(j)))
+    return out
+
+
+def brute_choice(stretches, m):
+    """The greatest weight of disjoint stretches, end by end."""
+    best = [0]
+    for e in range(m):
+        best.append(max([best[e]] + [best[i] + (e - i + 1) * bigld.UNIT + e - i for i, j in stretches if j == e]))
+    return best[m]
+
+
+@pytest.mark.parametrize("reach", [5, None])
+def test_stretches_and_their_choice_against_the_square(spark, reach):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (12, 80))[np.repeat(np.arange(12), 9)] ^ (rng.random((108, 80)) < 0.1)
-    strong = np.abs(np.corrcoef(x)) > 0.5
-    want = set()
-    for i in range(108):
-        for j in np.flatnonzero(strong[i, i + 1 :]) + i + 1:
-            inside, size = np.triu(strong[i : j + 1, i : j + 1], 1).sum(), j - i + 1
-            if inside >= size * (size - 1) / 4:
-                want.add((i, int(j), float(size)))
-    found = bigld.intervals(bigld.strong_band(x, 0.5))
-    assert set(found) == want and len(found) > 100
-    assert {c for c in want if c[2] <= 6} == set(bigld.intervals(bigld.strong_band(x, 0.5, reach=5)))
-    for m in (1, 2):
-        assert bigld.intervals(bigld.strong_band(x[:m], 2.0)) == []
+    common = spark.createDataFrame([("1", k, x[k].tolist()) for k in range(108)], "chrom string, c_idx int, dosage array<int>")
+    whole = spark.createDataFrame([("1", 0, 107)], "chrom string, left_c int, right_c int")
+    links, placed = bigld.block_links(common, whole, 0.5, reach)
+    assert placed.count() == 108
+    stretches = bigld.dense_stretches(links)
+    want = brute_stretches(x, reach or 107)
+    assert {(r["i"], r["j"]) for r in stretches.collect()} == want and len(want) > 100
+    picked = sorted((r["i"], r["j"]) for r in bigld.best_disjoint(stretches).collect())
+    assert all(a[1] < b[0] for a, b in zip(picked, picked[1:])) and set(picked) <= want
+    assert sum((j - i + 1) * bigld.UNIT + j - i for i, j in picked) == brute_choice(want, 108)
+    alone = bigld.bigld_like(common, spark.createDataFrame([("1", 0, 40), ("1", 41, 107)], "chrom string, left_c int, right_c int"), 2.0, reach)
+    assert sorted((r["left_c"], r["right_c"]) for r in alone.collect()) == [(0, 40), (41, 107)]
 
 
 @pytest.mark.parametrize("reach", [3, None])
