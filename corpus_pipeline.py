@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator scores under its threshold.
 
     A null or empty text scores like a text without matched clauses; repeated
-    rows score alike, so all of them stay or go.
+    rows score alike, so all of them stay or go; where the labels teach no toxic
+    word all rows stay.
     """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
