@@ -8,9 +8,11 @@
    the first ``size - ceil(threshold * size) + 1`` of each, and their sizes lie in
    one of two neighbouring bands.  Shingles that occur once are left out.
    Documents that share such a shingle and band form candidate classes.
-3. Each class's sets go to one task (a class of very many shingles: to one task
-   for each pair of its blocks), which stores them in a prefix tree, frequent shingles
-   first so that paths are shared, and walks it once for each set.  Overlap is
+3. Each class's sets go to one task, which stores them in a prefix tree, frequent
+   shingles first so that paths are shared, and walks it once for each set.  A
+   class of very many shingles is cut into blocks: the first meets each other
+   one, and then what is outside the largest component so far meets that and
+   itself, which is little in a group of near copies of any size.  Overlap is
    counted along shared paths; a subtree is pruned when the lengths that remain
    cannot reach the threshold, or when it already belongs to the set's class.
 4. The links of all tasks are joined into components.
@@ -130,10 +132,12 @@ class PrefixTree:
         return out
 
 
-def join_classes(sets: list[np.ndarray], tokens: int, percent: int, on_link: Callable[[int, int], None] | None = None) -> list[int]:
+def join_classes(
+    sets: list[np.ndarray], tokens: int, percent: int, on_link: Callable[[int, int], None] | None = None, labels: list[int] | None = None
+) -> list[int]:
     """The class (smallest index) of each set under links of ``percent`` Jaccard.
 
-    With ``on_link`` subtrees of the set's own class are walked as well, and it
+    Sets of equal ``labels`` are of one class from the start.  With ``on_link`` subtrees of the set's own class are walked as well, and it
     is told every linked pair, once from each side.
     """
     parent = list(range(len(sets)))
@@ -159,6 +163,10 @@ def join_classes(sets: list[np.ndarray], tokens: int, percent: int, on_link: Cal
                 uniform[node] = below[0]
         return uniform[node]
 
+    if labels is not None:
+        first: dict[int, int] = {}
+        for x, label in enumerate(labels):
+            join(first.setdefault(label, x), x)
     for node in reversed(tree._preorder()):
         for x in tree.members[node][1:]:
             join(tree.members[node][0], x)
@@ -200,11 +208,16 @@ def join_classes(sets: list[np.ndarray], tokens: int, percent: int, on_link: Cal
 
 
 def class_links(
-    ids: list[int], texts: list[str], n: int, percent: int, counted: tuple[list[int], list[bool], list[int]] | None = None
+    ids: list[int],
+    texts: list[str],
+    n: int,
+    percent: int,
+    counted: tuple[list[int], list[bool], list[int]] | None = None,
+    labels: list[int] | None = None,
 ) -> list[tuple[int, int | None, int | None]]:
     """Links of one class of documents: ``(id, smallest id of its component, None)``.
 
-    With ``counted`` (block of each document, whether pairs within that block
+    Documents of equal ``labels`` are known to be of one component.  With ``counted`` (block of each document, whether pairs within that block
     count here, number of its copies) there is ``(id, None, documents linked)``
     for each document as well.
     """
@@ -224,7 +237,8 @@ def class_links(
             if block[x] != block[y] or within[x]:
                 linked[x] += copies[y]
 
-    found = join_classes([np.sort(r) for r in ranks], len(names), percent, on_link)
+    labels = labels and [labels[k] for k in order]
+    found = join_classes([np.sort(r) for r in ranks], len(names), percent, on_link, labels)
     out = [(ids[k], ids[c], None) for k, c in enumerate(found) if ids[k] != ids[c]]
     return out + [(ids[k], None, m) for k, m in enumerate(linked) if m]
 
@@ -268,13 +282,45 @@ def _merge_counts(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([made], pa.binary())], names=["block", "counts"])
 
 
+def _open_pairs(dealt: DataFrame, settled: DataFrame, block_shingles: int) -> DataFrame:
+    """Tasks for pairs of a class that the first block's joins have left open.
+
+    ``dealt`` has ``doc_id, component, weight`` of classes of several blocks,
+    ``settled`` their components so far (``node, component``).  Two documents of
+    one component need no link between them, so those outside a class's largest
+    component meet it and each other, and the largest does not meet itself.  It
+    costs as much as a class has outside; of a group of near copies that is
+    little, however many they are.
+    """
+    label = F.coalesce("label", "doc_id")
+    rows = dealt.join(settled.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", label)
+    sums = rows.groupBy("component", "label").agg(F.sum("weight").alias("weight"))
+    largest = sums.groupBy("component").agg(F.max(F.struct("weight", (-F.col("label")).alias("minus"))).alias("top"), F.sum("weight").alias("all"))
+    half = max(1, block_shingles // 2)
+    parts = lambda weight: F.greatest(F.ceil(weight / half), F.lit(1)).cast("long")
+    largest = largest.where(F.col("all") > F.col("top.weight")).select(
+        "component", (-F.col("top.minus")).alias("main"), parts(F.col("top.weight")).alias("mains"), parts(F.col("all") - F.col("top.weight")).alias("outs")
+    )
+    rows = write_table(rows.join(largest, "component"), "open")
+    own = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("long")
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+    inside = rows.where("label = main").select("doc_id", "component", "label", F.explode(upto("outs")).alias("one"), own("mains").alias("two"))
+    out = rows.where("label <> main").withColumn("own", own("outs"))
+    across = out.select("doc_id", "component", "label", F.col("own").alias("one"), F.explode(upto("mains")).alias("two"))
+    beside = out.withColumn("k", F.explode(upto("outs"))).where("k <> own")
+    beside = beside.select("doc_id", "component", "label", F.least("own", "k").alias("one"), (F.col("mains") + F.greatest("own", "k")).alias("two"))
+    tasks = inside.unionByName(across).unionByName(beside)
+    zero, yes = F.lit(0).cast("long"), F.lit(True)
+    return tasks.select("doc_id", "component", zero.alias("own"), F.lit(1).cast("long").alias("copies"), yes.alias("within"), "one", "two", "label")
+
+
 def ngram_components(
     docs: DataFrame,
     n: int = 3,
     percent: int = 90,
     width_log2: int | None = None,
     most_log2: int = 26,
-    block_shingles: int = 3_000_000,
+    block_shingles: int = 1_000_000,
     sketches: int | None = None,
     count_links: bool = False,
     id_col: str = "doc_id",
@@ -372,34 +418,49 @@ def ngram_components(
     dealt = classes.join(sizes, "component").select(
         "doc_id", "component", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("own")
     )
-    # One task for a class of one block; else one for each pair of blocks.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 2, F.lit(0))))
-    dealt = dealt.withColumn("k", other).withColumn("k", F.when(F.col("k") >= F.col("own"), F.col("k") + 1).otherwise(F.col("k")))
     copies = heads.select(F.col("head").alias("doc_id"), "copies")
     if count_links:
+        # One task for a class of one block; else one for each pair of blocks.
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 2, F.lit(0))))
+        dealt = dealt.withColumn("k", other).withColumn("k", F.when(F.col("k") >= F.col("own"), F.col("k") + 1).otherwise(F.col("k")))
         dealt = dealt.join(copies, "doc_id")
+        # Pairs within a block count in one of its tasks: that with the next block.
+        within = (F.col("blocks") == 1) | (F.col("k") == (F.col("own") + 1) % F.col("blocks"))
     else:
-        dealt = dealt.withColumn("copies", F.lit(1).cast("long"))
+        # The first block meets each other one; what that leaves open comes after.
+        others = F.when((F.col("own") > 0) | (F.col("blocks") == 1), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1))
+        dealt = write_table(dealt, "dealt")
+        multiple, within = dealt.where("blocks > 1"), F.lit(True)
+        dealt = dealt.withColumn("k", F.explode(others)).withColumn("copies", F.lit(1).cast("long"))
+    single = F.col("blocks") == 1
     dealt = dealt.select(
         "doc_id",
         "component",
         "own",
         "copies",
-        # Pairs within a block count in one of its tasks: that with the next block.
-        ((F.col("blocks") == 1) | (F.col("k") == (F.col("own") + 1) % F.col("blocks"))).alias("within"),
-        F.when(F.col("blocks") == 1, 0).otherwise(F.least("own", "k")).alias("one"),
-        F.when(F.col("blocks") == 1, 0).otherwise(F.greatest("own", "k")).alias("two"),
+        within.alias("within"),
+        F.when(single, 0).otherwise(F.least("own", "k")).alias("one"),
+        F.when(single, 0).otherwise(F.greatest("own", "k")).alias("two"),
+        F.lit(None).cast("long").alias("label"),
     )
-    # Hashed on the side of the few; asked for, so that the plan is alike at every size.
-    texts = known.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "own", "within", "copies", "text")
 
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         counted = tuple(table.column(c).to_pylist() for c in ("own", "within", "copies")) if count_links else None
-        found = class_links(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), n, percent, counted)
+        labels = table.column("label").to_pylist()
+        found = class_links(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), n, percent, counted, None if None in labels else labels)
         cols = list(zip(*found)) or [()] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
 
-    found = texts.groupBy("component", "one", "two").applyInArrow(links, "a long, b long, n long")
+    def joined(dealt: DataFrame) -> DataFrame:
+        # Hashed on the side of the few; asked for, so that the plan is alike at every size.
+        texts = known.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "own", "within", "copies", "label", "text")
+        return texts.groupBy("component", "one", "two").applyInArrow(links, "a long, b long, n long")
+
+    found = joined(dealt)
+    if not count_links and not multiple.isEmpty():
+        found = write_table(found, "first-links")
+        rest = _open_pairs(multiple.join(weights, "doc_id"), connected_components(found.select("a", "b"), "first"), block_shingles)
+        found = found.unionByName(joined(rest))
     if count_links:
         found = write_table(found, "class-links")
         counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))

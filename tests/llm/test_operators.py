@@ -527,7 +527,7 @@ def brute_components(texts, n, percent):
     return list(zip(sizes, label))
 
 
-@pytest.mark.parametrize("block_shingles", [3_000_000, 700])
+@pytest.mark.parametrize("block_shingles", [3_000_000, 700, 250])
 def test_ngram_join_against_brute_force(spark, block_shingles):
     rng = np.random.default_rng(8)
     texts = [None, "", " ", "one", "ONE", "one two", "É two x", "é two x"]
