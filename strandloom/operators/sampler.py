@@ -108,19 +108,30 @@ def geweke_max(x: np.ndarray, first: float = 0.1, last: float = 0.5, intervals:
     return worst
 
 
+#: Coordinates that are drawn together, and what of their products stands before each.
+TOGETHER = 48
+BEFORE = np.tri(TOGETHER, k=-1)
+
+
 def _coordinates(products: np.ndarray, residual: np.ndarray, value: np.ndarray, precision: np.ndarray, tau: float, noise: np.ndarray) -> None:
-    """One sweep of normal draws; ``residual`` holds X'(y - fit) and follows each change."""
-    diagonal = products.diagonal()
-    variance = 1.0 / (diagonal * tau + precision)
-    # Plain floats, and one array for all changes: this loop is most of a step.
-    sd, scale, own, olds = (x.tolist() for x in (np.sqrt(variance) * noise, variance * tau, diagonal, value))
-    change, rest = np.empty_like(residual), residual.item
-    for i, (row, old) in enumerate(zip(products, olds)):
-        new = scale[i] * (rest(i) + own[i] * old) + sd[i]
-        np.multiply(row, new - old, out=change)
-        np.subtract(residual, change, out=residual)
-        olds[i] = new
-    value[:] = olds
+    """One sweep of normal draws; ``residual`` holds X'(y - fit) and follows each change.
+
+    A draw depends linearly on those before it, so a run of coordinates is one
+    small lower-triangular system, with the same result as one after the other.
+    """
+    own = products.diagonal()
+    variance = 1.0 / (own * tau + precision)
+    scale = variance * tau
+    right, pivots = own * value + np.sqrt(variance) * noise / scale, 1 / scale
+    for at in range(0, len(value), TOGETHER):
+        run = slice(at, at + TOGETHER)
+        before = products[run, run]
+        before = before * BEFORE[: len(before), : len(before)]
+        sums = residual[run] + right[run] + before @ value[run]
+        before.flat[:: len(before) + 1] = pivots[run]
+        new = np.linalg.solve(before, sums)
+        residual -= (new - value[run]) @ products[run]
+        value[run] = new
 
 
 class Chain:
