@@ -14,7 +14,9 @@ read) or "drop_variant" (its row is left out, and not counted); ``samples`` is a
 comma-separated list of names to keep, in the file's order; ``splitBytes`` is the
 size of a range.  Compressed files (``.gz``, ``.bz2``, ``.zst``) are one split
 each.  A path is a file, a folder (hidden names left out) or several of them,
-comma-separated, on any file system that pyarrow opens.
+comma-separated, on any file system that pyarrow opens.  The files of a folder
+may be the parts of one text, as Spark writes it: a file without a ``#CHROM``
+line has the names of the last one before it.
 """
 
 from __future__ import annotations
@@ -50,14 +52,15 @@ class Split(InputPartition):
     path: str
     begin: int
     end: int | None  # none: to the end of a compressed file
+    head: str | None  # the file with the names of its samples
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def files_of(path: str) -> list[tuple[str, int]]:
-    """Names and sizes of the files of a path, in order of their names."""
+def files_of(path: str) -> list[list[tuple[str, int]]]:
+    """Names and sizes of the files of each file or folder of a path, in order of their names."""
     out = []
     for part in path.split(","):
         system, name = opened(part)
@@ -66,7 +69,7 @@ def files_of(path: str) -> list[tuple[str, int]]:
             raise FileNotFoundError(part)
         prefix = part[: len(part) - len(name)] if part.endswith(name) else ""
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(name))
-        out += sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and (f is info or f.base_name[0] not in "._"))
+        out.append(sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and (f is info or f.base_name[0] not in "._")))
     return out
 
 
@@ -74,38 +77,49 @@ def lines_of(path: str, begin: int, end: int | None) -> Iterator[bytes]:
     """Whole lines that begin in ``[begin, end)``."""
     system, name = opened(path)
     with system.open_input_stream(name) if end is None else system.open_input_file(name) as stream:
-        at = begin
+        at, block = begin, b""
         if begin:
+            # To the first line end at begin - 1 or after; a range within a line reads itself and no more.
             stream.seek(begin - 1)
             at = begin - 1
-        held = b""
-        skip = begin > 0  # up to the first line end at begin - 1 or after
+            while True:
+                block = stream.read(min(BATCH_BYTES, end - 1 - at))
+                if not block:
+                    return
+                cut = block.find(b"\n") + 1
+                at += cut or len(block)
+                if cut:
+                    block = block[cut:]
+                    break
+        held: list[bytes] = []  # pieces of a line without its end
         while True:
-            block = stream.read(BATCH_BYTES)
-            if not block:
-                break
-            held += block
-            *lines, held = held.split(b"\n")
+            *lines, last = block.split(b"\n")
             for line in lines:
-                if skip:
-                    skip = False
-                elif end is None or at < end:
-                    yield line.rstrip(b"\r")
+                if held:
+                    line, held = b"".join([*held, line]), []
+                if end is not None and at >= end:
+                    return
+                yield line.rstrip(b"\r")
                 at += len(line) + 1
-            if end is not None and not skip and at >= end:
+            if last:
+                held.append(last)
+            if end is not None and at >= end:
                 return
-        if held and not skip and (end is None or at < end):
-            yield held.rstrip(b"\r")
+            block = stream.read(BATCH_BYTES)
+            if not block:
+                break
+        if held:
+            yield b"".join(held).rstrip(b"\r")
 
 
-def sample_names(path: str) -> list[str]:
-    """The names of the ``#CHROM`` line, which stands before all variants."""
+def sample_names(path: str) -> list[str] | None:
+    """The names of the ``#CHROM`` line, which stands before all variants; none where there is no such line."""
     for line in lines_of(path, 0, None):
         if line.startswith(b"#CHROM"):
             return line.decode().split("\t")[FIXED_CELLS:]
         if line and not line.startswith(b"#"):
             break
-    raise ValueError(f"{path} has no #CHROM line")
+    return None
 
 
 def alleles(calls: bytes, count: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -134,21 +148,27 @@ class VcfReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         out: list[Split] = []
-        for name, size in files_of(self.path):
-            names = sample_names(name)
-            unknown = set(self.samples) - set(names)
-            if unknown:
-                raise ValueError(f"{name} has no sample {sorted(unknown)[0]!r}")
-            ranges = [(0, None)] if name.endswith(COMPRESSED) else [(b, min(size, b + self.split_bytes)) for b in range(0, size, self.split_bytes)]
-            for begin, end in ranges:
-                out.append(Split(len(out), name, begin, end))
+        for files in files_of(self.path):
+            head = None
+            for name, size in files:
+                names = sample_names(name)
+                if names is not None:
+                    head = name
+                    unknown = set(self.samples) - set(names)
+                    if unknown:
+                        raise ValueError(f"{name} has no sample {sorted(unknown)[0]!r}")
+                ranges = [(0, None)] if name.endswith(COMPRESSED) else [(b, min(size, b + self.split_bytes)) for b in range(0, size, self.split_bytes)]
+                for begin, end in ranges:
+                    out.append(Split(len(out), name, begin, end, head))
+            if files and head is None:
+                raise ValueError(f"{files[0][0]} has no #CHROM line")
         for k, split in enumerate(out):
             split.value = k
         return out
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        names = sample_names(split.path)
-        kept = np.array([k for k, n in enumerate(names) if n in set(self.samples)], dtype=np.int64) if self.samples else None
+        names: list[str] | None = None  # read with the first variant
+        kept = None
         parse = self.missing == "drop_variant" or "hap1" in self.columns or "hap2" in self.columns
         seen: dict[bytes, int] = {}
         rows: list[dict] = []
@@ -156,9 +176,16 @@ class VcfReader(DataSourceReader):
         for line in lines_of(split.path, split.begin, split.end):
             if not line or line.startswith(b"#"):
                 continue
+            if split.head is None:
+                raise ValueError(f"{split.path} has variants before a #CHROM line")
             cells = line.split(b"\t", FIXED_CELLS)
             both = None
             if parse:
+                if names is None:
+                    names = sample_names(split.head) or []
+                    if self.samples:
+                        wanted = set(self.samples)
+                        kept = np.array([k for k, n in enumerate(names) if n in wanted], dtype=np.int64)
                 both = alleles(cells[FIXED_CELLS] if len(cells) > FIXED_CELLS else b"", len(names)) if names else (np.zeros(0, np.int8),) * 2
                 if both is None:
                     if self.missing == "error":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import normal, posterior
 from strandloom.operators import blocks, gram, haplotypes, neighbours, run_log, sampler
-from strandloom.sources import dense, sinks, tables
+from strandloom.sources import dense, sinks, tables, vcf_source
 from strandloom.sources.tables import numbered_lines
 from strandloom.sources.variants import read_vcf
 from strandloom.sources.vcf_source import VcfSource, scan_vcf
@@ -82,6 +82,37 @@ def test_vcf_source_reads_compressed_files(spark, tmp_path):
     assert key(scan_vcf(spark, str(tmp_path / "z.vcf.gz"))) == key(scan_vcf(spark, path))
 
 
+@pytest.mark.parametrize("split", [97, 1 << 20])
+def test_vcf_source_reads_the_parts_of_one_text(spark, tmp_path, split):
+    path = random_vcf(tmp_path, "whole.vcf", 8, 30)
+    lines = open(path).read().splitlines(keepends=True)
+    (tmp_path / "parts").mkdir()
+    head = next(k for k, line in enumerate(lines) if line.startswith("#CHROM"))
+    cuts = [0, head, head + 1, head + 1, head + 12, len(lines)]  # meta lines, names, nothing, two pieces of the rows
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / "parts" / f"part-{k:05d}.txt").write_text("".join(lines[a:b]))
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    parts = str(tmp_path / "parts")
+    assert key(scan_vcf(spark, parts, splitBytes=split)) == key(scan_vcf(spark, path)) == key(read_vcf(spark, parts))
+    some = lambda at: key(spark.read.format("vcf").schema("hap1 array<tinyint>, var_id string").option("samples", "s1,s3").load(at))
+    assert some(parts) == some(path) and len(some(path)) == 30
+    (tmp_path / "parts" / "a.txt").write_text(lines[-1])  # before the names
+    with pytest.raises(Exception, match="before a #CHROM line"):
+        scan_vcf(spark, parts).collect()
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 10])
+def test_every_line_begins_in_one_range(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(vcf_source, "BATCH_BYTES", block)
+    for text in (b"", b"a", b"\n", b"ab\n\ncdefg\r\nh\n", b"x" * 40 + b"\ny"):
+        (tmp_path / "t").write_bytes(text)
+        want = [line.removesuffix(b"\r") for line in text.removesuffix(b"\n").split(b"\n")] if text else []
+        for size in range(1, len(text) + 2):
+            ranges = [(a, min(len(text), a + size)) for a in range(0, len(text), size)]
+            assert [x for a, b in ranges for x in vcf_source.lines_of(str(tmp_path / "t"), a, b)] == want
+        assert list(vcf_source.lines_of(str(tmp_path / "t"), 0, None)) == want
+
+
 @pytest.mark.parametrize("size", [3, 1000])
 def test_dense_rows_of_any_slices(spark, tmp_path, size):
     rng = np.random.default_rng(size)
