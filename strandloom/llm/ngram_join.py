@@ -3,11 +3,14 @@
 1. Every document becomes the set of its distinct n-word shingles.  Equal sets
    are collapsed to the smallest ``doc_id``.
 2. Shingles get one global order: by a bounded sketch of counters (exact up to
-   16, then in steps of a tenth, so that very frequent shingles stay apart), rare
-   first, ties by hash.  Two sets that reach the threshold share a shingle among
-   the first ``size - ceil(threshold * size) + 1`` of each, and their sizes lie in
-   one of two neighbouring bands.  Shingles that occur once are left out.
-   Documents that share such a shingle and band form candidate classes.
+   16, then in steps of a tenth, so that very frequent shingles stay apart).  Sets
+   that reach the threshold are of one size band or of two neighbouring ones, and
+   differ in few shingles.  Cut by hash into more parts than those, two sets have
+   equal parts, one of them among the rarest parts of each (:func:`signatures`);
+   short sets share one of their rarest shingles instead.  Parts with a shingle
+   that occurs once are left out.  Documents that share such a part form candidate
+   classes.  A part has several shingles, so that chance brings few texts
+   together however many there are.
 3. Each class's sets go to one task, which stores them in a prefix tree, frequent
    shingles first so that paths are shared, and walks it once for each set.  A
    class of very many shingles is cut into blocks: the first meets each other
@@ -44,6 +47,7 @@ from strandloom.llm.shared import MERGED_SKETCHES, SLICE_CHARS, batch_slices, co
 
 _BLOCK_LOG2 = 21
 _BAND = np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
 _SCAN_SCHEMA = "doc_id long, n_shingles long, high long, low long, block int, counts binary"
 
 
@@ -272,6 +276,119 @@ def size_band(size: int, percent: int) -> int:
     return int(math.log(size) / step)
 
 
+#: Smallest sets that are cut into parts; those below share a rare shingle.
+LEAST_CUT = 48
+
+
+def size_borders(percent: int, most: int = 1 << 40) -> np.ndarray:
+    """Sizes at which wide bands begin: sets that may link are of one or of neighbouring ones.
+
+    Each spans two factors of ``100 / percent``, so half of all sets have no
+    partner in the next one.
+    """
+    borders = [1]
+    while borders[-1] < most and percent < 100:
+        borders.append(-(-borders[-1] * 10_000 // (percent * percent)) + 1)
+    return np.array(borders)
+
+
+def signatures(own: np.ndarray, held: np.ndarray, percent: int, borders: np.ndarray) -> np.ndarray:
+    """What two different sets that reach the threshold have at least one of in common.
+
+    ``own`` is sorted, ``held`` has the counters.  Linked sets of sizes ``x`` and
+    ``y`` differ in ``d = (100 - percent) * (x + y) / (100 + percent)`` shingles
+    at most.  Of ``m`` parts, ranges of hashes, ``m - d`` are then equal in both.
+    The rarest of these is among the ``d + 1`` rarest of either set, as the others
+    come after it in both; so no more than these are told.
+    """
+    size, out = len(own), []
+    most, band = size * 100 // percent if percent < 100 else 0, int(np.searchsorted(borders, size, "right"))
+    total, short = None, False
+    for band in (band, band + 1):
+        if not size or percent >= 100 or most < borders[band - 1]:
+            break
+        low, high = int(borders[band - 1]), int(borders[band])
+        differ = (100 - percent) * (size + min(high - 1, most)) // (100 + percent)
+        if not differ:
+            continue  # equal sets, which are one already
+        parts = 2 * (100 - percent) * (high - 1) // (100 + percent) + 1
+        parts += parts // 4
+        if low < LEAST_CUT or 2 * parts > low:
+            short = True
+            continue
+        if total is None:
+            total = np.zeros((3, size + 1), dtype=np.uint64)  # hashes, rarity, shingles of one document
+            for row, values in zip(total, (own, 256 - held.astype(np.int64), held <= 1)):
+                np.cumsum(values, out=row[1:], dtype=np.uint64)
+        edges = np.searchsorted(((own >> _HALF) * np.uint64(parts)) >> _HALF, np.arange(parts + 1, dtype=np.uint64))
+        sums, rarity, alone = np.diff(total[:, edges], axis=1)
+        told = mix(mix(sums + np.arange(1, parts + 1, dtype=np.uint64) * _BAND) + np.uint64(band))
+        rarest = np.lexsort((told, rarity))[-differ - 1 :]
+        out.append(told[rarest[alone[rarest] == 0]])
+    if short:
+        order = np.argsort(held, kind="stable")[: size - -(-percent * size // 100) + 1]  # ties by hash
+        chosen = own[order[held[order] > 1]]
+        # Each shingle once for the set's own narrow band and once for the next.
+        out.append(mix((chosen[:, None] + (size_band(size, percent) + np.arange(2, dtype=np.uint64)) * _BAND).ravel()))
+    return np.concatenate(out) if out else own[:0]
+
+
+#: Signatures that a task holds before it hands them on, and bytes of text for each bucket of them.
+HELD_SIGNATURES, BUCKET_BYTES = 1 << 20, 64 << 20
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers of 64 bits, byte by byte so that the equal high ones take no room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def expanded(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
+
+
+def stars(signature: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures in order, the smallest document of each, and ``(document, smallest)`` of the others that have one."""
+    order = np.lexsort((doc, signature))
+    signature, doc = signature[order], doc[order]
+    head = np.append(True, signature[1:] != signature[:-1])[: len(doc)]
+    hub = doc[head][np.cumsum(head) - 1]
+    pairs = np.unique(np.stack([doc, hub], axis=1)[doc != hub], axis=0)
+    return signature[head], doc[head], pairs
+
+
+_BUCKET_SCHEMA = "bucket int, signatures binary, docs binary, pairs binary"
+
+
+def dealt_signatures(signature: np.ndarray, doc: np.ndarray, buckets: int, other: int) -> pa.RecordBatch:
+    """Rows of ``_BUCKET_SCHEMA``: a signature once, pairs found here as such (in bucket ``other``)."""
+    signature, doc, pairs = stars(signature >> np.uint64(16), doc)
+    cuts = np.searchsorted((signature * np.uint64(buckets)) >> np.uint64(48), np.arange(buckets + 1, dtype=np.uint64))
+    rows = []
+    for bucket, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if b > a:
+            rows.append((bucket, squeezed(np.diff(signature[a:b], prepend=np.uint64(0))), squeezed(doc[a:b]), None))
+    if len(pairs):
+        rows.append((other % buckets, None, None, squeezed(pairs.ravel())))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _BUCKET_SCHEMA.split(", ")])
+
+
+def _bucket_pairs(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b``: each document that shares a signature, and the smallest one that has it."""
+    made = lambda pairs: pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    held = []
+    for batch in parts:
+        for row in batch.select(["signatures", "docs", "pairs"]).to_pylist():
+            if row["pairs"] is not None:
+                yield made(expanded(row["pairs"]).reshape(-1, 2))
+            else:
+                held.append((np.cumsum(expanded(row["signatures"])), expanded(row["docs"])))
+    if held:
+        yield made(stars(*map(np.concatenate, zip(*held)))[2])
+
+
 def _merge_counts(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand, total, rng = zstandard.ZstdDecompressor(), None, np.random.default_rng(key[0].as_py())
     for batch in parts:
@@ -378,34 +495,32 @@ def ngram_components(
     # A table of its own, so that the join with it can split the rows of a set with very many copies.
     heads = write_table(heads, "heads")
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    borders, buckets = size_borders(percent), min(1 << 15, max(16, -(-held // BUCKET_BYTES)))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         shingler, expand = Shingler(n), zstandard.ZstdDecompressor()
         counts = np.zeros(1 << width_log2, dtype=np.uint8)
         for block, frame in shared.value:
             counts[block * size : (block + 1) * size] = np.frombuffer(expand.decompress(frame), dtype=np.uint8)
+        found, docs, many, other = [], [], 0, TaskContext.get().partitionId()
         for batch in (part for whole in batches for part in batch_slices(whole, 1, 4 * SLICE_CHARS)):
-            keys, found, many = batch.column(0).to_pylist(), [], []
-            for own in shingler.sets(batch.column(1).to_pylist()):
-                held = counts[own >> np.uint64(64 - width_log2)]
-                first = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
-                order = np.argsort(held, kind="stable")[:first]  # ``own`` is sorted by hash: ties by hash
-                chosen = own[order[held[order] > 1]]
-                # Each shingle once for the set's own band and once for the next.
-                bands = (size_band(max(1, len(own)), percent) + np.arange(2, dtype=np.uint64)) * _BAND
-                found.append(mix((chosen[:, None] + bands).ravel()).view(np.int64))
-                many.append(2 * len(chosen))
-            if any(many):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(keys, dtype=np.int64), many)), pa.array(np.concatenate(found))],
-                    names=["doc_id", "shingle"],
-                )
+            for key, own in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())):
+                told = signatures(own, counts[own >> np.uint64(64 - width_log2)], percent, borders)
+                if len(told):
+                    found.append(told)
+                    docs.append(np.full(len(told), key, dtype=np.int64))
+                    many += len(told)
+            if many >= HELD_SIGNATURES:
+                yield dealt_signatures(np.concatenate(found), np.concatenate(docs), buckets, other)
+                found, docs, many, other = [], [], 0, other + 1
+        if many:
+            yield dealt_signatures(np.concatenate(found), np.concatenate(docs), buckets, other)
 
     known = rows.where("doc_id is not null")
-    postings = write_table(known.mapInArrow(prefixes, "doc_id long, shingle long"), "postings")
-    # A star around each shared shingle: as many rows as postings, never pairs.
-    hubs = postings.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most")
-    raw = postings.join(hubs, "shingle").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    # A star around each shared signature, never pairs; signatures are moved once, packed, and those of one document end there.
+    dealt = known.mapInArrow(postings, _BUCKET_SCHEMA)
+    raw = dealt.groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long").where("a <> b").distinct()
     head_of = linkable.join(heads, ["high", "low", "n_shingles"]).select("doc_id", "head").distinct()
     for side in ("a", "b"):
         raw = raw.join(head_of.withColumnRenamed("doc_id", side), side).drop(side).withColumnRenamed("head", side)

@@ -713,3 +713,37 @@ def test_counters_never_lose_a_repeat_and_stay_apart():
     both = ngram_join.add_counters(counts, counts, rng)
     assert both[2] == 4 and both[3] == 0 and counts[0] + 5 < both[0] < counts[0] + 10
     assert all(abs(ngram_join.size_band(s, 90) - ngram_join.size_band(-(-9 * s // 10), 90)) <= 1 for s in range(1, 5000))
+
+
+@pytest.mark.parametrize("percent", [50, 75, 80, 90, 95, 99, 100])
+def test_linked_sets_share_a_signature(percent):
+    rng, borders = np.random.default_rng(percent), ngram_join.size_borders(percent)
+    for _ in range(300):
+        size = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        differ = int(rng.integers(0, (100 - percent) * 2 * size // (100 + percent) + 2))
+        less = min(int(rng.integers(0, differ + 1)), len(x))
+        y = np.unique(np.concatenate([rng.permutation(x)[less:], rng.integers(0, 1 << 64, differ - less, dtype=np.uint64)]))
+        both, either = np.intersect1d(x, y), np.union1d(x, y)
+        if len(both) == len(either) or 100 * len(both) < percent * len(either):
+            continue
+        held = np.where(np.isin(either, both), rng.integers(2, 60, len(either)), rng.integers(1, 60, len(either)))
+        one, two = (ngram_join.signatures(s, held[np.searchsorted(either, s)], percent, borders) for s in (x, y))
+        assert len(np.intersect1d(one, two))
+
+
+def test_texts_of_the_same_sentences_are_no_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sentences = [" ".join(words(8, 500 + k)) for k in range(400)]
+    texts = [" ".join(sentences[k] for k in rng.choice(400, 40, replace=False)) for _ in range(60)]
+    texts.append(texts[7] + " end")
+    classes, made = {}, ngram_join.connected_components
+
+    def spied(edges, name):
+        classes[name] = made(edges, name)
+        return classes[name]
+
+    monkeypatch.setattr(ngram_join, "connected_components", spied)
+    got = ngram_join.ngram_components(docs_of(spark, texts), width_log2=8).orderBy("doc_id").collect()  # a full sketch, as of many texts
+    assert [r["component_id"] for r in got] == [*range(60), 7]
+    assert classes["shingle-classes"].count() < 10  # most shingles are in some six texts
