@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -747,3 +748,28 @@ def test_texts_of_the_same_sentences_are_no_candidates(spark, monkeypatch):
     got = ngram_join.ngram_components(docs_of(spark, texts), width_log2=8).orderBy("doc_id").collect()  # a full sketch, as of many texts
     assert [r["component_id"] for r in got] == [*range(60), 7]
     assert classes["shingle-classes"].count() < 10  # most shingles are in some six texts
+
+
+def test_signatures_are_packed_and_meet_again():
+    rng = np.random.default_rng(6)
+    signature, doc = rng.integers(0, 1 << 64, 60_000, dtype=np.uint64), np.repeat(np.arange(600, dtype=np.int64), 100)
+    common = rng.integers(0, 1 << 64, 30, dtype=np.uint64)  # that very many documents have
+    signature[rng.permutation(60_000)[:3_000]] = common.repeat(100)
+    rows, pairs = {}, set()
+    for k in range(0, 60_000, 20_000):
+        batch = ngram_join.dealt_signatures(signature[k : k + 20_000], doc[k : k + 20_000], 7, k)
+        assert sum(len(x or b"") for c in ("signatures", "docs", "pairs") for x in batch.column(c).to_pylist()) < 9 * 20_000
+        for row in batch.to_pylist():
+            rows.setdefault(row["bucket"], []).append(row)
+    for bucket, own in rows.items():
+        for made in ngram_join._bucket_pairs((bucket,), iter([pa.RecordBatch.from_pylist(own, schema=batch.schema)])):
+            pairs |= set(zip(*(c.to_pylist() for c in made.columns)))
+    graph = {k: {k} for k in range(600)}
+    for a, b in pairs:
+        joined = graph[a] | graph[b]
+        for x in joined:
+            graph[x] = joined
+    for s in common:
+        assert len({id(graph[k]) for k in set(doc[signature == s].tolist())}) == 1
+    held = {s: set(doc[signature == s].tolist()) for s in common}
+    assert all(any({a, b} <= docs for docs in held.values()) for a, b in pairs)
