@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.hashing import WordHasher, mix, run_hashes
-from strandloom.llm.shared import MERGED_SKETCHES, SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, sketch_tasks, slices, text_bytes, write_table
+from strandloom.llm.shared import MERGED_SKETCHES, SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, remove, sent, sketch_tasks, slices, text_bytes, write_table, written
 
 _BLOCK_LOG2 = 21
 _BAND = np.uint64(0xD6E8FEB86659FD93)
@@ -486,7 +486,9 @@ def ngram_components(
     if sketches > MERGED_SKETCHES:  # a tree of two levels
         part = F.pmod(F.xxhash64("counts"), F.lit(-(-sketches // MERGED_SKETCHES))).alias("part")
         own = own.select("block", part, "counts").groupBy("block", "part").applyInArrow(_merge_counts, "block int, counts binary")
-    sketch = own.groupBy("block").applyInArrow(_merge_counts, "block int, counts binary").collect()  # its size is fixed by width_log2
+    merged, path = written(own.groupBy("block").applyInArrow(_merge_counts, "block int, counts binary"), "sketch")
+    sketch = merged.collect()  # its size is fixed by width_log2
+    remove(docs.sparkSession, path)
     shared = docs.sparkSession.sparkContext.broadcast([(r["block"], bytes(r["counts"])) for r in sketch])
 
     members = scanned.where("block is null").select("doc_id", "n_shingles", "high", "low")
@@ -526,6 +528,9 @@ def ngram_components(
         raw = raw.join(head_of.withColumnRenamed("doc_id", side), side).drop(side).withColumnRenamed("head", side)
     classes = write_table(connected_components(raw.select("a", "b"), "shingle-classes"), "classes")
 
+    # Only texts of a class are moved.
+    candidates = known.join(sent(classes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+
     # Blocks of about as many shingles each, whatever the sizes of the documents.
     weights = linkable.groupBy("doc_id").agg(F.max("n_shingles").alias("weight"))
     classes = classes.withColumnRenamed("node", "doc_id").join(weights, "doc_id")
@@ -568,7 +573,7 @@ def ngram_components(
 
     def joined(dealt: DataFrame) -> DataFrame:
         # Hashed on the side of the few; asked for, so that the plan is alike at every size.
-        texts = known.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "own", "within", "copies", "label", "text")
+        texts = candidates.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "one", "two", "doc_id", "own", "within", "copies", "label", "text")
         return texts.groupBy("component", "one", "two").applyInArrow(links, "a long, b long, n long")
 
     found = joined(dealt)

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strandloom.llm import toxicity
+from strandloom.llm import shared, toxicity
 from tests.llm.test_operators import brute_components, thue_morse, words
 
 #: Names that operators give their own columns, and awkward ones.
@@ -182,3 +183,42 @@ def test_near_copies_are_judged_by_five_words_and_four_fifths(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, sf_dir)
     assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]
+
+
+def shuffle_bytes(spark):
+    """Bytes of all shuffle files on this machine, when no more of them go."""
+    manager, before = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), None
+    while True:
+        files = manager.getAllFiles()
+        now = sum(f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_"))
+        if now == before:
+            return now
+        before = now
+        time.sleep(1)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_near_copy_stage_does_not_shuffle_texts_without_copies(spark, tmp_path, repeated, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 400)) for _ in range(500)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(500 + k, t + " more") for k, t in enumerate(texts[:20])]
+    rows += [(499, texts[30])] if repeated else []  # numbers of its own for each row
+    docs, size = table(spark, rows), sum(len(t) for _, t in rows)
+    before = shuffle_bytes(spark)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    kept.write.parquet(f"{tmp_path}/kept")
+    moved = shuffle_bytes(spark) - before
+    want = sorted((k, t) for k, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == want
+    assert moved < size / 5
+    monkeypatch.setattr(shared, "SENT_KEYS", -1)  # as where there are too many candidates to send
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_bytes(spark)
+    held = spark.conf.get(name, None)
+    df = shared.write_table(spark.range(300_000).withColumn("u", F.expr("uuid()")).repartition(3, "id"), "moved")
+    assert df.count() == 300_000 and spark.conf.get(name, None) == held
+    assert shuffle_bytes(spark) - before < 1_000_000
