@@ -102,7 +102,8 @@ def map_effects(
     that can be watched (``run_log.run_log``) and gone on from after a stop.
     """
     covariates = intercept(phenotype) if covariates is None else covariates
-    names = design.select("hap_ord", "hap_name").distinct().withColumn("block", haplotypes.block_of())
+    # A row a column, and read for every result: so the design is not made again for each.
+    names = written(design.select("hap_ord", "hap_name").distinct().withColumn("block", haplotypes.block_of()), "names")
     firsts = names.groupBy("block").agg(F.min("hap_ord").alias("ord"))
     # One row a block: numbers in the order of the first column.
     firsts = firsts.withColumn("block_no", F.row_number().over(Window.orderBy("ord")) - 1)

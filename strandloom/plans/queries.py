@@ -16,6 +16,7 @@ from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld
 from strandloom.operators import variants as v
 from strandloom.plans.jobs import map_effects
 from strandloom.sources import sinks
+from strandloom.sources.scratch import written
 from strandloom.sources.variants import fixture_variants
 
 VARIANTS = 304
@@ -446,8 +447,11 @@ def bigld_like_partition(spark, sf_dir):
 
 
 def simulated_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Design, phenotype with two planted effects and noise from events, covariates."""
-    design, _ = _design(spark, sf_dir)
+    """Design, phenotype with two planted effects and noise from events, covariates.
+
+    Design and phenotype are tables of their own: all that follows reads them many times.
+    """
+    design = written(_design(spark, sf_dir)[0], "design")
     dose = lambda k: F.sum(F.when(F.col("hap_ord") == k, F.col("dose")).otherwise(0))
     genetic = design.groupBy("sample_idx").agg((1.5 * dose(5) - 1.2 * dose(60)).alias("g"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("int").alias("sample_idx"), "value")
@@ -455,7 +459,7 @@ def simulated_study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     noise = events.join(F.broadcast(scale)).select("sample_idx", ((F.col("value") - F.col("m")) / F.col("s")).alias("noise"))
     samples = _samples(spark, sf_dir)
     rows = samples.join(genetic, "sample_idx", "left").join(noise, "sample_idx", "left")
-    phenotype = rows.select("sample_idx", (F.coalesce("g", F.lit(0.0)) + F.coalesce("noise", F.lit(0.0))).alias("y"))
+    phenotype = written(rows.select("sample_idx", (F.coalesce("g", F.lit(0.0)) + F.coalesce("noise", F.lit(0.0))).alias("y")), "phenotype")
     label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 2 = 0").select(
         F.expr("vec_id div 2").cast("int").alias("sample_idx"), F.lit(1).alias("c_idx"), F.col("label").cast("double").alias("value")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import posterior
 from strandloom.operators import bigld, blocks, clustering, gram, haplotypes, ld, sampler
 from strandloom.operators import variants as v
-from strandloom.plans import jobs
+from strandloom.plans import jobs, queries
 from strandloom.sources import sinks, tables
 from strandloom.sources.variants import read_vcf
 
@@ -350,3 +350,27 @@ def test_whole_job_on_a_vcf(spark, tmp_path):
     assert result.design.agg(F.max("dose")).first()[0] <= 2
     common = v.common_variants(read_vcf(spark, str(path)))
     assert common.count() <= 32
+
+
+def test_effects_make_a_design_no_more_than_twice(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(s, h, f"1@100-{200 + h // 3}_{h % 3}", 1 + (s + h) % 2) for s in range(40) for h in range(6) if (s * 7 + h * 3) % 5 < 3]
+    source = spark.createDataFrame(rows, "sample_idx int, hap_ord int, hap_name string, dose int")
+    design = source.mapInArrow(counted, source.schema)
+    phenotype = spark.range(40).select(F.col("id").cast("int").alias("sample_idx"), F.sin("id").alias("y"))
+    settings = sampler.Settings(burn_in=20, keep=60, slide=20, max_iter=200)
+    result = jobs.map_effects(design, phenotype, chains=2, settings=settings)
+    assert result.haplotype_pip.count() == result.beta.count() == 6 and result.block_pip.count() == 2
+    assert made.value <= 2 * len(rows)
+
+
+def test_the_simulated_study_is_made_once(spark, sf_dir):
+    design, phenotype, _ = queries.simulated_study(spark, sf_dir)
+    for df, name in ((design, "design"), (phenotype, "phenotype")):
+        assert df.inputFiles() and all(f"/{name}-" in x for x in df.inputFiles())
