@@ -7,6 +7,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -26,7 +27,8 @@ class WordHasher:
 
     Arrow cuts the texts and finds their distinct words, byte for byte; each of
     those is hashed once by keyed BLAKE2b, so no word can be made to meet
-    another by arithmetic.  ``seed`` is the key.
+    another by arithmetic.  ``seed`` is the key.  :meth:`short` has 64 bits by
+    keyed SipHash, a whole array of words at a time.
     """
 
     def __init__(self, seed: int = 1, lower: bool = False):
@@ -34,9 +36,7 @@ class WordHasher:
 
     def halves(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both 64-bit halves of all words' hashes, and where each text's words begin (one more at the end)."""
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        texts = pc.replace_substring_regex(texts, r"[\t-\r]", " ")
-        cut = pc.split_pattern(pc.ascii_lower(texts) if self._lower else texts, " ")
+        cut = self._cut(texts)
         coded = cut.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         key = self._key
@@ -49,6 +49,22 @@ class WordHasher:
         codes = codes[inside]
         return hashes[codes, 0], hashes[codes, 1], bounds
 
+    def _cut(self, texts: pa.Array | list[str]) -> pa.Array:
+        """The words of each text, with empty ones where separators meet."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.replace_substring_regex(texts, r"[\t-\r]", " ")
+        return pc.split_pattern(pc.ascii_lower(texts) if self._lower else texts, " ")
+
+    def short(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of 64 bits of all words, and the bounds of :meth:`halves`."""
+        cut = self._cut(texts)
+        words = cut.flatten()
+        inside = pc.greater(pc.binary_length(words), 0)
+        before = np.concatenate(([0], np.cumsum(inside.to_numpy(zero_copy_only=False))))
+        bounds = before[np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy())))]
+        words = words.filter(inside).cast(pa.binary()).to_numpy(zero_copy_only=False)
+        return hash_array(words, hash_key=self._key.hex(), categorize=False), bounds
+
     def words(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The first halves and the bounds of :meth:`halves`."""
         first, _, bounds = self.halves(texts)

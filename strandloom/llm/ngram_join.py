@@ -11,13 +11,15 @@
    that occurs once are left out.  Documents that share such a part form candidate
    classes.  A part has several shingles, so that chance brings few texts
    together however many there are.
-3. Each class's sets go to one task, which stores them in a prefix tree, frequent
-   shingles first so that paths are shared, and walks it once for each set.  A
-   class of very many shingles is cut into blocks: the first meets each other
-   one, and then what is outside the largest component so far meets that and
-   itself, which is little in a group of near copies of any size.  Overlap is
-   counted along shared paths; a subtree is pruned when the lengths that remain
-   cannot reach the threshold, or when it already belongs to the set's class.
+3. Each class's sets go to one task, which leaves out those with too few shingles
+   in common with any other, stores the rest in a prefix tree, frequent shingles
+   first so that paths are shared, and walks it for each set outside one chosen
+   component, a whole array of nodes at a time.  A class of very many shingles is
+   cut into blocks: the first meets each other one, and then what is outside the
+   largest component so far meets that and itself, which is little in a group of
+   near copies of any size.  Overlap is summed along shared paths; subtrees whose
+   sizes cannot reach the threshold are passed over, and so are shingles that only
+   one set has.
 4. The links of all tasks are joined into components.
 
 A link is decided on all shingles of both sets (64 bits of keyed hashes of their
@@ -32,6 +34,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
-from strandloom.llm.hashing import WordHasher, mix, run_hashes
+from strandloom.llm.hashing import WordHasher, mix, run_hashes, run_starts
 from strandloom.llm.shared import MERGED_SKETCHES, SLICE_CHARS, batch_slices, counters_log2, free_worker, id_and_text, remove, sent, sketch_tasks, slices, text_bytes, write_table, written
 
 _BLOCK_LOG2 = 21
@@ -57,17 +60,31 @@ class Shingler:
     def __init__(self, n: int):
         self.n, self._hasher = n, WordHasher(3, lower=True)
 
+    def flat(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of all texts one after another, and where each begins (one more at the end)."""
+        words, bounds = self._hasher.short(texts)
+        many = np.diff(bounds)
+        starts = run_starts(bounds, self.n)
+        sets = run_hashes(words, self.n)[starts] if len(starts) else words[:0]
+        counts = np.maximum(many - self.n + 1, 0)
+        ends = np.cumsum(counts)
+        for a, b in zip((ends - counts).tolist(), ends.tolist()):
+            sets[a:b].sort()
+        begins = np.concatenate(([0], ends))
+        first = np.append(True, sets[1:] != sets[:-1])[: len(sets)]
+        first[begins[:-1][counts > 0]] = True
+        kept = np.concatenate(([0], np.cumsum(first)))[begins]
+        sets = sets[first]
+        few = np.flatnonzero((many > 0) & (many < self.n))  # all their words are one shingle
+        if not len(few):
+            return sets, kept
+        whole = [mix(run_hashes(words[a:b], b - a) + np.uint64(b - a)) for a, b in zip(bounds[few].tolist(), bounds[few + 1].tolist())]
+        return np.insert(sets, kept[few], np.concatenate(whole)), kept + np.searchsorted(few, np.arange(len(kept)))
+
     def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
         for cut in slices(texts, 4 * SLICE_CHARS):
-            words, bounds = self._hasher.words(texts[cut])
-            runs = run_hashes(words, self.n)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if b - a >= self.n:
-                    yield np.unique(runs[a : b - self.n + 1])
-                elif b > a:
-                    yield mix(run_hashes(words[a:b], b - a) + np.uint64(b - a))
-                else:
-                    yield runs[:0]
+            sets, bounds = self.flat(texts[cut])
+            yield from (sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
 
 
 class PrefixTree:
@@ -136,13 +153,87 @@ class PrefixTree:
         return out
 
 
+class TreeWalk:
+    """Overlaps of a set with all sets of a prefix tree, along its shared paths, a whole array of nodes at a time.
+
+    ``shared`` tells which integers are in several sets; others count for no overlap and are left out of the edges.
+    """
+
+    def __init__(self, tree: PrefixTree, shared: np.ndarray):
+        nodes = tree._preorder()
+        at = {node: k for k, node in enumerate(nodes)}
+        edges = [tree.sets[tree.path[x]][tree.begin[x] : tree.end[x]] for x in nodes]
+        edges = [e[shared[e]] for e in edges]
+        self._edges = np.concatenate(edges)
+        self._bounds = np.cumsum([0] + [len(e) for e in edges])
+        self._sums = np.zeros(len(self._edges) + 1, dtype=np.int32)
+        self._stop = np.arange(1, len(nodes) + 1)  # where the subtree of each node ends
+        for k in range(len(nodes) - 1, -1, -1):
+            for kid in tree.kids[nodes[k]]:
+                self._stop[k] = max(self._stop[k], self._stop[at[kid]])
+        self._member = np.array([tree.members[x][0] if tree.members[x] else -1 for x in nodes])
+        self._size = np.array([tree.end[x] for x in nodes])
+        # The root has no edge; what hangs on it is passed over as a whole where its sizes rule it out.
+        tops = sorted(at[x] for x in tree.kids[tree.root])
+        self._top = np.array(tops, dtype=np.int64)
+        self._least, self._most = (np.array([size[nodes[k]] for k in tops], dtype=np.int64) for size in (tree.least, tree.most))
+
+    def linked(self, mark: np.ndarray, size: int, percent: int) -> list[int]:
+        """One of each equal sets that reach the threshold with the set of ``size`` integers where ``mark`` is true."""
+        near = (self._most * 100 >= size * percent) & (self._least * percent <= size * 100)
+        if near.all():
+            nodes, begins = slice(None), self._bounds
+            edges, stop = self._edges, self._stop
+        else:
+            begin, end = self._top[near], self._stop[self._top[near]]
+            nodes = _ranges(begin, end - begin)
+            first, last = self._bounds[begin], self._bounds[end]
+            edges = self._edges[_ranges(first, last - first)]
+            begins = np.concatenate(([0], np.cumsum(self._bounds[nodes + 1] - self._bounds[nodes])))
+            stop = self._stop[nodes] - np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin)
+        sums = self._sums[: len(edges) + 1]
+        np.cumsum(mark[edges], dtype=np.int32, out=sums[1:])
+        gains = np.diff(sums[begins]).astype(np.int64)
+        overlap = np.cumsum(gains - np.bincount(stop, gains, len(gains) + 1)[:-1].astype(np.int64))
+        member = self._member[nodes]
+        return member[(member >= 0) & (overlap * (100 + percent) >= percent * (size + self._size[nodes]))].tolist()
+
+
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``begin, begin + 1, ...`` of each range, one after another."""
+    return np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def linkable_sets(sets: list[np.ndarray], tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets have enough integers in common with others to reach the threshold, and which integers are in several of these.
+
+    What only one set has is in no overlap; a set that goes takes its integers
+    with it, so this is looked at again as long as it rules out many.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    flat, whose, left = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes > 0
+    while True:
+        shared = np.bincount(flat, minlength=tokens) > 1
+        common = np.bincount(whose, shared[flat], len(sets)).astype(np.int64)
+        least = np.maximum(-(-sizes * percent // 100), sizes[left].min(initial=1 << 40))
+        stays = left & (common * (100 + percent) >= percent * (sizes + least))
+        gone, left = int(left.sum() - stays.sum()), stays
+        if not gone:
+            return left, shared
+        kept = left[whose]
+        flat, whose = flat[kept], whose[kept]
+        if 20 * gone < left.sum():
+            return left, np.bincount(flat, minlength=tokens) > 1
+
+
 def join_classes(
     sets: list[np.ndarray], tokens: int, percent: int, on_link: Callable[[int, int], None] | None = None, labels: list[int] | None = None
 ) -> list[int]:
     """The class (smallest index) of each set under links of ``percent`` Jaccard.
 
-    Sets of equal ``labels`` are of one class from the start.  With ``on_link`` subtrees of the set's own class are walked as well, and it
-    is told every linked pair, once from each side.
+    Sets of equal ``labels`` are of one class from the start.  One class is chosen
+    whose sets need not walk the tree: those outside walk it and meet them.  With
+    ``on_link`` all sets walk, and it is told every linked pair, once from each side.
     """
     parent = list(range(len(sets)))
 
@@ -156,58 +247,36 @@ def join_classes(
         x, y = find(x), find(y)
         parent[max(x, y)] = min(x, y)
 
-    tree = PrefixTree(sets)
-    uniform: list[int | None] = [None] * len(tree.begin)
-
-    def settled(node: int) -> int | None:
-        """Any member of the one class that all sets below belong to, if so."""
-        if uniform[node] is None:
-            below = [uniform[k] for k in tree.kids[node]] + tree.members[node]
-            if None not in below and len({find(x) for x in below}) == 1:
-                uniform[node] = below[0]
-        return uniform[node]
-
     if labels is not None:
         first: dict[int, int] = {}
         for x, label in enumerate(labels):
             join(first.setdefault(label, x), x)
-    for node in reversed(tree._preorder()):
-        for x in tree.members[node][1:]:
-            join(tree.members[node][0], x)
-        settled(node)
-    mark = np.zeros(tokens, dtype=bool)
-    for number in tree.order:
-        own = sets[number]
-        size = len(own)
-        mark[own] = True
-        todo = [(tree.root, 0)]
-        while todo:
-            node, overlap = todo.pop()
-            if tree.most[node] * 100 < size * percent or tree.least[node] * percent > size * 100:
+    left, shared = linkable_sets(sets, tokens, percent) if sets else (np.zeros(0, dtype=bool), None)
+    numbers = np.flatnonzero(left).tolist()
+    if len(numbers) > 1:
+        tree = PrefixTree([sets[x] for x in numbers])
+        equal = {}
+        for members in tree.members:
+            members = [numbers[x] for x in members]
+            for x in members:
+                equal[x] = members
+                join(members[0], x)
+        order = [numbers[x] for x in tree.order]
+        # The first begins with the most frequent integers, so it is near the middle of a group.
+        chosen = order[0] if labels is None else find(first[Counter(labels).most_common(1)[0][0]])
+        walk, mark = TreeWalk(tree, shared), np.zeros(tokens, dtype=bool)
+        for k, number in enumerate(order):
+            if on_link is None and (number != equal[number][0] or (k or labels is not None) and find(number) == find(chosen)):
                 continue
-            if on_link is None:
-                known = settled(node)
-                if known is not None and find(known) == find(number):
-                    continue
-            begin, end = tree.begin[node], tree.end[node]
-            left = size
-            if end > begin:
-                edge = sets[tree.path[node]][begin:end]
-                overlap += int(np.count_nonzero(mark[edge]))
-                left = size - int(np.searchsorted(own, edge[-1], "right"))
-            most = overlap + min(tree.most[node] - end, left)
-            if most * (100 + percent) < percent * (size + tree.least[node]):
-                continue
-            if tree.members[node]:
-                other = tree.members[node][0]
-                if 100 * overlap >= percent * (size + len(sets[other]) - overlap):
-                    join(number, other)
-                    if on_link is not None:
-                        for x in tree.members[node]:
-                            if x != number:
-                                on_link(number, x)
-            todo += [(kid, overlap) for kid in tree.kids[node]]
-        mark[own] = False
+            mark[sets[number]] = True
+            for other in walk.linked(mark, len(sets[number]), percent):
+                other = numbers[other]
+                join(number, other)
+                if on_link is not None:
+                    for x in equal[other]:
+                        if x != number:
+                            on_link(number, x)
+            mark[sets[number]] = False
     return [find(x) for x in range(len(sets))]
 
 
@@ -253,21 +322,28 @@ COUNTER_VALUES = np.where(np.arange(256) <= 16, np.arange(256), 16 * 1.1 ** (np.
 _RISE = np.append(1 / np.diff(COUNTER_VALUES), 0.0)
 
 
-def count_up(counts: np.ndarray, cells: np.ndarray, rng: np.random.Generator) -> None:
-    """Count distinct ``cells`` once more; never less than two after two calls."""
+def count_up(counts: np.ndarray, cells: np.ndarray, rng: np.random.Generator, times: np.ndarray | int = 1) -> None:
+    """Count distinct ``cells`` so many times more; never less than two after two calls."""
     held = counts[cells]
-    rise = held < 16
-    high = np.flatnonzero(~rise)
-    rise[high] = rng.random(len(high)) < _RISE[held[high]]
-    counts[cells] = held + rise
+    raised = held.astype(np.int64) + times  # exact up to 16
+    high = np.flatnonzero(raised > 16)
+    if len(high):
+        total = COUNTER_VALUES[held[high]] + np.broadcast_to(times, held.shape)[high]
+        low = np.minimum(np.searchsorted(COUNTER_VALUES, total, "right") - 1, 254)
+        raised[high] = low + (rng.random(len(low)) < (total - COUNTER_VALUES[low]) * _RISE[low])
+    counts[cells] = raised
+
+
+#: The lower counter and the chance of the next one, for the sum of each two.
+_SUMS = COUNTER_VALUES[:, None] + COUNTER_VALUES
+_SUM_LOW = np.minimum(np.searchsorted(COUNTER_VALUES, _SUMS.ravel(), "right") - 1, 254).astype(np.uint8)
+_SUM_OVER = ((_SUMS.ravel() - COUNTER_VALUES[_SUM_LOW]) * _RISE[_SUM_LOW]).astype(np.float32)
 
 
 def add_counters(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Counters of the sums; exact where these are up to 16."""
-    total = COUNTER_VALUES[x] + COUNTER_VALUES[y]
-    low = np.minimum(np.searchsorted(COUNTER_VALUES, total, "right") - 1, 254)
-    over = (total - COUNTER_VALUES[low]) * _RISE[low]
-    return (low + (rng.random(len(total)) < over)).astype(np.uint8)
+    both = x.astype(np.uint16) * np.uint16(256) + y
+    return _SUM_LOW[both] + (rng.random(len(both), dtype=np.float32) < _SUM_OVER[both])
 
 
 def size_band(size: int, percent: int) -> int:
@@ -301,36 +377,59 @@ def signatures(own: np.ndarray, held: np.ndarray, percent: int, borders: np.ndar
     The rarest of these is among the ``d + 1`` rarest of either set, as the others
     come after it in both; so no more than these are told.
     """
-    size, out = len(own), []
-    most, band = size * 100 // percent if percent < 100 else 0, int(np.searchsorted(borders, size, "right"))
-    total, short = None, False
-    for band in (band, band + 1):
-        if not size or percent >= 100 or most < borders[band - 1]:
-            break
-        low, high = int(borders[band - 1]), int(borders[band])
-        differ = (100 - percent) * (size + min(high - 1, most)) // (100 + percent)
-        if not differ:
-            continue  # equal sets, which are one already
+    return signatures_of_all(own, np.array([0, len(own)]), held, percent, borders)[0]
+
+
+def signatures_of_all(sets: np.ndarray, bounds: np.ndarray, held: np.ndarray, percent: int, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of sets that stand one after another, and the number of each one's set."""
+    sizes = np.diff(bounds)
+    out, whose = [sets[:0]], [np.empty(0, dtype=np.int64)]
+    if percent >= 100 or not len(sets):
+        return out[0], whose[0]
+    most, short = sizes * 100 // percent, np.zeros(len(sizes), dtype=bool)
+    own_band = np.searchsorted(borders, sizes, "right")
+    # Before each shingle and at the end: sums of hashes, of rarity, and of shingles of one document.
+    total = np.zeros((3, len(sets) + 1), dtype=np.uint64)
+    for row, values in zip(total, (sets, 256 - held.astype(np.int64), held <= 1)):
+        np.cumsum(values, out=row[1:], dtype=np.uint64)
+    for band in (own_band, own_band + 1):
+        low, high = borders[band - 1], borders[np.minimum(band, len(borders) - 1)]
+        differ = (100 - percent) * (sizes + np.minimum(high - 1, most)) // (100 + percent)
         parts = 2 * (100 - percent) * (high - 1) // (100 + percent) + 1
         parts += parts // 4
-        if low < LEAST_CUT or 2 * parts > low:
-            short = True
+        here = (sizes > 0) & (most >= low) & (differ > 0)  # no difference: equal sets, which are one already
+        cut = (low >= LEAST_CUT) & (2 * parts <= low)
+        short |= here & ~cut
+        chosen = np.flatnonzero(here & cut)
+        if not len(chosen):
             continue
-        if total is None:
-            total = np.zeros((3, size + 1), dtype=np.uint64)  # hashes, rarity, shingles of one document
-            for row, values in zip(total, (own, 256 - held.astype(np.int64), held <= 1)):
-                np.cumsum(values, out=row[1:], dtype=np.uint64)
-        edges = np.searchsorted(((own >> _HALF) * np.uint64(parts)) >> _HALF, np.arange(parts + 1, dtype=np.uint64))
-        sums, rarity, alone = np.diff(total[:, edges], axis=1)
-        told = mix(mix(sums + np.arange(1, parts + 1, dtype=np.uint64) * _BAND) + np.uint64(band))
-        rarest = np.lexsort((told, rarity))[-differ - 1 :]
-        out.append(told[rarest[alone[rarest] == 0]])
-    if short:
-        order = np.argsort(held, kind="stable")[: size - -(-percent * size // 100) + 1]  # ties by hash
-        chosen = own[order[held[order] > 1]]
-        # Each shingle once for the set's own narrow band and once for the next.
-        out.append(mix((chosen[:, None] + (size_band(size, percent) + np.arange(2, dtype=np.uint64)) * _BAND).ravel()))
-    return np.concatenate(out) if out else own[:0]
+        parts, differ, size = parts[chosen], differ[chosen], sizes[chosen]
+        first = np.cumsum(parts) - parts
+        shingles = _ranges(bounds[chosen], size)
+        part = ((sets[shingles] >> _HALF) * np.repeat(parts.astype(np.uint64), size)) >> _HALF
+        filled = np.bincount(part.astype(np.int64) + np.repeat(first, size), minlength=int(parts.sum()))
+        after = np.cumsum(filled) + np.repeat(bounds[chosen] - (np.cumsum(size) - size), parts)
+        sums, rarity, alone = total[:, after] - total[:, after - filled]
+        place, number = _ranges(np.ones(len(parts), dtype=np.int64), parts).astype(np.uint64), np.repeat(np.arange(len(parts)), parts)
+        told = mix(mix(sums + place * _BAND) + np.repeat(band[chosen].astype(np.uint64), parts))
+        order = np.lexsort((told, rarity, number))
+        rarest = order[np.repeat(first + parts, parts) - np.arange(len(order)) <= np.repeat(differ + 1, parts)]
+        rarest = rarest[alone[rarest] == 0]
+        out.append(told[rarest])
+        whose.append(chosen[number[rarest]])
+    chosen = np.flatnonzero(short)
+    if len(chosen):
+        size = sizes[chosen]
+        shingles, number = _ranges(bounds[chosen], size), np.repeat(np.arange(len(chosen)), size)
+        order = np.lexsort((held[shingles], number))  # ties by hash
+        rarest = order[_ranges(np.zeros(len(size), dtype=np.int64), size) < np.repeat(size - -(-percent * size // 100) + 1, size)]
+        rarest = rarest[held[shingles[rarest]] > 1]
+        narrow, which = np.unique(size, return_inverse=True)
+        band = np.array([size_band(x, percent) for x in narrow.tolist()], dtype=np.uint64)[which][number[rarest]]
+        for next_one in range(2):  # each shingle once for the set's own narrow band and once for the next
+            out.append(mix(sets[shingles[rarest]] + (band + np.uint64(next_one)) * _BAND))
+            whose.append(chosen[number[rarest]])
+    return np.concatenate(out), np.concatenate(whose)
 
 
 #: Signatures that a task holds before it hands them on, and bytes of text for each bucket of them.
@@ -466,14 +565,15 @@ def ngram_components(
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = ["doc_id", "n_shingles", "high", "low", "block", "counts"]
         for batch in (part for whole in batches for part in batch_slices(whole, 1, 4 * SLICE_CHARS)):
-            out = []
-            for key, own in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())):
-                cells = own >> np.uint64(64 - width_log2)  # sorted, as the set is
-                count_up(counts, cells[np.append(True, cells[1:] != cells[:-1])] if len(cells) else cells, rng)
-                prints = (own, mix(own)) if len(own) else (np.zeros(1, np.uint64),) * 2
-                high, low = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in prints)
-                out.append((key, len(own), high, low, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            sets, bounds = shingler.flat(batch.column(1))
+            cells = sets >> np.uint64(64 - width_log2)  # sorted within a set, as it is
+            first = np.append(True, cells[1:] != cells[:-1])[: len(cells)]
+            first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+            distinct, times = np.unique(cells[first], return_counts=True)
+            count_up(counts, distinct, rng, times)
+            prints = [np.concatenate(([np.uint64(0)], np.cumsum(x, dtype=np.uint64)))[bounds] for x in (sets, mix(sets))]
+            out = [batch.column(0), pa.array(np.diff(bounds), pa.int64()), *(pa.array(np.diff(x).view(np.int64)) for x in prints)]
+            yield pa.RecordBatch.from_arrays(out + [pa.nulls(batch.num_rows, k) for k in kinds[4:]], names=names)
         squeeze = zstandard.ZstdCompressor(level=1)
         for block in range(len(counts) // size):
             part = counts[block * size : (block + 1) * size]
@@ -507,12 +607,11 @@ def ngram_components(
             counts[block * size : (block + 1) * size] = np.frombuffer(expand.decompress(frame), dtype=np.uint8)
         found, docs, many, other = [], [], 0, TaskContext.get().partitionId()
         for batch in (part for whole in batches for part in batch_slices(whole, 1, 4 * SLICE_CHARS)):
-            for key, own in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())):
-                told = signatures(own, counts[own >> np.uint64(64 - width_log2)], percent, borders)
-                if len(told):
-                    found.append(told)
-                    docs.append(np.full(len(told), key, dtype=np.int64))
-                    many += len(told)
+            sets, bounds = shingler.flat(batch.column(1))
+            told, whose = signatures_of_all(sets, bounds, counts[sets >> np.uint64(64 - width_log2)], percent, borders)
+            found.append(told)
+            docs.append(batch.column(0).to_numpy()[whose])
+            many += len(told)
             if many >= HELD_SIGNATURES:
                 yield dealt_signatures(np.concatenate(found), np.concatenate(docs), buckets, other)
                 found, docs, many, other = [], [], 0, other + 1

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -750,6 +751,66 @@ def test_texts_of_the_same_sentences_are_no_candidates(spark, monkeypatch):
     assert classes["shingle-classes"].count() < 10  # most shingles are in some six texts
 
 
+def test_signatures_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 64, int(size), dtype=np.uint64)) for size in [0, 1, 2, 5, 900, *rng.integers(0, 400, 60), 0]]
+    bounds, flat = np.cumsum([0] + [len(x) for x in sets]), np.concatenate(sets)
+    held = rng.integers(0, 60, len(flat)).astype(np.uint8)
+    for percent in (60, 80, 90, 100):
+        borders = ngram_join.size_borders(percent)
+        told, whose = ngram_join.signatures_of_all(flat, bounds, held, percent, borders)
+        for k, own in enumerate(sets):
+            assert sorted(told[whose == k]) == sorted(ngram_join.signatures(own, held[bounds[k] : bounds[k + 1]], percent, borders))
+
+
+def test_shingle_sets_of_many_texts_are_those_of_each():
+    texts = ["a b c d a b c d a b", "", "a", " \n", "A b", "b a", "x  y\tz", "a b c", "", "c b a", "a b"]
+    sets, bounds = ngram_join.Shingler(3).flat(texts)
+    split = [t.lower().split() for t in texts]
+    want = [{tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} if w else set() for w in split]
+    own = [sets[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert [len(x) for x in own] == [len(x) for x in want] and all((np.diff(x) > 0).all() for x in own)
+    for a, one in zip(own, want):
+        for b, two in zip(own, want):
+            assert len(np.intersect1d(a, b)) == len(one & two)
+
+
+def test_a_group_around_one_text_costs_each_set_alike():
+    def cost(count):
+        rng, base, sets = np.random.default_rng(count), np.arange(300, dtype=np.uint32), []
+        for _ in range(count):
+            gone = rng.choice(300, int(rng.choice([3, 20, 60])), replace=False)  # the first are near copies, others of nothing
+            sets.append(np.sort(np.append(np.delete(base, gone), rng.choice(np.arange(300, 900, dtype=np.uint32), len(gone), replace=False))))
+        calls = [0]
+
+        def count_call(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(count_call)
+        try:
+            got = ngram_join.join_classes(sets, 900, 90)
+        finally:
+            sys.setprofile(None)
+        held = np.zeros((count, 900))
+        for row, own in zip(held, sets):
+            row[own] = 1
+        linked, label = 190 * (held @ held.T) >= 90 * 600, np.arange(count)
+        for _ in range(count):
+            label, before = np.array([label[x].min() for x in linked]), label
+            if (label == before).all():
+                break
+        assert got == label.tolist() and max(Counter(got).values()) > count // 4
+        return calls[0] / count
+
+    assert cost(400) < 1.5 * cost(100)
+
+
+def test_counters_stay_at_their_highest():
+    counts = np.array([255, 254, 15, 16], dtype=np.uint8)
+    ngram_join.count_up(counts, np.arange(4), np.random.default_rng(2), np.array([1, 10**12, 1, 5]))
+    assert counts[0] == 255 and counts[1] == 255 and counts[2] == 16 and counts[3] in (18, 19)
+
+
 def test_signatures_are_packed_and_meet_again():
     rng = np.random.default_rng(6)
     signature, doc = rng.integers(0, 1 << 64, 60_000, dtype=np.uint64), np.repeat(np.arange(600, dtype=np.int64), 100)
