@@ -775,7 +775,8 @@ def test_shingle_sets_of_many_texts_are_those_of_each():
             assert len(np.intersect1d(a, b)) == len(one & two)
 
 
-def test_a_group_around_one_text_costs_each_set_alike():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_a_group_around_one_text_costs_each_set_alike(percent):
     def cost(count):
         rng, base, sets = np.random.default_rng(count), np.arange(300, dtype=np.uint32), []
         for _ in range(count):
@@ -788,13 +789,13 @@ def test_a_group_around_one_text_costs_each_set_alike():
 
         sys.setprofile(count_call)
         try:
-            got = ngram_join.join_classes(sets, 900, 90)
+            got = ngram_join.join_classes(sets, 900, percent)
         finally:
             sys.setprofile(None)
         held = np.zeros((count, 900))
         for row, own in zip(held, sets):
             row[own] = 1
-        linked, label = 190 * (held @ held.T) >= 90 * 600, np.arange(count)
+        linked, label = (100 + percent) * (held @ held.T) >= percent * 600, np.arange(count)
         for _ in range(count):
             label, before = np.array([label[x].min() for x in linked]), label
             if (label == before).all():
